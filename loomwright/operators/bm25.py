@@ -40,13 +40,14 @@ class Index:
 
 def bm25_index(docs: DataFrame) -> Index:
     """Index ``docs(db_id, doc_id, contents)``; ``(db_id, doc_id)`` identifies a row."""
-    analysed = docs.select("db_id", "doc_id", F.col("contents").alias("raw"), terms("contents").alias("_terms"))
-    analysed = analysed.withColumn("dl", F.size("_terms").cast("bigint"))
-    documents = analysed.select("db_id", "doc_id", "dl", "raw")
+    texts = docs.select("db_id", "doc_id", "contents")
+    length = F.size("_terms").cast("bigint").alias("dl")
+    analysed = texts.withColumn("_terms", terms("contents"))
+    documents = analysed.select("db_id", "doc_id", length, F.col("contents").alias("raw"))
     postings = (
-        analysed.select("db_id", "doc_id", "dl", "_terms")
-        .repartition("db_id", "doc_id")
-        .select("db_id", "doc_id", "dl", F.posexplode("_terms").alias("_pos", "term"))
+        texts.repartition("db_id", "doc_id")  # moves the plain text, which is smaller than its terms
+        .select("db_id", "doc_id", terms("contents").alias("_terms"))
+        .select("db_id", "doc_id", length, F.posexplode("_terms").alias("_pos", "term"))
         .groupBy("db_id", "doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("_pos")).alias("positions"))
     )

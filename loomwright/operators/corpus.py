@@ -62,9 +62,9 @@ def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "
     """
     vocab = broadcast_if_small(vocab)
     tokens = (
-        df.select(*keys, words(text).alias("_words"))
+        df.select(*keys, text)
         .repartition(*keys)
-        .select(*keys, F.posexplode_outer("_words").alias("_pos", "word"))
+        .select(*keys, F.posexplode_outer(words(text)).alias("_pos", "word"))
         .join(vocab, "word", "left")
     )
     one = F.when(

@@ -50,12 +50,12 @@ def row_key(schema: T.StructType) -> Column:
 
 def result_rows(df: DataFrame, side: str, item_id: Column, row_no: Column, values: Sequence[str] | None = None) -> DataFrame:
     """Result rows in long form. ``values`` names the result's columns where ``df`` also holds item and row numbers."""
-    fields = [f for f in df.schema.fields if values is None or f.name in values]
+    fields = df.schema.fields if values is None else [df.schema[name] for name in values]
     return df.select(
         item_id.cast("bigint").alias("item_id"),
         F.lit(side).alias("side"),
         row_no.cast("bigint").alias("row_no"),
-        row_key(T.StructType(fields)).alias("row_key"),
+        row_key(T.StructType(list(fields))).alias("row_key"),
     )
 
 
