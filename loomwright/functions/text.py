@@ -107,18 +107,17 @@ def decode_text_dropping(c: Column | str) -> Column:
 def number_text(c: Column | str) -> Column:
     """A double as Python's ``str`` writes it: plain digits from 1e-4 up to 1e16, else ``d.ddde+XX``."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = c.cast("string")
-    size = F.abs(c)
-    digits = F.regexp_replace(
-        F.regexp_replace(plain.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0"
-    )
-    exponent = F.regexp_replace(F.regexp_replace(plain, r"\.0E", "E"), r"E(\d)", "e+$1")
+    return python_number(c.cast("string"))
+
+
+def python_number(text: Column) -> Column:
+    """Spark's text of a double in Python's form. Only texts with an exponent and the special values differ."""
+    value = text.cast("double")
+    digits = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    exponent = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "e+$1")
     exponent = F.regexp_replace(F.regexp_replace(exponent, "E-", "e-"), r"e-(\d)$", "e-0$1")
-    return (
-        F.when(F.isnan(c), "nan")
-        .when(c == float("inf"), "inf")
-        .when(c == float("-inf"), "-inf")
-        .when(((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3)), digits)
-        .when((size >= 1e16) | ((size > 0) & (size < 1e-4)), exponent)
-        .otherwise(plain)
+    plain = (F.abs(value) < 1e16) & (F.abs(value) >= 1e-4)
+    special = F.when(text == "NaN", "nan").when(text == "Infinity", "inf").when(text == "-Infinity", "-inf")
+    return F.when(F.contains(text, F.lit("E")), F.when(plain, digits).otherwise(exponent)).otherwise(
+        F.coalesce(special, text)
     )

@@ -98,7 +98,7 @@ def values(spark: SparkSession, sf: str, *only: str) -> DataFrame:
 
 def text_values(spark: SparkSession, sf: str, *only: str) -> DataFrame:
     """Distinct values of text columns only."""
-    return distinct_values(scan_cells(databases(spark, sf, *only)).where("is_text"))
+    return distinct_values(scan_cells(databases(spark, sf, *only), text_only=True))
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:

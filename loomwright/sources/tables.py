@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.functions.text import number_text
+from loomwright.functions.text import python_number
 
 # Tables that belong to the storage itself and are never profiled.
 SYSTEM_TABLES = ("sqlite_sequence",)
@@ -19,6 +19,9 @@ CATALOG_SCHEMA = (
 )
 
 
+CELL_SCHEMA = "db_id string, table_name string, column_name string, value string"
+
+
 def scan_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One table of a database kept as ``<folder>/<table>.parquet``."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
@@ -40,36 +43,32 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def _cell_text(field: T.StructField):
-    """Column text as Python's ``str`` gives it, or None for types without a cell form."""
-    if isinstance(field.dataType, T.StringType):
-        return F.col(field.name)
-    if isinstance(field.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return F.col(field.name).cast("string")
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return number_text(F.col(field.name).cast("double"))
-    return None
-
-
-def cells(df: DataFrame, table: str, db_id: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """All non-null cells of a table in long form ``(db_id, table_name, column_name, is_text, value)``, in one scan."""
-    wanted = [f for f in df.schema.fields if columns is None or f.name in columns]
-    texts = [(f, _cell_text(f)) for f in wanted]
-    pairs = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(isinstance(f.dataType, T.StringType)).alias("is_text"),
-            text.alias("value"),
-        )
-        for f, text in texts
-        if text is not None
-    ]
-    if not pairs:
-        raise ValueError(f"{table} has no column with a text form")
-    return (
-        df.select(F.inline(F.array(*pairs)))
-        .where(F.col("value").isNotNull())
-        .select(F.lit(db_id).alias("db_id"), F.lit(table).alias("table_name"), "column_name", "is_text", "value")
+_TEXT = (T.StringType,)
+_WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+_FRACTIONAL = (T.DoubleType, T.FloatType)
+
+
+def cells(df: DataFrame, table: str, db_id: str, text_only: bool = False) -> DataFrame:
+    """All non-null cells of a table in long form ``(db_id, table_name, column_name, value)``, in one scan.
+
+    Values are texts as Python's ``str`` gives them. Columns without such a form (dates, arrays) are left out; with
+    ``text_only`` numbers are too, and then are not read.
+    """
+    kinds = _TEXT if text_only else _TEXT + _WHOLE + _FRACTIONAL
+    fields = [f for f in df.schema.fields if isinstance(f.dataType, kinds)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], CELL_SCHEMA)
+    texts = [F.col(f.name).cast("double" if isinstance(f.dataType, _FRACTIONAL) else f.dataType).cast("string") for f in fields]
+    long = df.select(*[t.alias(f.name) for t, f in zip(texts, fields)]).unpivot(
+        [], [f.name for f in fields], "column_name", "value"
+    )
+    # Only fractions can be written differently; the check is made once per cell, not once per column.
+    fractions = [f.name for f in fields if isinstance(f.dataType, _FRACTIONAL)]
+    value = F.col("value")
+    if fractions:
+        value = F.when(F.col("column_name").isin(fractions), python_number(value)).otherwise(value)
+    return long.where(F.col("value").isNotNull()).select(
+        F.lit(db_id).alias("db_id"), F.lit(table).alias("table_name"), "column_name", value.alias("value")
     )
 
 
@@ -77,10 +76,10 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def scan_cells(databases: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
+def scan_cells(databases: Mapping[str, Mapping[str, DataFrame]], text_only: bool = False) -> DataFrame:
     """The cells of every table of every database, as one job."""
     return union_all(
-        cells(df, table, db_id)
+        cells(df, table, db_id, text_only)
         for db_id, tables in databases.items()
         for table, df in tables.items()
         if table not in SYSTEM_TABLES
