@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.operators.corpus import corpus_text, corpus_union, row_index
-from loomwright.operators.profile import distinct_values
 from loomwright.operators.schema import comment_enrich, schema_columns
-from loomwright.sources.tables import catalog_columns, non_null_counts, scan_cells, scan_database, scan_table
+from loomwright.sources.tables import (
+    catalog_columns,
+    non_null_counts,
+    scan_database,
+    scan_distinct_values,
+    scan_table,
+)
 
 # ---------------------------------------------------------------------------------------------------------------------
 # Two databases with their catalogs. Types as the catalog names them; "n" marks numbers, "t" text, "-" neither.
@@ -93,12 +98,12 @@ def databases(spark: SparkSession, sf: str, *only: str) -> dict[str, dict[str, D
 
 
 def values(spark: SparkSession, sf: str, *only: str) -> DataFrame:
-    return distinct_values(scan_cells(databases(spark, sf, *only)))
+    return scan_distinct_values(databases(spark, sf, *only))
 
 
 def text_values(spark: SparkSession, sf: str, *only: str) -> DataFrame:
     """Distinct values of text columns only."""
-    return distinct_values(scan_cells(databases(spark, sf, *only), text_only=True))
+    return scan_distinct_values(databases(spark, sf, *only), text_only=True)
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:

@@ -48,27 +48,58 @@ _WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
 _FRACTIONAL = (T.DoubleType, T.FloatType)
 
 
-def cells(df: DataFrame, table: str, db_id: str, text_only: bool = False) -> DataFrame:
-    """All non-null cells of a table in long form ``(db_id, table_name, column_name, value)``, in one scan.
-
-    Values are texts as Python's ``str`` gives them. Columns without such a form (dates, arrays) are left out; with
-    ``text_only`` numbers are too, and then are not read.
-    """
+def _long_cells(df: DataFrame, names: Mapping[str, str], text_only: bool) -> DataFrame:
+    """Non-null cells ``(column_name, value)`` of the columns that have a text form, in one scan. ``names`` says what to put
+    for each column."""
     kinds = _TEXT if text_only else _TEXT + _WHOLE + _FRACTIONAL
     fields = [f for f in df.schema.fields if isinstance(f.dataType, kinds)]
     if not fields:
-        return df.sparkSession.createDataFrame([], CELL_SCHEMA)
-    texts = [F.col(f.name).cast("double" if isinstance(f.dataType, _FRACTIONAL) else f.dataType).cast("string") for f in fields]
-    long = df.select(*[t.alias(f.name) for t, f in zip(texts, fields)]).unpivot(
-        [], [f.name for f in fields], "column_name", "value"
-    )
+        return df.sparkSession.createDataFrame([], "column_name string, value string")
+    texts = [
+        F.col(f.name).cast("double" if isinstance(f.dataType, _FRACTIONAL) else f.dataType).cast("string").alias(names[f.name])
+        for f in fields
+    ]
+    long = df.select(*texts).unpivot([], [names[f.name] for f in fields], "column_name", "value")
     # Only fractions can be written differently; the check is made once per cell, not once per column.
-    fractions = [f.name for f in fields if isinstance(f.dataType, _FRACTIONAL)]
+    fractions = [names[f.name] for f in fields if isinstance(f.dataType, _FRACTIONAL)]
     value = F.col("value")
     if fractions:
         value = F.when(F.col("column_name").isin(fractions), python_number(value)).otherwise(value)
-    return long.where(F.col("value").isNotNull()).select(
-        F.lit(db_id).alias("db_id"), F.lit(table).alias("table_name"), "column_name", value.alias("value")
+    return long.where(F.col("value").isNotNull()).select("column_name", value.alias("value"))
+
+
+def cells(df: DataFrame, table: str, db_id: str, text_only: bool = False) -> DataFrame:
+    """All non-null cells of a table in long form ``(db_id, table_name, column_name, value)``, in one scan.
+
+    Values are texts as Python's ``str`` gives them. Columns without such a form (dates, arrays) are left out; with
+    ``text_only`` numbers are too, and then are not read.
+    """
+    long = _long_cells(df, {c: c for c in df.columns}, text_only)
+    return long.select(F.lit(db_id).alias("db_id"), F.lit(table).alias("table_name"), "column_name", "value")
+
+
+def scan_distinct_values(databases: Mapping[str, Mapping[str, DataFrame]], text_only: bool = False) -> DataFrame:
+    """The distinct non-null values of every column of every database, as one job with one shuffle.
+
+    Columns travel under a short number and get their names back afterwards (a list as long as the catalog), so that no names
+    are shuffled with each value. Duplicates are dropped map-side first: a hot value or column sends one row per task.
+    """
+    columns: list[tuple[str, str, str]] = []
+    frames = []
+    for db_id, tables in databases.items():
+        for table, df in tables.items():
+            if table in SYSTEM_TABLES:
+                continue
+            numbers = {c: str(len(columns) + i) for i, c in enumerate(df.columns)}
+            columns += [(db_id, table, c) for c in df.columns]
+            frames.append(_long_cells(df, numbers, text_only))
+    key = ("db_id", "table_name", "column_name")
+    names = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(key, c)]) for c in columns])
+    return (
+        union_all(frames)
+        .distinct()
+        .select(F.get(names, F.col("column_name").cast("int")).alias("_name"), "value")
+        .select("_name.*", "value")
     )
 
 
