@@ -309,16 +309,17 @@ def shuffled_batches(spark, sf):
     return corpus.shuffled_batches(scan_table(spark, sf, "documents"), "doc_id", EPOCHS, BATCH, seed=5)
 
 
-_DONE_STEPS, _ACCUMULATION = 45, 2
+_ACCUMULATION = 2  # resumed after one and a half epochs, whatever the size of the table
 
 
 @query(
     "resume_filter",
-    f"""SELECT b.* FROM {_batches_sql()} b, (SELECT count(*) // {BATCH} AS per_epoch FROM documents)
-    WHERE epoch > {_DONE_STEPS * _ACCUMULATION} // per_epoch OR (epoch = {_DONE_STEPS * _ACCUMULATION} // per_epoch
-        AND batch_id >= {_DONE_STEPS * _ACCUMULATION} % per_epoch)""",
+    f"""SELECT b.* FROM {_batches_sql()} b,
+        (SELECT per_epoch, per_epoch * 3 // 4 * {_ACCUMULATION} AS done FROM (SELECT count(*) // {BATCH} AS per_epoch FROM documents))
+    WHERE epoch > done // per_epoch OR (epoch = done // per_epoch AND batch_id >= done % per_epoch)""",
 )
 def resume_filter(spark, sf):
     docs = scan_table(spark, sf, "documents")
     batches = corpus.shuffled_batches(docs, "doc_id", EPOCHS, BATCH, seed=5)
-    return monitor.resume_filter(batches, _DONE_STEPS, _ACCUMULATION, docs.count() // BATCH)
+    per_epoch = docs.count() // BATCH
+    return monitor.resume_filter(batches, per_epoch * 3 // 4, _ACCUMULATION, per_epoch)
