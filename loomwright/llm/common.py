@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,16 @@ def remove_kept(spark: SparkSession) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def text_blocks(texts: Sequence[str | None], chars: int = 2_000_000) -> Iterator[slice]:
+    """Slices of ``texts`` of about ``chars`` characters, for work in a task whose memory follows the block."""
+    start = size = 0
+    for at, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= chars or at == len(texts):
+            yield slice(start, at)
+            start, size = at, 0
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import chat, exact_dedup, mixing, secrets, sharding
+import public_tokenizers
+
+from loomwright.llm import bpe, chat, exact_dedup, langid, mixing, quality, secrets, sharding
 from loomwright.llm.common import documents
 from loomwright.llm.sql import SQL
 
@@ -13,11 +15,19 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
     return chat.preferences(*chat.with_other_replies(turns))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -27,9 +37,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.qualities(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_chat, op6_mix, op7_exact_dedup, op10_shards)}
+_ALL = (op1_secrets, op2_bpe, op3_chat, op4_language, op6_mix, op7_exact_dedup, op9_quality, op10_shards)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}
