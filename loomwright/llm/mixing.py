@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import BLANK, keep, shuffle_key, slice_bits, slice_of, source_key, word_count
 
 SEED = 20
+# Rows that a slice should hold; one slice of each source is sorted with its texts.
+CUT_ROWS = 2_048
 # Sources in order weigh 1, 2, 3, 1, 2, 3 ...; none gives more than three times its words. Fixed by the contract.
 WEIGHTS = 3
 MOST = 3
@@ -49,7 +51,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Rows do not move, except those of the slices in which the budgets end.
     """
-    bits = slice_bits(docs.count())
+    bits = slice_bits(docs.count(), CUT_ROWS)
     size = word_count(F.col("text"))
     rows = (
         docs.drop("size", "source_size", "target", "taken")

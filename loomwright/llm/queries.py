@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from loomwright.llm import bpe, chat, exact_dedup, langid, mixing, quality, secrets, sharding
+from loomwright.llm import bpe, chat, exact_dedup, langid, minhash, mixing, quality, secrets, sharding
 from loomwright.llm.common import documents
 from loomwright.llm.sql import SQL
 
@@ -37,6 +37,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("text_md5")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return quality.qualities(documents(spark, sf_dir, "doc_id", "text"), labels)
@@ -46,6 +50,6 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
 
 
-_ALL = (op1_secrets, op2_bpe, op3_chat, op4_language, op6_mix, op7_exact_dedup, op9_quality, op10_shards)
+_ALL = (op1_secrets, op2_bpe, op3_chat, op4_language, op6_mix, op7_exact_dedup, op8_near_dedup, op9_quality, op10_shards)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}

@@ -44,6 +44,30 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+SQL["op8_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, doc_id, md5(array_to_string(x, ' ')) AS h
+  FROM (SELECT r, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+                                 ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS x FROM w)
+), n AS (
+  SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id
+), common AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT x, y FROM common JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * k >= 80 * (p.n + q.n - k)
+), reach AS (
+  SELECT r AS x, r AS y FROM w UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (
+  SELECT x, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.y GROUP BY x
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(w.doc_id = component_id, false) AS kept
+FROM w LEFT JOIN n ON n.r = w.r JOIN least ON least.x = w.r
+"""
+
 SQL["op10_shards"] = r"""
 WITH crc AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
