@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from loomwright.llm import bpe, chat, exact_dedup, langid, minhash, mixing, quality, secrets, sharding
+from loomwright.llm import ann, bpe, chat, exact_dedup, langid, minhash, mixing, quality, secrets, sharding
 from loomwright.llm.common import documents
 from loomwright.llm.sql import SQL
 
@@ -28,6 +28,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return ann.neighbours(rows, "id % 20 = 0")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +55,6 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
 
 
-_ALL = (op1_secrets, op2_bpe, op3_chat, op4_language, op6_mix, op7_exact_dedup, op8_near_dedup, op9_quality, op10_shards)
+_ALL = (op1_secrets, op2_bpe, op3_chat, op4_language, op5_neighbours, op6_mix, op7_exact_dedup, op8_near_dedup, op9_quality, op10_shards)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}
