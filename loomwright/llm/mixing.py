@@ -93,10 +93,11 @@ def first_words(text: Column, n: Column) -> Column:
 def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed corpus itself with the columns of ``docs``: each row as often as it is taken, the last time with the first
     words only where a budget ends inside it. A row of which no word is taken is left out."""
-    columns = docs.columns
-    counted = mix(docs, seed).where("taken > 0")
+    names = docs.columns
+    counted = mix(docs.select("doc_id", "text", "source", F.struct(*names).alias("__row")), seed).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     nth = counted.select("*", F.explode(F.sequence(F.lit(1), times)).alias("__nth"))
     part = F.col("taken") - (F.col("__nth") - 1) * F.col("size")
     cut = F.when(part >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text"), part))
-    return nth.withColumn("text", cut).select(*columns)
+    rows = nth.select("__row.*", cut.alias("__text"))
+    return rows.select(*(F.col("__text").alias(c) if c == "text" else F.col(c) for c in names))
