@@ -89,12 +89,15 @@ def blocks(n: int, size: int) -> Iterator[slice]:
 @dataclass
 class Index:
     """Centres of the lists, the graph that joins each with its nearest ones (rows filled up with the list itself), the largest
-    norm, and how much farther than the nearest list a query looks."""
+    norm, the usual distance of a vector from its list, how much farther than the nearest list a query looks, and how many vectors have
+    each list as their nearest one."""
 
     centres: np.ndarray
     links: np.ndarray
     largest: float
+    usual: float = 0.0
     reach: float = REACHES[-1]
+    sizes: np.ndarray | None = None
 
     def extended(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.largest**2 - (x**2).sum(axis=1), 0))
@@ -108,33 +111,43 @@ class Index:
         return np.where(near <= SPREAD**2 * near[:, :1], order, -1)
 
     def search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lists and their distances, in units of the nearest one, that a walk of the graph from list 0 meets: it goes on from all
-        lists that are within reach or among the ``BEAM`` nearest ones so far."""
+        """Lists and their distances that a walk of the graph from list 0 meets: it goes on from all lists that are within reach or
+        among the ``BEAM`` nearest ones so far. Distances are in units of the nearest one, or of the usual one if that is larger,
+        since a query can lie on a centre."""
         q = np.append(query, 0.0)
         d = np.full(len(self.centres), np.inf)
         passed = np.zeros(len(self.centres), dtype=bool)
         at = np.zeros(1, dtype=int)
-        d[0] = ((self.centres[0] - q) ** 2).sum()
+        d[0] = np.sqrt(((self.centres[0] - q) ** 2).sum())
         while len(at):
             passed[at] = True
             new = np.unique(self.links[at])
             new = new[np.isinf(d[new])]
-            d[new] = ((self.centres[new] - q) ** 2).sum(axis=1)
+            d[new] = np.sqrt(((self.centres[new] - q) ** 2).sum(axis=1))
             beam = np.partition(d, BEAM - 1)[BEAM - 1] if len(d) > BEAM else np.inf
-            at = np.flatnonzero((d <= max(beam, self.reach**2 * d.min())) & ~passed & np.isfinite(d))
+            unit = max(d.min(), self.usual, 1e-300)
+            at = np.flatnonzero((d <= max(beam, self.reach * unit)) & ~passed & np.isfinite(d))
         met = np.flatnonzero(np.isfinite(d))
-        return met, np.sqrt(d[met] / max(d.min(), 1e-300))
+        return met, d[met] / unit
 
-    def chosen(self, query: np.ndarray) -> np.ndarray:
+    def chosen(self, query: np.ndarray, least: int) -> np.ndarray:
+        """The lists to scan: all within reach, and further ones in order of distance as long as they hold fewer than ``least``
+        vectors together."""
         met, ratio = self.search(query)
-        return met[ratio <= self.reach]
+        order = met[np.argsort(ratio, kind="stable")]
+        enough = int(np.searchsorted(np.cumsum(self.sizes[order]), least)) + 1
+        if enough > len(order):
+            return np.arange(len(self.centres))
+        return order[: max(enough, int((ratio <= self.reach).sum()))]
 
 
 def fit(sample: np.ndarray, rows: int, largest: float) -> Index:
     """The index of ``rows`` vectors, of which ``sample`` is a random part: about as many lists as the root of the rows."""
     lists = int(max(1, min(MOST_LISTS, np.sqrt(rows), len(sample))))
     index = Index(np.zeros((0, 0)), np.zeros((0, 0), dtype=int), largest)
-    index.centres = balanced(index.extended(sample), lists)
+    points = index.extended(sample)
+    index.centres = balanced(points, lists)
+    index.usual = float(np.median(np.concatenate([np.sqrt(distances(points[b], index.centres).min(axis=1)) for b in blocks(len(points), 4096)])))
     nearest = np.argsort(distances(index.centres, index.centres), axis=1, kind="stable")[:, : LINKS + 1]
     # Both ways, and along the numbers, so that every list can be reached.
     both = [{a, max(a - 1, 0), min(a + 1, len(nearest) - 1), *row} for a, row in enumerate(nearest.tolist())]
@@ -190,7 +203,8 @@ def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "emb
     sample = good.where(place * count < SAMPLE).orderBy(place, "id").select("vector").toPandas()["vector"]
     if not len(sample):  # one row per thousands of others with one id
         sample = good.limit(SAMPLE).toPandas()["vector"]
-    index = spark.sparkContext.broadcast(fit(_stacked(sample), count, largest))
+    fitted = fit(_stacked(sample), count, largest)
+    index = spark.sparkContext.broadcast(fitted)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,13 +212,18 @@ def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "emb
                 lists = index.value.lists_of(_stacked(part["vector"]))
                 for c in range(lists.shape[1]):
                     at = lists[:, c] >= 0
-                    yield part[at].assign(list=lists[at, c])
+                    yield part[at].assign(list=lists[at, c], nth=c)
 
-    posted = keep(good.mapInPandas(post, "id long, vector array<double>, list int"))
+    posted = keep(good.mapInPandas(post, "id long, vector array<double>, list int, nth int"))
     # One row per list comes to the driver, at most MOST_LISTS.
-    sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}
+    own = F.count_if(F.col("nth") == 0)
+    counted = posted.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), own.alias("own")).collect()
+    sizes = {r["list"]: r["rows"] for r in counted}
+    fitted.sizes = np.zeros(len(fitted.centres), dtype=int)
+    fitted.sizes[[r["list"] for r in counted]] = [r["own"] for r in counted]
+    searched = spark.sparkContext.broadcast(fitted)
     first, pieces, filled, group = {}, {}, 0, 0
-    for at in range(len(index.value.centres)):
+    for at in range(len(fitted.centres)):
         size = sizes.get(at, 0)
         if filled and filled + size > GROUP_ROWS:
             filled, group = 0, group + 1
@@ -226,7 +245,7 @@ def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "emb
             out = []
             for at, q in zip(batch["id"], batch["vector"]):
                 where: dict[int, list[int]] = {}
-                for x in index.value.chosen(np.asarray(q, dtype=float)).tolist():
+                for x in searched.value.chosen(np.asarray(q, dtype=float), n + 1).tolist():
                     for piece in range(pieces[x]):
                         where.setdefault(first[x] + piece, []).append(x)
                 out += [(at, q, lists, g) for g, lists in where.items()]
