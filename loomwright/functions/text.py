@@ -5,29 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The English stopwords that never count as a matched value.
-STOPWORDS = """
-a about above after again against ain all am an and any are aren aren't as at
-be because been before being below between both but by
-can couldn couldn't
-d did didn didn't do does doesn doesn't doing don don't down during
-each
-few for from further
-had hadn hadn't has hasn hasn't have haven haven't having he her here hers herself him himself his how
-i if in into is isn isn't it it's its itself
-just
-ll
-m ma me mightn mightn't more most mustn mustn't my myself
-needn needn't nor not now
-o of off on once only or other our ours ourselves out over own
-re
-s same shan shan't she she's should should've shouldn shouldn't so some such
-t than that that'll the their theirs them themselves then there these they this those through to too
-under until up
-ve very
-was wasn wasn't we were weren weren't what when where which while who whom why will with won won't wouldn wouldn't
-y you you'd you'll you're you've your yours yourself yourselves
-""".split()
+# The English stopwords of the public Natural Language Toolkit, which never count as a matched value.
+# fmt: off
+STOPWORDS = [
+    "who", "ourselves", "down", "only", "were", "him", "at", "weren't", "has", "few", "it's", "m", "again", "d",
+    "haven", "been", "other", "we", "an", "own", "doing", "ma", "hers", "all", "haven't", "in", "but", "shouldn't",
+    "does", "out", "aren", "you", "you'd", "himself", "isn't", "most", "y", "below", "is", "wasn't", "hasn", "them",
+    "wouldn", "against", "this", "about", "there", "don", "that'll", "a", "being", "with", "your", "theirs", "its",
+    "any", "why", "now", "during", "weren", "if", "should", "those", "be", "they", "o", "t", "of", "or", "me", "i",
+    "some", "her", "do", "will", "yours", "for", "mightn", "nor", "needn", "the", "until", "couldn't", "he", "which",
+    "yourself", "to", "needn't", "you're", "because", "their", "where", "it", "didn't", "ve", "whom", "should've",
+    "can", "shan't", "on", "had", "have", "myself", "am", "don't", "under", "was", "won't", "these", "so", "as",
+    "after", "above", "each", "ours", "hadn", "having", "wasn", "s", "doesn", "hadn't", "than", "by", "that", "both",
+    "herself", "his", "wouldn't", "into", "doesn't", "before", "my", "won", "more", "are", "through", "same", "how",
+    "what", "over", "ll", "yourselves", "up", "mustn", "mustn't", "she's", "re", "such", "didn", "you'll", "shan",
+    "when", "you've", "themselves", "mightn't", "she", "from", "isn", "ain", "between", "once", "here", "shouldn",
+    "our", "and", "not", "too", "very", "further", "while", "off", "couldn", "hasn't", "itself", "then", "did", "just",
+    "aren't",
+]
+# fmt: on
 
 # Words that only count when they match exactly, and names too general to be a value.
 COMMON_WORDS = ["no", "yes", "many"]

@@ -19,12 +19,12 @@ one inserted or dropped character; there the keys are the text and its one-chara
 
 from __future__ import annotations
 
-import difflib
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,106 +42,116 @@ _FLOAT_SLACK = 1e-9
 
 
 # ---------------------------------------------------------------------------------------------------------------------
-# The exact rules for one pair
-
-
-def _indel_similarity(a: str, b: str) -> float:
-    """``2·LCS/(len(a)+len(b))`` of two texts that are not both empty. The longest common subsequence is counted with one
-    big integer as a row of bits."""
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    common = len(a) - row.bit_count()
-    both = len(a) + len(b)
-    return 1.0 - (both - 2 * common) / both
-
-
-def _first_letter(text: str) -> str:
-    """First character that is no separator; the last character if all are; empty for empty text."""
-    for ch in text:
-        if ch not in SEPARATORS:
-            return ch
-    return text[-1:]
-
-
-def _source_span(chars: Sequence[str], start: int, end: int) -> tuple[int, int] | None:
-    """The words around ``chars[start:end]`` as a half-open range, or None without a word boundary on both sides."""
-    if start > 0 and chars[start] not in SEPARATORS:
-        if chars[start - 1] not in SEPARATORS:
-            return None
-        start -= 1
-    reach = min(end + 3, len(chars))
-    stop = next((i for i in range(end - 1, reach) if chars[i] in SEPARATORS), None)
-    if stop is None:
-        if reach < end + 3:
-            stop = len(chars) - 1
-        else:
-            return None
-    stop += 1
-    while start < len(chars) and chars[start] in SEPARATORS:
-        start += 1
-    while stop > 0 and chars[stop - 1] in SEPARATORS:
-        stop -= 1
-    return start, stop
-
-
-def match_value(question: str, value: str, theta: float) -> tuple[str, str, float, int] | None:
-    """``(matched text, source text, score, matched length)`` of a stripped question and value, or None."""
-    asked = [ch.lower() for ch in question]
-    offered = [ch.lower() for ch in value]
-    best = difflib.SequenceMatcher(None, asked, offered).find_longest_match(0, len(asked), 0, len(offered))
-    if best.size == 0:
-        return None
-    span = _source_span(asked, best.a, best.a + best.size)
-    if span is None:
-        return None
-    matched = value[best.b : best.b + best.size]
-    source = question[span[0] : span[1]] if span[1] > span[0] else ""
-    words = [matched.lower().strip(), source.lower().strip(), value.lower().strip()]
-    if not words[0] or words[0] in DATABASE_TERMS or any(w in _STOP for w in words):
-        return None
-    if words[1].endswith(words[0] + "'s"):
-        score = 1.0
-    elif words[1] and _first_letter(words[2]) == _first_letter(words[1]):
-        # the usual library gives the similarity in percent; going through percent keeps the same last digit
-        score = _indel_similarity(words[2], words[1]) * 100 / 100
-    else:
-        score = 0.0
-    if score < theta or (score < 1 and (value.isupper() or any(w in _COMMON for w in words))):
-        return None
-    return matched, source, score, best.size
-
-
-_STOP = frozenset(STOPWORDS)
-_COMMON = frozenset(COMMON_WORDS)
+# The exact rules, as expressions over a pair of texts
 
+_SEPARATOR_CLASS = "[" + "".join("\\" + ch for ch in SEPARATORS) + "]"
+_FAR = 1 << 30
+
+
+def _longest_shared(asked: Column, offered: Column) -> Column:
+    """Length of the longest text both hold. If they share one of some length they share shorter ones too, so the length is found
+    by halving: every power of two is added if a piece that long can still be found."""
+    n = F.least(F.length(asked), F.length(offered))
+    powers = F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0))
+
+    def shares(size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(offered) - size + 1)
+        return F.exists(starts, lambda i: F.contains(asked, F.substring(offered, i, size)))
+
+    def add(size: Column, power: Column) -> Column:
+        longer = size + F.pow(F.lit(2), power).cast("int")
+        return F.when((longer <= n) & shares(F.least(longer, n)), longer).otherwise(size)
+
+    return F.aggregate(powers, F.lit(0), add)
 
-def score_pairs(pairs: DataFrame, theta: float) -> DataFrame:
-    """Apply the exact rules to ``(question, value)`` rows; rows without a match are dropped.
 
-    The shared-text search is the one step without a Spark expression; it runs on Arrow batches, next to the data.
+def _first_place(asked: Column, offered: Column, size: Column) -> Column:
+    """``struct<at, from>``: where the shared text of this length stands (from 1) in the question and in the value, the earliest
+    in the question and then in the value."""
+    starts = F.sequence(F.lit(1), F.length(offered) - size + 1)
+    places = F.transform(
+        starts, lambda i: F.struct(F.position(F.substring(offered, i, size), asked).alias("at"), i.alias("from"))
+    )
+    return F.array_min(F.filter(places, lambda p: p["at"] > 0))
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts.
+
+    Along the characters of ``b`` a list is kept that says how much of ``a`` is needed to hold a common subsequence of 0, 1, 2, ... characters.
+    A further character can lengthen the one before at its next place in ``a``.
     """
+    none = F.transform(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda k: F.when(k == 0, 0).otherwise(_FAR))
+
+    def take(needed: Column, ch: Column) -> Column:
+        def longer(now: Column, k: Column) -> Column:
+            at = F.position(ch, a, F.get(needed, k - 1) + 1)
+            return F.when((k > 0) & (at > 0), F.least(now, at)).otherwise(now)
+
+        return F.transform(needed, longer)
+
+    needed = F.aggregate(F.split(b, ""), none.cast("array<int>"), take)
+    return F.size(F.filter(needed, lambda p: p < _FAR)) - 1
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [match_value(q, v, theta) for q, v in zip(batch["question"], batch["value"])]
-            keep = [f is not None for f in found]
-            hits = [f for f in found if f is not None]
-            out = batch.loc[keep].copy()
-            for i, name in enumerate(("match_str", "source_str", "score", "match_size")):
-                out[name] = [h[i] for h in hits]
-            yield out
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    # The work is in the comparing, not in the bytes: a given number of tasks keeps adaptive execution from merging them,
-    # and hashing whole pairs spreads a question or value with many candidates.
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(tasks, *pairs.columns).mapInPandas(scored, f"{kinds}, match_str string, source_str string, score double, match_size int")
+def indel_similarity(a: Column, b: Column) -> Column:
+    """``2·LCS/(len(a)+len(b))`` of two texts that are not both empty, with the last digit that comes of counting the characters that are not common."""
+    both = F.length(a) + F.length(b)
+    return F.lit(1.0) - (both - 2 * common_length(a, b)) / both
+
+
+def _first_letter(text: Column) -> Column:
+    """First character that is no separator; the last character if all are; empty for empty text."""
+    letters = F.regexp_replace(text, f"^{_SEPARATOR_CLASS}+", "")
+    return F.when(letters != "", F.substring(letters, 1, 1)).otherwise(F.right(text, F.lit(1)))
+
+
+def score_pairs(pairs: DataFrame, theta: float) -> DataFrame:
+    """``(question, value)`` rows, both stripped, with ``match_str, source_str, score, match_size``; rows without a match go.
+
+    Each step drops what cannot match before the next, dearer one. Letters whose lower case is longer than one character or depends on its
+    neighbours take one form.
+    """
+    q, v = F.col("_asked"), F.col("_offered")
+    shared = (
+        pairs.withColumn("_asked", _folded_text(F.col("question")))
+        .withColumn("_offered", _folded_text(F.col("value")))
+        .where((v != "") & (q != ""))
+        .withColumn("match_size", _longest_shared(q, v))
+        .where("match_size > 0")
+        .withColumn("_place", _first_place(q, v, F.col("match_size")))
+    )
+    # The shared text stands at the start of the question, or a separator is its first character or the one before it.
+    at, size = F.col("_place.at"), F.col("match_size")
+    opens = (at == 1) | F.substring(q, F.greatest(at - 1, F.lit(1)), F.lit(2)).rlike(_SEPARATOR_CLASS)
+    # From its last character on, a separator or the end of the question comes after three characters at most.
+    tail = F.substring(q, at + size - 1, F.length(q))
+    closes = f"(?s)^(.{{0,3}}?)(?:{_SEPARATOR_CLASS}|\\z)"
+    bounded = shared.where(opens & tail.rlike(closes)).withColumn(
+        "_length", size - 1 + F.length(F.regexp_extract(tail, closes, 1))
+    )
+    # Separators at both ends do not belong to the source.
+    span = F.substring(q, at, F.col("_length"))
+    blank = F.length(F.regexp_extract(span, f"^{_SEPARATOR_CLASS}*", 0))
+    inner = F.length(F.regexp_replace(span, f"^{_SEPARATOR_CLASS}+|{_SEPARATOR_CLASS}+\\z", ""))
+    named = bounded.withColumn("source_str", F.substring(F.col("question"), at + blank, inner)).withColumn(
+        "match_str", F.substring(F.col("value"), F.col("_place.from"), size)
+    )
+    match, source, value = (strip(_folded_text(F.col(c))) for c in ("match_str", "source_str", "value"))
+    words = [F.col("_match"), F.col("_source"), F.col("_value")]
+    told = named.withColumns({"_match": match, "_source": source, "_value": value})
+    stopped = [w.isin(STOPWORDS) for w in words]
+    told = told.where(~((words[0] == "") | words[0].isin(DATABASE_TERMS) | stopped[0] | stopped[1] | stopped[2]))
+    possessive = F.endswith(words[1], F.concat(words[0], F.lit("'s")))
+    comparable = (words[1] != "") & (_first_letter(words[2]) == _first_letter(words[1]))
+    lengths = F.least(*map(F.length, words[1:])) * 2 >= (F.length(words[1]) + F.length(words[2])) * (theta - _FLOAT_SLACK)
+    # The usual library gives the similarity in percent; going through percent keeps the same last digit.
+    near = indel_similarity(words[2], words[1]) * 100 / 100
+    scored = told.where(possessive | (comparable & lengths)).withColumn("score", F.when(possessive, 1.0).otherwise(near))
+    shouted = (F.upper("value") == F.col("value")) & (F.lower("value") != F.col("value"))
+    exact_only = shouted | reduce(or_, [w.isin(COMMON_WORDS) for w in words])
+    kept = scored.where((F.col("score") >= theta) & ((F.col("score") >= 1) | ~exact_only))
+    return kept.select(*pairs.columns, "match_str", "source_str", "score", "match_size")
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -171,9 +181,13 @@ def _split_rules(theta: float) -> tuple[int, int, list]:
     return exact, near, rules[near:]
 
 
+def _folded_text(text: Column) -> Column:
+    """Lower case, character by character. Letters whose lower case depends on context or length take one form on both sides."""
+    return F.translate(F.lower(F.translate(text, "İ", "i")), "ς", "σ")
+
+
 def _fold(text: Column) -> Column:
-    """Lower-cased characters. Letters whose lower case depends on context or length take one form on both sides."""
-    return F.split(F.translate(F.lower(F.translate(text, "İ", "i")), "ς", "σ"), "")
+    return F.split(_folded_text(text), "")
 
 
 def _part(chars: Column, start: Column, length: Column) -> Column:

@@ -1,10 +1,10 @@
 import random
-from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomwright.functions.text import COMMON_WORDS, STOPWORDS
 from loomwright.operators import linking
-from loomwright.operators.linking import match_value
 
 SEP = "'\"()`,.?! "
 
@@ -18,26 +18,81 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_indel_similarity_is_not_levenshtein():
+def fold(text):
+    return "".join({"İ": "i", "ς": "σ"}.get(c, c.lower()) for c in text)
+
+
+def match_value(question, value, theta):
+    """The rules, word for word and without any speed."""
+    q, v = fold(question), fold(value)
+    shared = [
+        (-n, i, j) for i in range(len(q)) for j in range(len(v)) for n in range(1, min(len(q) - i, len(v) - j) + 1)
+        if q[i : i + n] == v[j : j + n]
+    ]
+    if not shared:
+        return None
+    size, start, place = min(shared)
+    end = start - size
+    if not (start == 0 or q[start] in SEP or q[start - 1] in SEP):
+        return None
+    stops = [p for p in range(end - 1, end + 3) if p == len(q) or p < len(q) and q[p] in SEP]
+    if not stops:
+        return None
+    first, last = start, stops[0]
+    while first < last and q[first] in SEP:
+        first += 1
+    while last > first and q[last - 1] in SEP:
+        last -= 1
+    matched, source = value[place : place - size], question[first:last]
+    m, s, w = (fold(x).strip() for x in (matched, source, value))
+    if not m or m == "id" or any(x in STOPWORDS for x in (m, s, w)):
+        return None
+    letter = lambda x: next((c for c in x if c not in SEP), x[-1:])
+    score = 0.0
+    if s.endswith(m + "'s"):
+        score = 1.0
+    elif s and letter(s) == letter(w):
+        both = len(s) + len(w)
+        score = (1.0 - (both - 2 * lcs(s, w)) / both) * 100 / 100
+    if score < theta or score < 1 and (value.isupper() or any(x in COMMON_WORDS for x in (m, s, w))):
+        return None
+    return matched, source, score, -size
+
+
+def test_common_length_is_not_levenshtein(spark):
     rng = random.Random(0)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in "xy")
-        want = 2 * lcs(a, b) / (len(a) + len(b))
-        assert linking._indel_similarity(a, b) == pytest.approx(want, abs=1e-12)
-
-
-def test_rules_for_one_pair():
-    assert match_value("how many red rings", "red ring", 0.85)[2] == pytest.approx(16 / 17)  # plural
-    assert match_value("cost of Brand#13 now", "Brand#1", 0.85)[1:3] == ("Brand#13", pytest.approx(14 / 15))
-    assert match_value("how many rings", "the", 0.85) is None
-    assert match_value("what id is it", "id", 0.85) is None
-    assert match_value("say yes", "yes", 0.85)[2] == 1  # a common word counts when exact
-    assert match_value("say yess", "yes", 0.85) is None
-    assert match_value("visit PARI now", "PARIS", 0.85) is None  # upper case needs an exact match
-    assert match_value("visit pari now", "Paris", 0.85)[3] == 4
-    assert match_value("is Foo's here", "Foo", 0.85)[1] == "Foo"
-    assert match_value("string ring", "ring", 0.85) is None  # only the first place counts
-    assert match_value("abc", "xyz", 0.85) is None
+    pairs = [["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in "xy"] for _ in range(300)]
+    pairs += [["", "ab"], ["x" * 90, "x" * 80 + "y"]]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", linking.common_length(F.col("a"), F.col("b"))).collect()
+    assert all(n == lcs(a, b) for a, b, n in got)
+
+
+def scored(spark, pairs, theta):
+    df = spark.createDataFrame(pairs, "question string, value string")
+    return {(r.question, r.value): (r.match_str, r.source_str, r.score, r.match_size) for r in linking.score_pairs(df, theta).collect()}
+
+
+def test_rules_for_one_pair(spark):
+    pairs = [
+        ("how many red rings", "red ring"),  # plural
+        ("cost of Brand#13 now", "Brand#1"),
+        ("how many rings", "the"),
+        ("what id is it", "id"),
+        ("say yes", "yes"),  # a common word counts when exact
+        ("say yess", "yes"),
+        ("visit PARI now", "PARIS"),  # upper case needs an exact match
+        ("visit pari now", "Paris"),
+        ("is Foo's here", "Foo"),
+        ("string ring", "ring"),  # only the first place counts
+        ("abc", "xyz"),
+        ("", "xyz"),
+        ("abc", ""),
+    ]
+    got = scored(spark, pairs, 0.85)
+    assert got == {p: m for p in pairs if (m := match_value(*p, 0.85))}
+    assert got[pairs[0]][2] == pytest.approx(16 / 17) and got[pairs[1]][1:3] == ("Brand#13", pytest.approx(14 / 15))
+    assert got[pairs[4]][2] == 1 and got[pairs[7]][3] == 4 and got[pairs[8]][1] == "Foo" and len(got) == 5
 
 
 WORDS = ["red", "ring", "rings", "the", "Brand#1", "Brand#13", "a", "ab", "abcd", "cold-plate", "yes", "id", "(big)", "x's", "New", "York", "newyork", "o'neil"]
@@ -95,9 +150,3 @@ def test_whole_operator_strips_and_repeats_questions(spark):
     assert got == [(1, "red ring", 1.0), (2, "red ring", 1.0)]
     with pytest.raises(ValueError):
         linking.candidate_pairs(q, v, 0)
-
-
-def test_shared_text_is_the_longest(spark):
-    a, b = "show me red rings", "red ring"
-    m = SequenceMatcher(None, a, b).find_longest_match(0, len(a), 0, len(b))
-    assert match_value(a, b, 0.5)[3] == m.size
