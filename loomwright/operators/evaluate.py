@@ -6,17 +6,20 @@ compares them all. Duplicates, row order and column names do not matter; column
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from threading import Timer
+from pathlib import Path
+from threading import Event, Timer
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.session import cut_lineage
+from loomwright.session import shared_folder
 
 # The time limit of one query, and the rows shown of each result that differs.
 TIME_LIMIT_SECONDS = 60
@@ -25,6 +28,43 @@ SHOWN_ROWS = 20
 RESULT_SCHEMA = "item_id bigint, side string, row_no bigint, row_key string"
 
 
+_LIMB = 2.0**43
+
+
+def _whole_digits(d: Column) -> Column:
+    """The digits of a whole double below 1e38, exactly: its value in three parts of 43 bits, each of which is an exact double."""
+    high = F.floor(d / _LIMB**2).cast("double")
+    rest = d - high * _LIMB**2
+    middle = F.floor(rest / _LIMB).cast("double")
+    parts = [p.cast("bigint").cast("decimal(38,0)") for p in (high, middle, rest - middle * _LIMB)]
+    weights = [F.lit(str(int(_LIMB) ** k)).cast("decimal(38,0)") for k in (2, 1)]
+    total = (parts[0] * weights[0]).cast("decimal(38,0)") + (parts[1] * weights[1]).cast("decimal(38,0)") + parts[2]
+    return total.cast("string")
+
+
+def _number_text(c: Column, kind: T.DataType) -> Column:
+    """One text per number, whatever its type: sign, digits without zeros at the ends, and the power of ten of the last digit.
+
+    Nothing is rounded: whole numbers and decimals keep all their digits, a double that is whole has those of its exact value, and
+    one with a fraction the shortest digits that read back as it. NaN and infinities are words.
+    """
+    text = c.cast("string")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        d = c.cast("double")
+        text = d.cast("string")
+        whole = (d % 1.0 == 0) & (F.abs(d) < 1e38)
+        sign = F.when(d < 0, "-").otherwise("")
+        text = F.when(whole, F.concat(sign, _whole_digits(F.abs(d)))).otherwise(text)
+    form = r"^(-?)(\d+)(?:\.(\d+))?(?:E([+-]?\d+))?$"
+    sign, before, after, power = (F.regexp_extract(text, form, i) for i in range(1, 5))
+    digits = F.ltrim(F.concat(before, after), F.lit("0"))
+    short = F.rtrim(digits, F.lit("0"))
+    place = F.when(power == "", 0).otherwise(F.regexp_replace(power, r"\+", "").try_cast("int"))
+    place = place - F.length(after) + F.length(digits) - F.length(short)
+    plain = F.when(short == "", F.lit("0")).otherwise(F.concat(sign, short, F.lit("e"), place.cast("string")))
+    return F.when(text.rlike(form), plain).otherwise(text)
+
+
 def row_key(schema: T.StructType) -> Column:
     """One text per row that is equal exactly when the rows are: NULL equals NULL, 1 equals 1.0, but text is no number.
 
@@ -34,13 +74,9 @@ def row_key(schema: T.StructType) -> Column:
     def cell(field: T.StructField) -> Column:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.BooleanType):
-            c = c.cast("int")
-        if isinstance(field.dataType, (T.IntegralType, T.BooleanType)):
-            text, mark = c.cast("decimal(38,0)").cast("string"), "n"
-        elif isinstance(field.dataType, (T.FractionalType, T.DecimalType)):
-            d = c.cast("double")
-            whole = (d == F.floor(d)) & (F.abs(d) < 1e18)
-            text, mark = F.when(whole, d.cast("decimal(38,0)").cast("string")).otherwise(d.cast("string")), "n"
+            text, mark = _number_text(c.cast("int"), T.IntegerType()), "n"
+        elif isinstance(field.dataType, T.NumericType):
+            text, mark = _number_text(c, field.dataType), "n"
         else:
             text, mark = c.cast("string"), "t"
         return F.coalesce(F.concat(F.lit(mark), F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
@@ -69,43 +105,51 @@ def run_queries(
 ) -> tuple[DataFrame, DataFrame]:
     """Run ``pred_sql`` and ``gold_sql`` of every item on the registered views.
 
-    Returns the item status ``(item_id, status)`` and the result rows. Only submitting happens on the driver; results are
-    written by the executors. A query is interrupted after ``time_limit`` seconds, by its tag.
+    Returns ``(item_id, status, question, pred_sql, gold_sql)`` and the result rows of all items, which the executors write to one
+    folder of the shared scratch space. Only submitting happens on the driver. The jobs of a query carry a tag and are cancelled
+    after ``time_limit`` seconds.
     """
-    def run(item: Mapping, side: str) -> tuple[DataFrame | None, str]:
-        tag = f"item-{item['item_id']}-{side}"
-        expired: list[bool] = []
+    folder = f"{shared_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+
+    def run(item: Mapping, side: str) -> str:
+        tag = f"{Path(folder).name}-{item['item_id']}-{side}"
+        expired = Event()
 
         def stop() -> None:
-            expired.append(True)
-            spark.interruptTag(tag)
+            expired.set()
+            sc.cancelJobsWithTag(tag)
 
-        spark.addTag(tag)
+        sc.addJobTag(tag)
         timer = Timer(time_limit, stop)
         timer.start()
         try:
             df = spark.sql(item[f"{side}_sql"])
             rows = result_rows(df, side, F.lit(item["item_id"]), F.monotonically_increasing_id())
-            return cut_lineage(rows), "ok"
-        except PySparkException:
-            return None, "timeout" if expired else "error"
+            # A folder of its own: what a cancelled query leaves there is never read.
+            rows.write.parquet(f"{folder}/item={item['item_id']}/side={side}")
+            return "ok"
+        except (PySparkException, Py4JJavaError):
+            return "timeout" if expired.is_set() else "error"
         finally:
             timer.cancel()
-            spark.removeTag(tag)
+            sc.removeJobTag(tag)
 
-    def both(item: Mapping) -> tuple[int, str, list[DataFrame]]:
-        gold, gold_status = run(item, "gold")
-        if gold is None:
+    def both(item: Mapping) -> tuple[int, str, list[str]]:
+        if run(item, "gold") != "ok":
             return item["item_id"], "gold_error", []
-        pred, status = run(item, "pred")
-        return item["item_id"], status, [gold] if pred is None else [gold, pred]
+        status = run(item, "pred")
+        sides = ["gold", "pred"] if status == "ok" else ["gold"]
+        return item["item_id"], status, [f"{folder}/item={item['item_id']}/side={s}" for s in sides]
 
+    items = list(items)
     with ThreadPoolExecutor(parallel) as pool:
         done = list(pool.map(both, items))
-    status = spark.createDataFrame([(i, s) for i, s, _ in done], "item_id bigint, status string")
-    frames = [f for _, _, fs in done for f in fs]
-    empty = spark.createDataFrame([], RESULT_SCHEMA)
-    return status, reduce(DataFrame.unionByName, frames, empty)
+    told = [(i, s, x.get("question"), x["pred_sql"], x["gold_sql"]) for (i, s, _), x in zip(done, items)]
+    status = spark.createDataFrame(told, "item_id bigint, status string, question string, pred_sql string, gold_sql string")
+    paths = [p for _, _, ps in done for p in ps]
+    rows = spark.read.schema(RESULT_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], RESULT_SCHEMA)
+    return status, rows
 
 
 def result_set_equality(items: DataFrame, results: DataFrame) -> DataFrame:
@@ -144,14 +188,16 @@ def execution_accuracy(scored: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def mismatch_report(scored: DataFrame, results: DataFrame, rows: int = SHOWN_ROWS) -> DataFrame:
-    """The first ``rows`` result rows of both sides of every item that scored 0."""
-    failed = scored.where(F.col("correct") == 0).select("item_id")
+    """Every item that scored 0, with all that ``scored`` tells of it (status, question, queries), and the first ``rows`` result rows
+    of both sides. An item without rows has one row with a NULL ``side``."""
+    failed = scored.where(F.col("correct") == 0)
     first = Window.partitionBy("item_id", "side").orderBy("row_no")
-    return (
-        results.join(failed, "item_id", "left_semi")
+    shown = (
+        results.join(failed.select("item_id"), "item_id", "left_semi")
         .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= rows)
     )
+    return failed.join(shown, "item_id", "left")
 
 
 def sweep_leaderboard(grid: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("alpha", "ckpt")) -> DataFrame:

@@ -15,7 +15,7 @@ from loomwright.plans.profiling import scratch_path
 from loomwright.plans.registry import query
 from loomwright.session import cut_lineage
 from loomwright.sources import files
-from loomwright.sources.tables import scan_table
+from loomwright.sources.tables import register_views, scan_table
 
 SMALL = 20_000
 _STATUS = "CASE WHEN c_acctbal < -900 THEN 'gold_error' WHEN c_acctbal < -500 THEN 'timeout' WHEN c_acctbal < 0 THEN 'error' ELSE 'ok' END"
@@ -69,17 +69,45 @@ def execution_accuracy(spark, sf):
 
 @query(
     "mismatch_report",
-    f"""SELECT item_id, side, rank, row_no, o_orderpriority AS priority FROM (
-        SELECT r.*, CAST(row_number() OVER (PARTITION BY item_id, side ORDER BY row_no) AS INT) AS rank FROM {_RESULTS_SQL} r
-        WHERE item_id IN (SELECT item_id FROM {_SCORED_SQL} WHERE correct = 0)) WHERE rank <= 20""",
+    f"""SELECT f.item_id, f.status, side, rank, row_no, o_orderpriority AS priority FROM
+        (SELECT * FROM {_SCORED_SQL} WHERE correct = 0) f LEFT JOIN (
+        SELECT r.*, CAST(row_number() OVER (PARTITION BY item_id, side ORDER BY row_no) AS INT) AS rank FROM {_RESULTS_SQL} r) r
+        ON r.item_id = f.item_id AND rank <= 20""",
 )
 def mismatch_report(spark, sf):
     rows = cut_lineage(results(spark, sf))
     report = evaluate.mismatch_report(evaluate.result_set_equality(items(spark, sf), rows), rows)
     # the first cell of the key, between its length and the next cell's mark
-    return report.select(
-        "item_id", "side", "rank", "row_no", F.regexp_extract("row_key", r"^2\|t\d+:(.*)t\d+:.$", 1).alias("priority")
-    )
+    priority = F.when(F.col("row_key").isNotNull(), F.regexp_extract("row_key", r"^2\|t\d+:(.*)t\d+:.$", 1))
+    return report.select("item_id", "status", "side", "rank", "row_no", priority.alias("priority"))
+
+
+# Items whose queries are run: question, gold query, predicted query. The last prediction names a column that is not there.
+_RUN = (
+    ("How many orders?", "SELECT count(*) FROM orders", "SELECT count(o_orderkey) FROM orders"),
+    ("Worth of the orders by status?", "SELECT o_orderstatus, sum(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders GROUP BY o_orderstatus",
+     "SELECT o_orderstatus, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(30,4)) FROM orders GROUP BY 1 ORDER BY 1 DESC"),
+    ("Names of the nations of region 1?", "SELECT n_name FROM nation WHERE n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = 2"),
+    ("Keys of the customers?", "SELECT c_custkey FROM customer", "SELECT CAST(c_custkey AS DOUBLE) + 0.0 FROM customer"),
+    ("Parts without a brand?", "SELECT p_name FROM part WHERE p_brand IS NULL", "SELECT p_name FROM part WHERE p_size < 0"),
+    ("Names of the regions?", "SELECT r_name FROM region", "SELECT r_label FROM region"),
+)
+
+
+def _same_sql(i: int, gold: str, pred: str) -> str:
+    right = "r_label" not in pred
+    same = f"NOT EXISTS ({gold} EXCEPT {pred}) AND NOT EXISTS ({pred} EXCEPT {gold})".replace(" ORDER BY 1 DESC", "")
+    score = f"CAST({same} AS INT)" if right else "CAST(0 AS INT)"
+    return f"SELECT CAST({i} AS BIGINT) AS item_id, '{'ok' if right else 'error'}' AS status, {score} AS correct"
+
+
+@query("run_queries", " UNION ALL ".join(_same_sql(i, g, p) for i, (_, g, p) in enumerate(_RUN)))
+def run_queries(spark, sf):
+    """Runs both queries of every item on the tables and compares their results."""
+    register_views(inputs.databases(spark, sf, "star")["star"])
+    asked = [{"item_id": i, "question": q, "gold_sql": g, "pred_sql": p} for i, (q, g, p) in enumerate(_RUN)]
+    made = evaluate.result_set_equality(*evaluate.run_queries(spark, asked))
+    return made.select("item_id", "status", "correct")
 
 
 @query(

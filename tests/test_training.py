@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,7 +165,34 @@ def test_queries_are_run_and_failures_kept(spark):
     status, rows = evaluate.run_queries(spark, todo, parallel=2)
     scored = evaluate.result_set_equality(status, rows)
     assert {r.item_id: (r.status, r.correct) for r in scored.collect()} == {1: ("ok", 1), 2: ("error", 0), 3: ("gold_error", None), 4: ("ok", 0)}
-    assert evaluate.mismatch_report(scored, rows).count() == 8
+    report = evaluate.mismatch_report(scored, rows)
+    assert report.count() == 8  # five gold and two predicted rows of item 4, the gold row of item 2
+    assert {"question", "pred_sql", "gold_sql"} <= set(report.columns)
+
+
+def test_slow_queries_are_cut_off(spark):
+    slow = "select count(*) from range(3000000) a join range(3000000) b on a.id % 2 = b.id % 2"
+    todo = [{"item_id": i, "pred_sql": slow, "gold_sql": "select 1"} for i in range(2)]
+    todo.append({"item_id": 2, "pred_sql": "select 1", "gold_sql": "select 1"})
+    began = time.monotonic()
+    status, rows = evaluate.run_queries(spark, todo, time_limit=3)
+    assert time.monotonic() - began < 40
+    scored = evaluate.result_set_equality(status, rows)
+    assert {r.item_id: (r.status, r.correct) for r in scored.collect()} == {0: ("timeout", 0), 1: ("timeout", 0), 2: ("ok", 1)}
+
+
+def test_numbers_are_compared_exactly(spark):
+    def same(x, y):
+        return evaluate.same_rows(spark.sql(f"select {x}"), spark.sql(f"select {y}"))
+
+    assert same("1", "1.0D") and same("cast(1e18 as bigint)", "1e18D") and same("1.50BD", "1.5D") and same("-0.0D", "0")
+    assert same("cast('1180591620717411303424' as decimal(38,0))", "1180591620717411303424D")
+    assert same("4611686018427387904", "4611686018427387904D") and not same("4611686018427387905", "4611686018427387904D")
+    close = "cast('12345678901234567890.0{}' as decimal(38,2))"
+    assert not same(close.format(1), close.format(2)) and same(close.format(1), close.format(1))
+    assert same("cast('0.0000000001' as decimal(20,10))", "1e-10D") and not same("1e-10D", "1e-11D")
+    assert same("double('NaN')", "float('NaN')") and not same("double('inf')", "double('-inf')") and not same("'1'", "1")
+    assert same("1e300D", "1e300D") and not same("1e300D", "1e299D") and same("true", "1") and same("1000", "1e3D")
 
 
 def test_sweep(spark):
