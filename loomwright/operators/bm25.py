@@ -1,7 +1,7 @@
 """BM25 index of texts, and search through it.
 
 Scores use ``ln(1 + (N − df + 0.5)/(df + 0.5)) · tf/(tf + k1·(1 − b + b·dl/avgdl))``. Terms are lower-cased runs of letters
-a to z and digits; there is no stemming and no stopword list.
+and digits of any script; there is no stemming and no stopword list.
 """
 
 from __future__ import annotations
@@ -11,11 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.session import broadcast_if_small
-
 K1 = 0.9
 B = 0.4
-TERM_PATTERN = "[a-z0-9]+"
+TERM_PATTERN = r"[\p{L}\p{N}]+"
 
 
 def terms(text: Column | str) -> Column:
@@ -111,7 +109,7 @@ def query_weights(index: Index, queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """The score of every document that shares a term with a query. A repeated query term counts as often as it occurs."""
-    weights = broadcast_if_small(query_weights(index, queries))
+    weights = query_weights(index, queries)
     return (
         index.postings.select("db_id", "doc_id", "dl", "term", "tf")
         .join(weights, ["db_id", "term"])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import strip
 from loomwright.operators.ordering import ordered_index
-from loomwright.session import broadcast_if_small
 
 # Corpus order in the packed stream, and the divisors that give the slices.
 CORPORA = ("pure_sql", "text2code", "text2text")
@@ -20,7 +19,12 @@ SHARDS = 2048
 MAX_TOKEN_ID = 65535
 VOCABULARY_SIZE = 49152
 
-EOS, UNKNOWN, FIRST_WORD_ID = 0, 1, 2
+# Ids: the end of a sequence, one that is kept free, the 256 bytes, then words by falling frequency.
+EOS, FREE, FIRST_BYTE_ID, FIRST_WORD_ID = 0, 1, 2, 258
+# A word is a run of letters, a run of digits, or any other single character, so that words put together give the text again.
+WORD_PATTERN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}]"
+# Longer words are spelled in bytes, which bounds the size of a vocabulary.
+LONGEST_WORD = 64
 KEY = ["corpus_ord", "corpus", "idx"]
 
 
@@ -42,35 +46,45 @@ def corpus_union(corpora: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def words(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
 def vocabulary(df: DataFrame, text: str = "sequence", size: int = VOCABULARY_SIZE) -> DataFrame:
-    """``(word, token_id)`` by falling frequency, then by word. At most ``size`` ids are given, 0 is the end of a sequence
-    and 1 stands for every other word, so the result is bounded and may be broadcast."""
-    counts = df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.orderBy(F.desc("n"), "word").limit(size - FIRST_WORD_ID)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))  # over at most ``size`` rows
+    """``(word, token_id)`` by falling frequency, then by word.
+
+    ``size`` ids are given in all, with the end mark and the bytes that spell every other word, so the result has fewer than ``size`` rows of
+    at most ``LONGEST_WORD`` characters and may be broadcast. These rows pass one task.
+    """
+    found = df.select(F.explode(words(text)).alias("word")).where(F.length("word") <= LONGEST_WORD)
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    kept = counts.orderBy(F.desc("n"), "word").limit(max(size - FIRST_WORD_ID, 0))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
     return kept.select("word", (rank + (FIRST_WORD_ID - 1)).cast("int").alias("token_id"))
 
 
+def byte_ids(word: Column) -> Column:
+    """The ids of the word's bytes in UTF-8."""
+    spelled = F.hex(word)
+    starts = F.sequence(F.lit(1), F.length(spelled), F.lit(2))
+    return F.transform(starts, lambda i: (F.conv(F.substring(spelled, i, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE_ID))
+
+
 def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "sequence") -> DataFrame:
-    """``input_ids`` (word ids and the end mark) and ``length`` per row; other columns are dropped.
+    """``input_ids`` (ids of words or, where the vocabulary lacks a word, of its bytes, and the end mark) and ``length`` per row; other
+    columns are dropped. ``detokenize`` gives the text again.
 
     Rows are first partitioned by their key, so that taking the words apart, looking them up in the broadcast vocabulary and
     putting them together again happens inside one task, without moving single tokens.
     """
-    vocab = broadcast_if_small(vocab)
     tokens = (
         df.select(*keys, text)
         .repartition(*keys)
         .select(*keys, F.posexplode_outer(words(text)).alias("_pos", "word"))
-        .join(vocab, "word", "left")
+        .join(F.broadcast(vocab), "word", "left")
     )
-    one = F.when(
-        F.col("word").isNotNull(), F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
-    )
-    ids = F.transform(F.array_sort(F.collect_list(one)), lambda t: t["id"])
+    ids = F.when(F.col("token_id").isNotNull(), F.array("token_id")).otherwise(byte_ids(F.col("word")))
+    one = F.when(F.col("word").isNotNull(), F.struct("_pos", ids.alias("ids")))
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda t: t["ids"]))
     return (
         tokens.groupBy(*keys)
         .agg(F.concat(ids, F.array(F.lit(EOS))).alias("input_ids"))
@@ -78,6 +92,17 @@ def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "
     )
 
 
+def detokenize(tokens: DataFrame, vocab: DataFrame, keys: Sequence[str], out: str = "sequence") -> DataFrame:
+    """``keys`` and the text of ``input_ids``; marks add nothing."""
+    spelled = F.when(F.col("word").isNotNull(), F.hex("word")).when(
+        F.col("token_id").between(FIRST_BYTE_ID, FIRST_WORD_ID - 1), F.lpad(F.hex(F.col("token_id") - FIRST_BYTE_ID), 2, "0")
+    )
+    parts = tokens.select(*keys, F.posexplode_outer("input_ids").alias("_pos", "token_id"))
+    parts = parts.join(F.broadcast(vocab), "token_id", "left").withColumn("_part", F.struct("_pos", F.coalesce(spelled, F.lit("")).alias("hex")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda t: t["hex"]), "")
+    return parts.groupBy(*keys).agg(F.decode(F.unhex(whole), "UTF-8").alias(out))
+
+
 def tokenize_with(df: DataFrame, encode, keys: Sequence[str], eos: int, text: str = "sequence") -> DataFrame:
     """As :func:`tokenize` with a real tokenizer: ``encode(list of texts) -> list of id lists`` is called per Arrow batch."""
 

@@ -28,12 +28,16 @@ KINDS = ("fkl", "revkl", "ce", "mse", "pmse", "js", "mixkl")
 
 
 def student_teacher_join(student: DataFrame, teacher: DataFrame) -> DataFrame:
-    """Both models' logits per position. Fails when the vocabularies differ.
+    """Both models' logits per position. Fails when the vocabularies differ or a position has the logits of one model only.
 
     At scale keep both tables bucketed by ``batch_id, example_id``: the join then needs no shuffle.
     """
     t = teacher.select(*POSITION, F.col("logits").alias("teacher"))
-    joined = student.withColumnRenamed("logits", "student").join(t, POSITION)
+    joined = student.withColumnRenamed("logits", "student").join(t, POSITION, "full")
+    paired = F.assert_true(
+        F.col("student").isNotNull() & F.col("teacher").isNotNull(), F.lit("a position is without logits of one model")
+    )
+    joined = joined.withColumn("student", F.when(paired.isNull(), F.col("student")))
     same = F.assert_true(F.size("student") == F.size("teacher"), F.lit("student and teacher vocabularies differ"))
     # assert_true gives NULL when it holds, so coalesce only makes sure that it is evaluated
     return joined.withColumn("teacher", F.when(same.isNull(), F.col("teacher")))

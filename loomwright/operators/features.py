@@ -50,11 +50,13 @@ def features_train(df: DataFrame, max_tokens: int, bos: int, eos: int, pad: int)
 def features_kd(df: DataFrame, teacher_logits: DataFrame, max_tokens: int, bos: int, eos: int, pad: int, key: str) -> DataFrame:
     """:func:`features_train` with the teacher's logits of the example, an array of one logit array per position.
 
-    ``teacher_logits(key, pos, logits)`` holds at most ``max_tokens`` rows per example.
+    ``teacher_logits(key, pos, logits)`` holds at most ``max_tokens`` rows per example. Fails when an example has none.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "logits"))), lambda p: p["logits"])
     per_example = teacher_logits.groupBy(key).agg(ordered.alias("teacher_logits"))
-    return features_train(df, max_tokens, bos, eos, pad).join(per_example, key)
+    made = features_train(df, max_tokens, bos, eos, pad).join(per_example, key, "left")
+    there = F.assert_true(F.col("teacher_logits").isNotNull(), F.lit("an example is without teacher logits"))
+    return made.withColumn("teacher_logits", F.when(there.isNull(), F.col("teacher_logits")))
 
 
 def features_ppo(df: DataFrame, max_tokens: int, bos: int, eos: int, pad: int) -> DataFrame:

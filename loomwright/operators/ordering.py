@@ -70,13 +70,12 @@ def ordered_index(
 def overlapping_chunks(
     df: DataFrame, order: Sequence[str], group: Sequence[str], lookback: int, chunk_rows: int = 100_000
 ) -> tuple[DataFrame, list[str]]:
-    """Cut every group into runs of ``chunk_rows`` rows, each led by the ``lookback`` rows before it.
+    """Cut every group into runs of ``chunk_rows`` rows (at least twice the look-back), each led by the ``lookback`` rows before it.
 
     Windows that look back at most ``lookback`` rows may then partition by the returned columns (group and ``_chunk``),
     whose size is bounded however large the group is. Rows with ``_lead`` true are context: drop them afterwards.
     """
-    if lookback >= chunk_rows:
-        raise ValueError("lookback must be smaller than chunk_rows")
+    chunk_rows = max(chunk_rows, 2 * lookback)
     placed = ordered_index(df, order, group, name="_pos")
     home = F.expr(f"_pos div {chunk_rows}")
     is_tail = F.col("_pos") % chunk_rows >= chunk_rows - lookback

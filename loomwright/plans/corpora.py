@@ -54,6 +54,15 @@ def _tokens(spark, sf):
     return cut_lineage(corpus.tokenize(sequences, corpus.vocabulary(sequences), KEY))
 
 
+@query("detokenize", f"SELECT corpus, idx, md5(sequence) AS sequence_md5 FROM {inputs.CORPORA_SQL}")
+def detokenize(spark, sf):
+    """The texts restored from their ids."""
+    sequences = cut_lineage(inputs.corpora(spark, sf))
+    vocab = cut_lineage(corpus.vocabulary(sequences))
+    restored = corpus.detokenize(corpus.tokenize(sequences, vocab, KEY), vocab, KEY)
+    return restored.select("corpus", "idx", F.md5("sequence").alias("sequence_md5"))
+
+
 @query(
     "tokenize",
     f"""WITH {inputs.TOKENS_WITH} SELECT corpus, idx, string_agg(id, ',' ORDER BY pos) AS input_ids, count(*) AS length
@@ -65,40 +74,33 @@ def tokenize(spark, sf):
     return tokens.select("corpus", "idx", joined("input_ids").alias("input_ids"), "length")
 
 
-_LENGTHS_SQL = f"(SELECT corpus_ord, corpus, idx, len(words) + 1 AS length FROM {inputs.WORDS_SQL})"
-_SLICES_SQL = f"""(SELECT l.*, slice FROM {_LENGTHS_SQL} l JOIN (SELECT corpus, count(*) AS n FROM {_LENGTHS_SQL} GROUP BY corpus) c
+_SLICES_SQL = """(SELECT l.*, slice FROM l JOIN (SELECT corpus, count(*) AS n FROM l GROUP BY corpus) c
     USING (corpus) CROSS JOIN (VALUES (0, 2), (1, 4), (2, 6), (3, 8)) AS d(slice, divisor)
     WHERE idx < n // divisor * CASE WHEN corpus = 'pure_sql' THEN 2 ELSE 1 END)"""
 
 
-def _lengths(spark, sf):
-    """Token counts without the ids themselves."""
-    return inputs.corpora(spark, sf).select(
-        *KEY, (F.size(corpus.words("sequence")) + 1).cast("bigint").alias("length")
-    )
-
-
-@query("corpus_slices", f"SELECT corpus, slice, idx, length FROM {_SLICES_SQL}")
+@query("corpus_slices", f"WITH {inputs.TOKENS_WITH} SELECT corpus, slice, idx, length FROM {_SLICES_SQL}")
 def corpus_slices(spark, sf):
-    return corpus.corpus_slices(cut_lineage(_lengths(spark, sf))).select("corpus", "slice", "idx", "length")
+    return corpus.corpus_slices(_tokens(spark, sf)).select("corpus", "slice", "idx", "length")
 
 
 @query(
     "corpus_token_count",
-    f"""SELECT slice, corpus, CAST(sum(length) AS BIGINT) AS n_tokens, count(*) AS n_rows FROM {_SLICES_SQL}
+    f"""WITH {inputs.TOKENS_WITH} SELECT slice, corpus, CAST(sum(length) AS BIGINT) AS n_tokens, count(*) AS n_rows FROM {_SLICES_SQL}
     GROUP BY GROUPING SETS ((slice, corpus), (slice))""",
 )
 def corpus_token_count(spark, sf):
-    return corpus.corpus_token_count(corpus.corpus_slices(cut_lineage(_lengths(spark, sf))))
+    return corpus.corpus_token_count(corpus.corpus_slices(_tokens(spark, sf)))
 
 
 @query(
     "prefix_offset",
-    f"""SELECT corpus, idx, length, row_number() OVER o - 1 AS seq, CAST(sum(length) OVER o - length AS BIGINT) AS "offset"
-    FROM {_LENGTHS_SQL} WINDOW o AS (ORDER BY corpus_ord, idx)""",
+    f"""WITH {inputs.TOKENS_WITH}
+    SELECT corpus, idx, length, row_number() OVER o - 1 AS seq, CAST(sum(length) OVER o - length AS BIGINT) AS "offset"
+    FROM l WINDOW o AS (ORDER BY corpus_ord, idx)""",
 )
 def prefix_offset(spark, sf):
-    return corpus.prefix_offset(_lengths(spark, sf)).drop("corpus_ord")
+    return corpus.prefix_offset(_tokens(spark, sf)).drop("corpus_ord")
 
 
 _BLOCKS_SQL = f"""WITH {inputs.TOKENS_WITH}, g AS (
@@ -127,8 +129,8 @@ def write_blocks(spark, sf):
 @query(
     "contiguous_shard",
     f"""SELECT corpus, idx, CASE WHEN idx < r * (q + 1) THEN idx // (q + 1) ELSE r + (idx - r * (q + 1)) // nullif(q, 0) END AS shard
-    FROM (SELECT l.corpus, idx, n // 2048 AS q, n % 2048 AS r FROM {_LENGTHS_SQL} l
-        JOIN (SELECT corpus, count(*) AS n FROM {_LENGTHS_SQL} GROUP BY corpus) c USING (corpus))""",
+    FROM (SELECT l.corpus, idx, n // 2048 AS q, n % 2048 AS r FROM {inputs.CORPORA_SQL} l
+        JOIN (SELECT corpus, count(*) AS n FROM {inputs.CORPORA_SQL} GROUP BY corpus) c USING (corpus))""",
 )
 def contiguous_shard(spark, sf):
     rows = cut_lineage(inputs.corpora(spark, sf).select("corpus", "idx"))
@@ -177,15 +179,16 @@ def _examples(spark, sf):
 
 def _example_with(target_text: str = "text") -> str:
     """x: one row per example with prefix (p, led by the begin mark) and target (y, followed by the end mark) as lists."""
-    return f"""WITH w AS MATERIALIZED (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '[a-z0-9]+') AS words,
-            regexp_extract_all(lower({target_text}), '[a-z0-9]+') AS other FROM conversations),
+    def listed(words: str) -> str:
+        exploded = f"SELECT conv_id, turn, unnest({words}) AS word, generate_subscripts({words}, 1) AS p FROM w"
+        return f"""SELECT conv_id, turn, list(id ORDER BY pos) AS ids FROM ({inputs.ids_sql("conv_id, turn", exploded)})
+            GROUP BY conv_id, turn"""
+
+    return f"""WITH w AS MATERIALIZED (SELECT conv_id, turn, role, regexp_extract_all(text, '{inputs.WORD}') AS words,
+            regexp_extract_all({target_text}, '{inputs.WORD}') AS other FROM conversations),
         v AS MATERIALIZED {inputs.VOCABULARY_SQL},
-        i AS MATERIALIZED (SELECT conv_id, turn, list(coalesce(token_id, 1) ORDER BY p) AS ids FROM (
-            SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w) LEFT JOIN v USING (word)
-            GROUP BY conv_id, turn),
-        j AS MATERIALIZED (SELECT conv_id, turn, list(coalesce(token_id, 1) ORDER BY p) AS ids FROM (
-            SELECT conv_id, turn, unnest(other) AS word, generate_subscripts(other, 1) AS p FROM w) LEFT JOIN v USING (word)
-            GROUP BY conv_id, turn),
+        i AS MATERIALIZED ({listed("words")}),
+        j AS MATERIALIZED ({listed("other")}),
         x AS MATERIALIZED (SELECT a.conv_id || '/' || a.turn AS example, list_concat([{BOS}], coalesce(i.ids, [])) AS p,
             list_concat(coalesce(j.ids, []), [0]) AS y FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
             LEFT JOIN i ON i.conv_id = a.conv_id AND i.turn = a.turn

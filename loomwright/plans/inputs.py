@@ -201,7 +201,7 @@ QUESTIONS_SQL = """(SELECT p_partkey AS question_id, 'star' AS db_id,
 
 def raw_corpora(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, list[str], list[str]]]:
     """Per corpus its rows, its order columns and its text columns."""
-    docs = scan_table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("sql"))
+    docs = scan_table(spark, sf, "documents").select("doc_id", F.col("text").alias("sql"))
     turns = scan_table(spark, sf, "conversations")
     asked = turns.where("role = 'user'").select("conv_id", "turn", "text")
     answers = turns.where("role = 'assistant'").select(
@@ -229,7 +229,7 @@ def corpora(spark: SparkSession, sf: str) -> DataFrame:
 
 CORPORA_SQL = r"""(
     SELECT 0 AS corpus_ord, 'pure_sql' AS corpus, row_number() OVER (ORDER BY doc_id) - 1 AS idx,
-        regexp_replace(text, '^\s+|\s+$', '', 'g') AS sequence FROM documents WHERE lang = 'en'
+        regexp_replace(text, '^\s+|\s+$', '', 'g') AS sequence FROM documents
     UNION ALL
     SELECT 1, 'text2code', row_number() OVER (ORDER BY conv_id, turn) - 1,
         regexp_replace(text || chr(10) || code, '^\s+|\s+$', '', 'g') FROM (
@@ -238,19 +238,30 @@ CORPORA_SQL = r"""(
     UNION ALL
     SELECT 2, 'text2text', row_number() OVER (ORDER BY item_id) - 1,
         regexp_replace(text || chr(10) || text, '^\s+|\s+$', '', 'g') FROM benchmark)"""
-WORDS_SQL = f"""(SELECT corpus_ord, corpus, idx, regexp_extract_all(lower(sequence), '[a-z0-9]+') AS words
+WORD = r"\p{L}+|\p{N}+|[^\p{L}\p{N}]"
+WORDS_SQL = f"""(SELECT corpus_ord, corpus, idx, regexp_extract_all(sequence, '{WORD}') AS words
     FROM {CORPORA_SQL})"""
-VOCABULARY_SQL = """(SELECT word, rank + 1 AS token_id FROM (
+VOCABULARY_SQL = """(SELECT word, rank + 257 AS token_id FROM (
     SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rank FROM (
-        SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) GROUP BY word))
-    WHERE rank <= 49150)"""
-# common table expressions: w (words), v (vocabulary), t (one row per token, position from 1, end mark last)
+        SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) WHERE length(word) <= 64 GROUP BY word))
+    WHERE rank <= 48894)"""
+
+
+def ids_sql(keys: str, words: str) -> str:
+    """One row per id with its place: words by the vocabulary ``v``, other words by their bytes."""
+    return f"""SELECT {keys}, p * 1048576 AS pos, token_id AS id FROM ({words}) JOIN v USING (word)
+        UNION ALL SELECT {keys}, p * 1048576 + k, CAST('0x' || hh AS INT) + 2 FROM (
+            SELECT {keys}, p, unnest(spelled) AS hh, generate_subscripts(spelled, 1) AS k FROM (
+                SELECT {keys}, p, regexp_extract_all(hex(encode(word)), '..') AS spelled FROM ({words}) ANTI JOIN v USING (word)))"""
+
+
+_KEYS = "corpus_ord, corpus, idx"
+_EXPLODED = f"SELECT {_KEYS}, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w"
+# common table expressions: w (words), v (vocabulary), t (one row per token, in order of pos, end mark last), l (tokens per sequence)
 TOKENS_WITH = f"""w AS MATERIALIZED (SELECT * FROM {WORDS_SQL}), v AS MATERIALIZED (SELECT * FROM {VOCABULARY_SQL}),
-    t AS MATERIALIZED (
-        SELECT corpus_ord, corpus, idx, p AS pos, coalesce(token_id, 1) AS id FROM (
-            SELECT corpus_ord, corpus, idx, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w) x
-        LEFT JOIN v USING (word)
-        UNION ALL SELECT corpus_ord, corpus, idx, len(words) + 1, 0 FROM w)"""
+    t AS MATERIALIZED ({ids_sql(_KEYS, _EXPLODED)}
+        UNION ALL SELECT {_KEYS}, (len(words) + 1) * 1048576, 0 FROM w),
+    l AS MATERIALIZED (SELECT {_KEYS}, count(*) AS length FROM t GROUP BY {_KEYS})"""
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -277,8 +288,11 @@ def student_logits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def teacher_logits(spark: SparkSession, sf: str) -> DataFrame:
-    """The next vector's logits; the last vector has no teacher."""
-    return _logits(scan_table(spark, sf, "embeddings").withColumn("vec_id", F.col("vec_id") - 1))
+    """The next vector's logits; the last vector has the first one as its teacher."""
+    vectors = scan_table(spark, sf, "embeddings")
+    count = vectors.agg(F.count(F.lit(1)).alias("n"))
+    before = F.when(F.col("vec_id") == 0, F.col("n")).otherwise(F.col("vec_id")) - 1
+    return _logits(vectors.join(F.broadcast(count)).withColumn("vec_id", before))  # one row
 
 
 def _logits(df: DataFrame) -> DataFrame:
@@ -294,7 +308,7 @@ def _logits(df: DataFrame) -> DataFrame:
 # z: one row per position and element, with student and teacher logits as doubles
 LOGITS_SQL = """(SELECT s.vec_id, s.vec_id // 8 AS batch_id, s.vec_id // 2 AS example_id, s.vec_id % 2 AS pos,
     unnest(s.embedding)::DOUBLE AS s, unnest(t.embedding)::DOUBLE AS t, generate_subscripts(s.embedding, 1) AS i
-    FROM embeddings s JOIN embeddings t ON t.vec_id = s.vec_id + 1)"""
+    FROM embeddings s JOIN embeddings t ON t.vec_id = (s.vec_id + 1) % (SELECT count(*) FROM embeddings))"""
 
 
 def loss_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -85,7 +85,7 @@ def topk_matches(spark, sf):
 # ---------------------------------------------------------------------------------------------------------------------
 # BM25: the documents are indexed, the benchmark texts are the queries
 
-_TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _POSTINGS_SQL = f"""(SELECT doc_id, dl, term, count(*) AS tf, string_agg(p - 1, ',' ORDER BY p) AS positions FROM (
     SELECT doc_id, len(terms) AS dl, unnest(terms) AS term, generate_subscripts(terms, 1) AS p FROM (
         SELECT doc_id, {_TERMS} AS terms FROM documents)) GROUP BY doc_id, dl, term)"""

@@ -237,18 +237,20 @@ def alpha_schedule(spark, sf):
         e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY example) - 1 AS r FROM n)
     SELECT input_ids, attention_mask, labels, example, teacher_sum FROM (SELECT {_TRAIN_COLUMNS} FROM n) JOIN (
         SELECT example, round(sum(list_sum(list_transform(embedding, lambda q: q::DOUBLE))), 6) AS teacher_sum
-        FROM e JOIN l ON l.r // 2 = e.r GROUP BY example) USING (example)""",
+        FROM e CROSS JOIN (VALUES (0), (1)) AS two(pos) JOIN l ON l.r = (2 * e.r + pos) % (SELECT count(*) FROM l)
+        GROUP BY example) USING (example)""",
 )
 def features_kd(spark, sf):
-    """Two logged positions per example, for as many examples as there are logits."""
+    """Two logged positions per example; when there are more examples, the log starts again."""
     from loomwright.operators.corpus import row_index
 
     examples = _examples(spark, sf)
     numbered = row_index(examples.select("example"), ["example"])
     logged = row_index(scan_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("logits")), ["vec_id"])
-    teacher = logged.select(
-        F.expr("idx div 2").alias("idx"), F.expr("cast(idx % 2 as int)").alias("pos"), "logits"
-    ).join(numbered, "idx")
+    count = logged.agg(F.count(F.lit(1)).alias("n"))  # one row
+    places = numbered.select("example", "idx", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).join(F.broadcast(count))
+    places = places.select("example", "pos", ((F.col("idx") * 2 + F.col("pos")) % F.col("n")).alias("idx"))
+    teacher = places.join(logged, "idx")
     made = features.features_kd(examples, teacher, MAX_TOKENS, BOS, EOS, PAD, "example")
     total = F.aggregate(F.flatten("teacher_logits").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
     return made.select(

@@ -103,13 +103,13 @@ _FILTERED = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS + COMM
 @query(
     "stopword_filter",
     f"""SELECT word, count(*) AS n FROM (
-        SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents)
+        SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}'']+')) AS word FROM documents)
     WHERE word NOT IN ({_FILTERED}) GROUP BY word""",
 )
 def stopword_filter(spark, sf):
     text = F.lower("text")
     found = scan_table(spark, sf, "documents").select(
-        F.explode(F.regexp_extract_all(text, F.lit("[a-z']+"), F.lit(0))).alias("word")
+        F.explode(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}']+"), F.lit(0))).alias("word")
     )
     return found.where(~is_filtered_word("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "loomwright", **conf: str) -> SparkSession:
@@ -51,13 +50,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``df`` written once, with a broadcast hint if it really has at most ``max_rows`` rows; else left to a shuffle join.
-
-    For narrow frames only: ``max_rows`` stands for some tens of megabytes.
-    """
-    written = cut_lineage(df)
-    few = written.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(written) if few else written

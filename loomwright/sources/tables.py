@@ -31,12 +31,6 @@ def scan_database(spark: SparkSession, folder: str, tables: Sequence[str]) -> di
     return {t: scan_table(spark, folder, t) for t in tables if t not in SYSTEM_TABLES}
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """One table of a live database. Give ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` in
-    ``options`` to read it in parallel."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Make the tables available to ``spark.sql``."""
     for name, df in tables.items():

@@ -103,9 +103,9 @@ def test_schedule(spark):
 
 def test_tokens_and_slices(spark):
     df = spark.createDataFrame([(0, "pure_sql", i, t) for i, t in enumerate(["a b a", "", "A c", "?!"])], "corpus_ord int, corpus string, idx long, sequence string")
-    vocab = corpus.vocabulary(df, size=4)  # room for two words
+    vocab = corpus.vocabulary(df, size=corpus.FIRST_WORD_ID + 2)  # the blank and the letter a
     got = [r.input_ids for r in corpus.tokenize(df, vocab, ["corpus_ord", "corpus", "idx"]).orderBy("idx").collect()]
-    assert got == [[2, 3, 2, 0], [0], [2, 1, 0], [0]]
+    assert got == [[259, 258, 100, 258, 259, 0], [0], [67, 258, 101, 0], [65, 35, 0]]
     real = corpus.tokenize_with(df, lambda texts: [[len(t)] for t in texts], ["idx"], eos=9).orderBy("idx").collect()
     assert [r.input_ids for r in real] == [[5, 9], [0, 9], [3, 9], [2, 9]] and real[0].length == 2
     five = spark.createDataFrame([(0, "pure_sql", i, 1) for i in range(5)] + [(1, "text2code", i, 1) for i in range(5)], "corpus_ord int, corpus string, idx long, length long")
@@ -113,6 +113,26 @@ def test_tokens_and_slices(spark):
     assert counts == {("pure_sql", 0): 4, ("pure_sql", 1): 2, ("text2code", 0): 2, ("text2code", 1): 1}
 
 
+def test_tokens_give_the_text_again(spark):
+    texts = ["", " a\t\n b  ", "für 12 Straßen, 日本語😀 ١٢ e\u0301!", "long" * 100, "x" * 64 + " " + "x" * 65, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, sequence string")
+    for size in (corpus.FIRST_WORD_ID, corpus.FIRST_WORD_ID + 3, corpus.VOCABULARY_SIZE):
+        vocab = corpus.vocabulary(df, size=size)
+        back = corpus.detokenize(corpus.tokenize(df, vocab, ["k"]), vocab, ["k"])
+        assert [r.sequence for r in back.orderBy("k").collect()] == [t or "" for t in texts]
+
+
+def test_every_position_and_example_has_logits(spark):
+    logits = spark.createDataFrame([(0, 0, p, [1.0, 2.0], 1) for p in range(2)], "batch_id long, example_id long, pos int, logits array<float>, label int")
+    for student, teacher in ((logits, logits.where("pos = 0")), (logits.where("pos = 0"), logits)):
+        with pytest.raises(Exception, match="without"):
+            distill.student_teacher_join(student, teacher.drop("label")).collect()
+    assert distill.student_teacher_join(logits, logits.drop("label")).count() == 2
+    taught = spark.createDataFrame([(0, 0, [1.0])], "k int, pos int, logits array<float>")
+    with pytest.raises(Exception, match="without"):
+        features.features_kd(examples(spark, [([1], [2]), ([3], [4])]), taught, 8, BOS, EOS, PAD, "k").collect()
+
+
 def test_convergence_over_chunks(spark):
     rng = random.Random(2)
     losses = [rng.choice([1.0, 1.0, 1.00001, 2.0]) for _ in range(60)]
