@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import MAX_VALUE_LENGTH, is_short_value, strip
@@ -45,11 +45,7 @@ def content_documents(values: DataFrame, limit: int = MAX_VALUE_LENGTH) -> DataF
     return kept.select(*COLUMN_KEY, "c_id", doc_id.alias("id"), F.col("value").alias("contents"))
 
 
-def sample_values(values: DataFrame, n: int = 2, limit: int = MAX_VALUE_LENGTH) -> DataFrame:
-    """The first ``n`` distinct values of every column by value, then stripped and length-filtered: 0 to ``n`` remain.
-
-    ``row_number() <= n`` is cut in every task before the shuffle, so a hot column sends ``n`` rows per task.
-    """
-    first = Window.partitionBy(*COLUMN_KEY).orderBy("value")
-    top = values.withColumn("ord", F.row_number().over(first)).where(F.col("ord") <= n)
-    return short_values(top, limit)
+def sample_values(smallest: DataFrame, limit: int = MAX_VALUE_LENGTH) -> DataFrame:
+    """The samples of every column: its first distinct values (:func:`loomwright.sources.tables.scan_smallest_values`), then
+    stripped and length-filtered, so that fewer may remain."""
+    return short_values(smallest, limit)

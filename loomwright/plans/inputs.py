@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.operators.corpus import corpus_text, corpus_union, row_index
+from loomwright.operators.profile import sample_values
 from loomwright.operators.schema import comment_enrich, schema_columns
 from loomwright.sources.tables import (
     catalog_columns,
     non_null_counts,
     scan_database,
     scan_distinct_values,
+    scan_smallest_values,
     scan_table,
 )
 
@@ -106,6 +108,11 @@ def text_values(spark: SparkSession, sf: str, *only: str) -> DataFrame:
     return scan_distinct_values(databases(spark, sf, *only), text_only=True)
 
 
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample values of every column."""
+    return sample_values(scan_smallest_values(databases(spark, sf)))
+
+
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     """All columns with the number of cells they hold."""
     dbs = databases(spark, sf)
@@ -180,7 +187,7 @@ SAMPLES_SQL = f"""(SELECT db_id, table_name, column_name, ord, trim_value AS val
 
 
 # ---------------------------------------------------------------------------------------------------------------------
-# Questions about articles
+# Questions about articles and pages
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,11 +195,17 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(
         F.lit("How many "), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(" cost more than 10?")
     )
-    return part.select(F.col("p_partkey").alias("question_id"), F.lit("star").alias("db_id"), text.alias("question"))
+    about_parts = part.select(F.col("p_partkey").alias("question_id"), F.lit("star").alias("db_id"), text.alias("question"))
+    said = F.concat(F.lit("Where is it said that "), F.substring("text", 1, 20), F.lit("?"))
+    about_pages = scan_table(spark, sf, "benchmark").select(
+        (-1 - F.col("item_id")).alias("question_id"), F.lit("web").alias("db_id"), said.alias("question")
+    )
+    return about_parts.unionByName(about_pages)
 
 
 QUESTIONS_SQL = """(SELECT p_partkey AS question_id, 'star' AS db_id,
-    'How many ' || p_name || ' of ' || p_brand || ' cost more than 10?' AS question FROM part)"""
+    'How many ' || p_name || ' of ' || p_brand || ' cost more than 10?' AS question FROM part
+    UNION ALL SELECT -1 - item_id, 'web', 'Where is it said that ' || substr(text, 1, 20) || '?' FROM benchmark)"""
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -26,11 +26,11 @@ def _words(*lists) -> str:
 # The first place of the value in the question must be bounded on both sides by a separator or an end of the text.
 _EXACT_SQL = f"""WITH v AS MATERIALIZED (SELECT table_name, column_name, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS value
         FROM ({inputs.values_sql('star', kinds='t')})),
-    q AS MATERIALIZED (SELECT DISTINCT question FROM {inputs.QUESTIONS_SQL}),
+    q AS MATERIALIZED (SELECT DISTINCT question FROM {inputs.QUESTIONS_SQL} WHERE db_id = 'star'),
     p AS MATERIALIZED (SELECT question, value, lower(question) AS lq, lower(value) AS lv, strpos(lower(question), lower(value)) AS i
         FROM q, (SELECT DISTINCT value FROM v) WHERE value <> '' AND strpos(lower(question), lower(value)) > 0)
     SELECT question_id, 'star' AS db_id, table_name, column_name, value FROM p
-    JOIN v USING (value) JOIN {inputs.QUESTIONS_SQL} USING (question)
+    JOIN v USING (value) JOIN (SELECT * FROM {inputs.QUESTIONS_SQL} WHERE db_id = 'star') USING (question)
     WHERE (i = 1 OR strpos('''"()`,.?! ', lq[i - 1]) > 0)
       AND (i + length(lv) > length(lq) OR strpos('''"()`,.?! ', lq[i + length(lv)]) > 0)
       AND strpos('''"()`,.?! ', lv[1]) = 0 AND strpos('''"()`,.?! ', lv[-1]) = 0

@@ -21,6 +21,7 @@ from loomwright.plans import inputs
 from loomwright.plans.registry import query
 from loomwright.session import shared_folder
 from loomwright.sources import files
+from loomwright.sources.tables import catalog_columns as catalog_rows
 from loomwright.sources.tables import register_views, scan_cells, scan_table
 
 STRIPPED = r"regexp_replace(value, '^\s+|\s+$', '', 'g')"
@@ -28,6 +29,9 @@ NUMBERED_SQL = f"""(SELECT db_id, table_name, column_name, value,
     row_number() OVER (PARTITION BY db_id, table_name, column_name ORDER BY value) - 1 AS c_id FROM ({inputs.values_sql()}))"""
 
 
+SAMPLE_SCHEMA = "db_id string, table_name string, column_name string, ord int, value string"
+
+
 def scratch_path(spark, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/loomwright-{uuid.uuid4().hex}/{name}"
@@ -94,7 +98,7 @@ def write_documents(spark, sf):
 
 @query("sample_values", f"SELECT db_id, table_name, column_name, CAST(ord AS INT) AS ord, value FROM {inputs.SAMPLES_SQL}")
 def sample_values(spark, sf):
-    return profile.sample_values(inputs.values(spark, sf))
+    return inputs.samples(spark, sf)
 
 
 _FILTERED = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS + COMMON_WORDS + DATABASE_TERMS)
@@ -164,8 +168,8 @@ def comment_enrich(spark, sf):
     )
 
 
-def _schemas(spark, sf):
-    samples = profile.sample_values(inputs.values(spark, sf))
+def _schemas(spark, sf, sampled=True):
+    samples = inputs.samples(spark, sf) if sampled else spark.createDataFrame([], SAMPLE_SCHEMA)
     edges = schema.foreign_key_edges(inputs.declared_keys(spark))
     return schema.schema_build(inputs.full_columns(spark, sf, samples), edges)
 
@@ -230,7 +234,7 @@ _CONTENT_TEXT_SQL = f"""(SELECT db_id, 'matched contents :' || chr(10) || string
 
 def _content_texts(spark, sf):
     """The sample values of a database in the form of matched contents."""
-    samples = profile.sample_values(inputs.values(spark, sf))
+    samples = inputs.samples(spark, sf)
     per_column = samples.groupBy(*profile.COLUMN_KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda v: v["value"]).alias("values")
     )
@@ -285,7 +289,9 @@ GOLD_COLUMNS = ("p_name", "p_brand", "p_retailprice")
 
 def _scored_columns(spark, sf):
     """Every question with the columns of its database, scored for training."""
-    columns = inputs.catalog(spark, sf).select("db_id", "table_name", "table_ord", "column_name", "column_ord")
+    columns = catalog_rows(spark, inputs.databases(spark, sf), inputs.PRIMARY_KEYS).select(
+        "db_id", "table_name", "table_ord", "column_name", "column_ord"
+    )
     asked = inputs.questions(spark, sf).select("question_id", "db_id").join(columns, "db_id")
     q, t, c = F.col("question_id"), F.col("table_name"), F.col("column_name")
     return asked.withColumn(
@@ -331,7 +337,7 @@ def fk_within_selection(spark, sf):
 
 def _classifier_records(spark, sf):
     """Questions with their database's schema and gold labels."""
-    records = inputs.questions(spark, sf).join(_schemas(spark, sf), "db_id")
+    records = inputs.questions(spark, sf).join(_schemas(spark, sf, sampled=False), "db_id")
     gold = F.array(*[F.lit(c) for c in GOLD_COLUMNS])
     return records.select(
         "question_id",

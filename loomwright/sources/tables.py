@@ -97,6 +97,34 @@ def scan_distinct_values(databases: Mapping[str, Mapping[str, DataFrame]], text_
     )
 
 
+def scan_smallest_values(databases: Mapping[str, Mapping[str, DataFrame]], n: int = 2) -> DataFrame:
+    """``(db_id, table_name, column_name, ord, value)``: the ``n`` smallest distinct values of every column, by their text.
+
+    Per table the smallest value of each column, then the smallest above it, and so on. Each is an aggregate without groups,
+    so a task sends one row and no other value moves.
+    """
+    frames = []
+    for db_id, tables in databases.items():
+        for table, df in tables.items():
+            fields = [f for f in df.schema.fields if isinstance(f.dataType, _TEXT + _WHOLE + _FRACTIONAL)]
+            if table in SYSTEM_TABLES or not fields:
+                continue
+            texts = [
+                (python_number(F.col(f.name).cast("double").cast("string")) if isinstance(f.dataType, _FRACTIONAL)
+                 else F.col(f.name).cast("string")).alias(f.name)
+                for f in fields
+            ]
+            wide, names, before = df.select(*texts), [f.name for f in fields], None
+            for k in range(1, n + 1):
+                above = [F.col(c) if before is None else F.when(F.col(c) > before[c], F.col(c)) for c in names]
+                least = wide.agg(F.struct(*[F.min(a).alias(c) for a, c in zip(above, names)]).alias("least"))
+                before = least.scalar()
+                long = least.select("least.*").unpivot([], names, "column_name", "value").where("value is not null")
+                key = (F.lit(db_id).alias("db_id"), F.lit(table).alias("table_name"), "column_name")
+                frames.append(long.select(*key, F.lit(k).alias("ord"), "value"))
+    return union_all(frames)
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

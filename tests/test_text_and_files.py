@@ -107,7 +107,12 @@ def test_profile_keeps_gaps_and_case(spark):
     docs = {r.id: r.contents for r in profile.content_documents(values).collect()}
     # by value: "  ", " c ", "A", "bbb…", "d"
     assert docs == {"t-**-c-**-1": "c", "t-**-c-**-2": "A", "t-**-c-**-4": "d"}
-    assert [r.value for r in profile.sample_values(values).collect()] == ["c"]
+    columns = [("b" * 26, 2.5), ("A", None), (" c ", 1.5), ("  ", None), ("d", 10.0), ("  ", 1.5)]
+    table = spark.createDataFrame([(*c, None) for c in columns], "C string, N double, E string")
+    smallest = tables.scan_smallest_values({"d": {"T": table, "sqlite_sequence": table}})
+    assert "Exchange hashpartitioning" not in smallest._jdf.queryExecution().toString()
+    got = sorted((r.column_name, r.ord, r.value) for r in profile.sample_values(smallest).collect())
+    assert got == [("C", 2, "c"), ("N", 1, "1.5"), ("N", 2, "10.0")]
 
 
 def test_documents_are_written_in_ascii(spark, tmp_path):
