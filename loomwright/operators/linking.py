@@ -85,13 +85,15 @@ def common_length(a: Column, b: Column) -> Column:
 
     def take(needed: Column, ch: Column) -> Column:
         def longer(now: Column, k: Column) -> Column:
-            at = F.position(ch, a, F.get(needed, k - 1) + 1)
-            return F.when((k > 0) & (at > 0), F.least(now, at)).otherwise(now)
+            # Looked for in what is left of ``a`` with the character put at its end: a place beyond ``a`` means that it is not there.
+            start = F.get(needed, k - 1)
+            rest = F.concat(F.substring(a, start + 1, F.length(a)), ch)
+            return F.least(now, start + F.position(ch, rest))
 
         return F.transform(needed, longer)
 
     needed = F.aggregate(F.split(b, ""), none.cast("array<int>"), take)
-    return F.size(F.filter(needed, lambda p: p < _FAR)) - 1
+    return F.size(F.filter(needed, lambda p: p <= F.length(a))) - 1
 
 
 def indel_similarity(a: Column, b: Column) -> Column:
@@ -106,6 +108,12 @@ def _first_letter(text: Column) -> Column:
     return F.when(letters != "", F.substring(letters, 1, 1)).otherwise(F.right(text, F.lit(1)))
 
 
+def _computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with further columns, each computed once: what comes after a generator is neither merged into it nor pushed below it, as
+    filters on computed columns else would be, together with all that these are computed from."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def score_pairs(pairs: DataFrame, theta: float) -> DataFrame:
     """``(question, value)`` rows, both stripped, with ``match_str, source_str, score, match_size``; rows without a match go.
 
@@ -113,33 +121,30 @@ def score_pairs(pairs: DataFrame, theta: float) -> DataFrame:
     neighbours take one form.
     """
     q, v = F.col("_asked"), F.col("_offered")
-    shared = (
-        pairs.withColumn("_asked", _folded_text(F.col("question")))
-        .withColumn("_offered", _folded_text(F.col("value")))
-        .where((v != "") & (q != ""))
-        .withColumn("match_size", _longest_shared(q, v))
-        .where("match_size > 0")
-        .withColumn("_place", _first_place(q, v, F.col("match_size")))
-    )
+    folded = _computed(
+        pairs, _folded_text(F.col("question")).alias("_asked"), _folded_text(F.col("value")).alias("_offered")
+    ).where((v != "") & (q != ""))
+    sized = _computed(folded, _longest_shared(q, v).alias("match_size")).where("match_size > 0")
+    at, begin, size = F.col("_place.at"), F.col("_place.from"), F.col("match_size")
+    shared = _computed(sized, _first_place(q, v, size).alias("_place"))
     # The shared text stands at the start of the question, or a separator is its first character or the one before it.
-    at, size = F.col("_place.at"), F.col("match_size")
     opens = (at == 1) | F.substring(q, F.greatest(at - 1, F.lit(1)), F.lit(2)).rlike(_SEPARATOR_CLASS)
     # From its last character on, a separator or the end of the question comes after three characters at most.
     tail = F.substring(q, at + size - 1, F.length(q))
     closes = f"(?s)^(.{{0,3}}?)(?:{_SEPARATOR_CLASS}|\\z)"
-    bounded = shared.where(opens & tail.rlike(closes)).withColumn(
-        "_length", size - 1 + F.length(F.regexp_extract(tail, closes, 1))
-    )
+    length = size - 1 + F.length(F.regexp_extract(tail, closes, 1))
+    bounded = _computed(shared.where(opens & tail.rlike(closes)), F.substring(q, at, length).alias("_span"))
     # Separators at both ends do not belong to the source.
-    span = F.substring(q, at, F.col("_length"))
-    blank = F.length(F.regexp_extract(span, f"^{_SEPARATOR_CLASS}*", 0))
-    inner = F.length(F.regexp_replace(span, f"^{_SEPARATOR_CLASS}+|{_SEPARATOR_CLASS}+\\z", ""))
-    named = bounded.withColumn("source_str", F.substring(F.col("question"), at + blank, inner)).withColumn(
-        "match_str", F.substring(F.col("value"), F.col("_place.from"), size)
+    blank = F.length(F.regexp_extract("_span", f"^{_SEPARATOR_CLASS}*", 0))
+    inner = F.length(F.regexp_replace("_span", f"^{_SEPARATOR_CLASS}+|{_SEPARATOR_CLASS}+\\z", ""))
+    named = _computed(
+        bounded,
+        F.substring(F.col("question"), at + blank, inner).alias("source_str"),
+        F.substring(F.col("value"), begin, size).alias("match_str"),
     )
     match, source, value = (strip(_folded_text(F.col(c))) for c in ("match_str", "source_str", "value"))
+    told = _computed(named, match.alias("_match"), source.alias("_source"), value.alias("_value"))
     words = [F.col("_match"), F.col("_source"), F.col("_value")]
-    told = named.withColumns({"_match": match, "_source": source, "_value": value})
     stopped = [w.isin(STOPWORDS) for w in words]
     told = told.where(~((words[0] == "") | words[0].isin(DATABASE_TERMS) | stopped[0] | stopped[1] | stopped[2]))
     possessive = F.endswith(words[1], F.concat(words[0], F.lit("'s")))
@@ -147,7 +152,7 @@ def score_pairs(pairs: DataFrame, theta: float) -> DataFrame:
     lengths = F.least(*map(F.length, words[1:])) * 2 >= (F.length(words[1]) + F.length(words[2])) * (theta - _FLOAT_SLACK)
     # The usual library gives the similarity in percent; going through percent keeps the same last digit.
     near = indel_similarity(words[2], words[1]) * 100 / 100
-    scored = told.where(possessive | (comparable & lengths)).withColumn("score", F.when(possessive, 1.0).otherwise(near))
+    scored = _computed(told.where(possessive | (comparable & lengths)), F.when(possessive, 1.0).otherwise(near).alias("score"))
     shouted = (F.upper("value") == F.col("value")) & (F.lower("value") != F.col("value"))
     exact_only = shouted | reduce(or_, [w.isin(COMMON_WORDS) for w in words])
     kept = scored.where((F.col("score") >= theta) & ((F.col("score") >= 1) | ~exact_only))
