@@ -7,9 +7,13 @@ similarity 0.8 candidates with a probability of 1 - (1 - 0.8^5)^40, that is all
 
 *Classes.* Texts with one set of shingles are one class and travel as one row from there on.
 
-*Links.* In every bucket of a band each class is compared with the bucket's first and last class (stars, as many pairs as rows). Confirmed pairs are
-joined to groups. Then only classes of one bucket that are still in different groups are compared with each other, so that no link
-between groups is lost, while a large group of copies never gives all its pairs. A pair is confirmed on the full sets.
+*Links.* Each bucket of a band has a leader, the member that shares most buckets with others. All members are compared with it (as many pairs as rows),
+and confirmed pairs are joined to groups. What is left are classes of one leader that are in different groups. Up to ``FEW`` members they are
+compared with each other. For more, let D(x) be what x and the leader L do not share. Then |x - y| + |y - x| = |D(x)| + |D(y)| - 2 |D(x) and D(y)|, so
+a pair can be similar enough only if D(x) and D(y) have so many shingles in common (one at least, as one of them is not linked to L) that they share one among the
+first of each, in any fixed order; pairs are looked up by these, rare ones first, and only those whose places leave room for enough common ones are
+compared. No link is lost, and a large group of texts that share a passage, or are all nearly alike, never gives all its pairs.
+A pair is confirmed on the full sets.
 
 Sets hold 64-bit hashes of shingles; two shingles share one with a probability of 2^-64.
 
@@ -27,7 +31,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import keep, linked_groups, text_or_empty
@@ -37,6 +41,8 @@ PERCENT = 80
 BANDS, ROWS = 40, 5
 PLACES = 1 << 22
 SEED = 8
+# Members of a leader that are simply compared with each other.
+FEW = 16
 # Places that are looked up at a time, and documents per block of results.
 CHUNK, BLOCK = 2_048, 512
 
@@ -138,13 +144,19 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(nodes, same).select("node", "set_digest", "text").mapInArrow(run, _SET).dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) whose sets are similar enough."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a, b`` and more) with their sets ``sa`` and ``sb``."""
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    sized = pairs.join(first, "a").join(second, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * PERCENT).select("a", "b")
+    return pairs.join(first, "a").join(second, "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (``a, b``) with ``linked``: whether their sets are similar enough."""
+    sized = _with_sets(pairs, sets).select(
+        "a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum")
+    )
+    return sized.select("a", "b", (F.col("both") * 100 >= (F.col("sum") - F.col("both")) * PERCENT).alias("linked"))
 
 
 def _can_reach(x: str, y: str) -> Column:
@@ -152,29 +164,89 @@ def _can_reach(x: str, y: str) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
+def _stars(classes: DataFrame) -> DataFrame:
+    """``a, b``: every class that shares a bucket, with the leaders of its buckets."""
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = keep(members.join(sizes, "bucket"))
+    known = shared.groupBy("node").agg(F.sum("size").alias("known"))
+    leaders = shared.join(known, "node").groupBy("bucket").agg(F.max_by("node", F.struct("known", "node")).alias("a"))
+    return shared.join(leaders, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+
+
+def _few(members: DataFrame) -> DataFrame:
+    """All pairs of the members (``leader, node, n, group``) of leaders with few members; the leader has been compared."""
+    members = members.where("node <> leader")
+    x = members.select("leader", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "group")))
+    y = members.select("leader", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "group")))
+    apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_group") != F.col("y_group")) & _can_reach("x_n", "y_n")
+    return x.join(y, "leader").where(apart).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
+def _many(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of the members (``leader, node, n, group, linked``) of leaders with many members that can be similar enough, by
+    what they do not share with the leader."""
+    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "n", "group", "linked")
+    # Of two sets of n and m shingles at most (n + m) * apart are in one of them only.
+    apart = (100 - PERCENT) / (100 + PERCENT)
+    n, size, other = F.col("n"), F.col("size"), F.size("sa")
+    differing = _with_sets(pairs, sets).select(
+        F.col("a").alias("leader"), F.col("b").alias("node"), "n", "group", "linked",
+        F.array_except("sb", "sa").alias("own"), F.array_sort(F.array_except("sa", "sb")).alias("lacking"),
+        other.alias("leaders"),
+    ).withColumn("size", F.size("own") + F.size("lacking"))
+    # The least number that must be common with any partner; partners of linked members are not linked themselves.
+    least = F.greatest(
+        F.lit(1.0),
+        size - n * (1 + 100 / PERCENT) * apart,
+        F.when(F.col("linked"), (size + (F.col("leaders") - n) * apart) / 2).otherwise(F.lit(1.0)),
+    )
+    differing = differing.withColumn("first", (size - F.ceil(least - 1e-6) + 1).cast("int")).where("first > 0")
+    differing = keep(differing)
+    key = ["leader", "node"]
+    own = differing.select(*key, F.explode("own").alias("shingle"))
+    seen = own.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("seen"))
+    by_rarity = F.row_number().over(Window.partitionBy(*key).orderBy("seen", "shingle"))
+    ranked = own.join(seen, ["leader", "shingle"]).select(*key, "shingle", by_rarity.alias("place"))
+    kept = differing.select(*key, "n", "group", "linked", "size", "first")
+    rare = ranked.join(kept, key).where("place <= first")
+    room = F.greatest(F.lit(0), F.col("first") - F.size("own"))
+    rest = differing.select(
+        *key, "n", "group", "linked", "size", "first", F.size("own").alias("before"),
+        F.posexplode(F.slice("lacking", F.lit(1), room)).alias("at", "shingle"),
+    ).withColumn("place", F.col("before") + F.col("at") + 1)
+    columns = ["leader", "shingle", "node", "n", "group", "linked", "size", "place"]
+    listed = keep(rare.select(*columns).unionByName(rest.select(*columns)))
+    x = listed.where(~F.col("linked")).select("leader", "shingle", *(F.col(c).alias(f"x_{c}") for c in columns[2:]))
+    y = listed.select("leader", "shingle", *(F.col(c).alias(f"y_{c}") for c in columns[2:]))
+    once = F.col("y_linked") | (F.col("x_node") < F.col("y_node"))
+    common = (F.col("x_size") + F.col("y_size") - (F.col("x_n") + F.col("y_n")) * apart) / 2
+    room = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place")) + 1
+    possible = once & (F.col("x_group") != F.col("y_group")) & _can_reach("x_n", "y_n") & (room >= common - 1e-6)
+    return x.join(y, ["leader", "shingle"]).where(possible).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+
+
 def _groups(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node, group`` of the classes that are linked to another one."""
-    members = keep(classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
-    ends = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
-    shared = keep(members.join(ends, "bucket"))
-    star = F.explode(F.array("first", "last")).alias("other")
-    stars = shared.select("node", star).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    sizes = classes.select("node", F.col("n_shingles").alias("n"))
-    of = lambda name: sizes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
-    stars = keep(stars.distinct().join(of("a"), "a").join(of("b"), "b").where(_can_reach("n_a", "n_b")).select("a", "b"))
-    in_doubt = shared.select("node").distinct()
+    stars = keep(_stars(classes))
+    in_doubt = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     sets = keep(_sets(docs, classes.select("node", "first_id", "set_digest").join(in_doubt, "node")))
-    links = keep(_confirmed(stars, sets))
+    compared = keep(_compared(stars, sets))
+    links = compared.where("linked").select("a", "b")
     groups = linked_groups(links)
-    # What is left: classes that share a bucket, could be similar, and are in different groups.
-    labelled = shared.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("group", "node").alias("group"))
-    mixed = labelled.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    left = labelled.join(mixed.select("bucket"), "bucket")
-    x = left.select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "group")))
-    y = left.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "group")))
-    cross = x.join(y, "bucket").where("x_node < y_node and x_group <> y_group").where(_can_reach("x_n", "y_n"))
-    cross = cross.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    more = keep(_confirmed(cross.join(stars, ["a", "b"], "left_anti"), sets))
+    # What is left: classes of one leader in different groups.
+    members = compared.select(F.col("a").alias("leader"), F.col("b").alias("node"), "linked").unionByName(
+        stars.select(F.col("a").alias("leader"), F.col("a").alias("node"), F.lit(True).alias("linked")).distinct()
+    )
+    sizes = classes.select("node", F.col("n_shingles").alias("n"))
+    members = members.join(sizes, "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    members = keep(members)
+    mixed = members.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = keep(mixed.where("low <> high").select("leader", "members"))
+    few = _few(members.join(mixed.where(F.col("members") <= FEW), "leader"))
+    many = _many(members.join(mixed.where(F.col("members") > FEW), "leader"), sets)
+    left = few.unionByName(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = keep(_compared(left, sets).where("linked").select("a", "b"))
     if more.isEmpty():
         return groups
     return linked_groups(links.unionByName(more))
