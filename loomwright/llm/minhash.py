@@ -192,7 +192,7 @@ def _many(members: DataFrame, sets: DataFrame) -> DataFrame:
     n, size, other = F.col("n"), F.col("size"), F.size("sa")
     differing = _with_sets(pairs, sets).select(
         F.col("a").alias("leader"), F.col("b").alias("node"), "n", "group", "linked",
-        F.array_except("sb", "sa").alias("own"), F.array_sort(F.array_except("sa", "sb")).alias("lacking"),
+        F.array_except("sb", "sa").alias("own"), F.array_except("sa", "sb").alias("lacking"),
         other.alias("leaders"),
     ).withColumn("size", F.size("own") + F.size("lacking"))
     # The least number that must be common with any partner; partners of linked members are not linked themselves.
@@ -204,19 +204,12 @@ def _many(members: DataFrame, sets: DataFrame) -> DataFrame:
     differing = differing.withColumn("first", (size - F.ceil(least - 1e-6) + 1).cast("int")).where("first > 0")
     differing = keep(differing)
     key = ["leader", "node"]
-    own = differing.select(*key, F.explode("own").alias("shingle"))
-    seen = own.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("seen"))
+    tokens = differing.select(*key, F.explode(F.concat("own", "lacking")).alias("shingle"))
+    seen = tokens.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("seen"))
     by_rarity = F.row_number().over(Window.partitionBy(*key).orderBy("seen", "shingle"))
-    ranked = own.join(seen, ["leader", "shingle"]).select(*key, "shingle", by_rarity.alias("place"))
-    kept = differing.select(*key, "n", "group", "linked", "size", "first")
-    rare = ranked.join(kept, key).where("place <= first")
-    room = F.greatest(F.lit(0), F.col("first") - F.size("own"))
-    rest = differing.select(
-        *key, "n", "group", "linked", "size", "first", F.size("own").alias("before"),
-        F.posexplode(F.slice("lacking", F.lit(1), room)).alias("at", "shingle"),
-    ).withColumn("place", F.col("before") + F.col("at") + 1)
+    ranked = tokens.join(seen, ["leader", "shingle"]).select(*key, "shingle", by_rarity.alias("place"))
     columns = ["leader", "shingle", "node", "n", "group", "linked", "size", "place"]
-    listed = keep(rare.select(*columns).unionByName(rest.select(*columns)))
+    listed = keep(ranked.join(differing.drop("own", "lacking"), key).where("place <= first").select(*columns))
     x = listed.where(~F.col("linked")).select("leader", "shingle", *(F.col(c).alias(f"x_{c}") for c in columns[2:]))
     y = listed.select("leader", "shingle", *(F.col(c).alias(f"y_{c}") for c in columns[2:]))
     once = F.col("y_linked") | (F.col("x_node") < F.col("y_node"))
