@@ -3,8 +3,8 @@
 Texts are split into words as the tokenizer's pattern does. The distinct new words of a block are put in byte order, which is the
 depth-first order of their trie: neighbours share the path of their common prefix, and what was found for that path is kept on a stack.
 The state of a node is the last token of the encoding of its path. It is the only token t that ends the path and that stands next to
-the last token of the path before t without a merge across them, so a child's state follows from the states above it. A word's
-encoding is read off backwards along these states.
+the last token of the path before t without a merge across them, so a child's state follows from the states above it; the tokens that end a
+path come from an automaton, longest first. A word's encoding is read off backwards along these states.
 
 Vocabularies are given by path and travel to the tasks as one broadcast of fixed size. Caches of words are bounded.
 
@@ -16,6 +16,7 @@ are kept, one with the name of the result is replaced.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -31,9 +32,11 @@ from loomwright.llm.common import text_blocks
 
 # The pattern that splits text before merging. Fixed value of the vocabulary's public description.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same for texts of ASCII letters only, for the faster module.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 # Distinct words and pairs that a task remembers.
 MOST_WORDS = 200_000
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,7 +47,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Tokens as bytes, ranks of merges, special tokens; and the encoder's states."""
+    """Tokens as bytes, for decoding."""
 
     def __init__(self, description: str):
         spec = json.loads(description)
@@ -52,25 +55,74 @@ class Vocabulary:
         raw = lambda s: bytes(byte[c] for c in s)
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items() if all(c in byte for c in s)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.ranks = {}
-        for i, m in enumerate(spec["model"]["merges"]):
-            self.ranks[tuple(map(raw, m.split(" ") if isinstance(m, str) else m))] = i
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        # By the last three bytes of a path (two, one at its start): how long tokens can be that end it.
-        ends: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            ends.setdefault(b[-3:], set()).add(len(b))
-        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
+        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        self.ranks = {(raw(x), raw(y)): rank for rank, (x, y) in enumerate(merges)}
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join([self.bytes.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
+class Encoder(Vocabulary):
+    """What encoding needs besides: ranks of merges, endings of paths, and the words and pairs that are remembered."""
+
+    def __init__(self, description: str):
+        super().__init__(description)
         # Of each token its first and last part, and the rank at which these become the token.
         self.parts = {self.ids[x + y]: (self.ids[x], self.ids[y], r) for (x, y), r in self.ranks.items()}
         self.joins = {(self.ids[x], self.ids[y]): r for (x, y), r in self.ranks.items()}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.pattern = regex.compile(PATTERN)
+        self.sizes = [0] * (max(self.bytes) + 1)
+        for i, b in self.bytes.items():
+            self.sizes[i] = len(b)
+        self._index_endings()
+        self.pattern, self.ascii = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
         names = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+
+    def _index_endings(self) -> None:
+        """What tokens end a path: an automaton over the trie of all tokens. ``longest[node]`` is the longest token that ends the
+        path of a node, ``shorter[token]`` the next one after it."""
+        self.steps: dict[int, int] = {}  # node << 8 | byte -> node
+        origin, depth, token = [0], [0], [-1]
+        for raw, i in self.ids.items():
+            node = 0
+            for byte in raw:
+                key = node << 8 | byte
+                node = self.steps.get(key, -1)
+                if node < 0:
+                    node = self.steps[key] = len(origin)
+                    origin.append(key)
+                    depth.append(depth[key >> 8] + 1)
+                    token.append(-1)
+            token[node] = i
+        self.back = [0] * len(origin)
+        self.longest = token
+        self.shorter = [-1] * len(self.sizes)
+        for node in sorted(range(1, len(origin)), key=depth.__getitem__):
+            above, byte = origin[node] >> 8, origin[node] & 255
+            if above:
+                self.back[node] = self.step(self.back[above], byte)
+            ending = self.longest[self.back[node]]
+            if token[node] < 0:
+                token[node] = ending
+            else:
+                self.shorter[token[node]] = ending
+        # Steps that were made over ``back``.
+        self.jumps: dict[int, int] = {}
+
+    def step(self, node: int, byte: int) -> int:
+        """The node of the longest ending that the tokens' trie knows after one more byte."""
+        while True:
+            found = self.steps.get(node << 8 | byte)
+            if found is not None:
+                return found
+            if not node:
+                return 0
+            node = self.back[node]
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The parts of ``token`` at its left (0) or right (1) end, from the byte to the token itself, each with the rank at which
@@ -88,7 +140,7 @@ class Vocabulary:
     def beside(self, a: int, b: int) -> bool:
         """Whether token ``b`` can follow ``a`` inside a word: while both are put together in the order of ranks, no merge of what
         touches at their border comes first. Among equal ranks the merge further left is first."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 24 | b)
         if known is not None:
             return known
         left, right = self.spine(a, 1), self.spine(b, 0)
@@ -108,50 +160,46 @@ class Vocabulary:
                 break
         if len(self.pairs) >= MOST_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = known
+        self.pairs[a << 24 | b] = known
         return known
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """The ids of each word: a depth-first walk of the trie of all words."""
-        ids, lengths, pairs, beside, sizes = self.ids, self.lengths, self.pairs, self.beside, self.bytes
+        pairs, beside, sizes, longest, shorter, jumps = self.pairs, self.beside, self.sizes, self.longest, self.shorter, self.jumps
+        if len(jumps) > MOST_PAIRS:
+            jumps.clear()
         found = {}
-        # states[n]: the last token of the encoding of the path's first n bytes.
-        path, states = b"", [-1]
-        for raw, word in sorted((w.encode("utf-8", "replace"), w) for w in words):
+        # After n bytes of the path: the last token of their encoding, and the node of the tokens' trie.
+        path, states, nodes = b"", [-1], [0]
+        for word in sorted(words):  # code points stand in the order of their bytes
+            raw = word.encode("utf-8", "replace")
             shared = 0
             for x, y in zip(path, raw):
                 if x != y:
                     break
                 shared += 1
-            del states[shared + 1 :]
+            del states[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[shared]
             for end in range(shared + 1, len(raw) + 1):
-                state = None
-                for tail in (3, 2, 1):
-                    if tail > end:
-                        continue
-                    for n in lengths.get(raw[end - tail : end], ()):
-                        if n > end or (n > tail and tail < 3):
-                            continue
-                        token = ids.get(raw[end - n : end])
-                        if token is None:
-                            continue
-                        if n == end:
-                            fits = True
-                        else:
-                            pair = states[end - n], token
-                            fits = pairs.get(pair)
-                            if fits is None:
-                                fits = beside(*pair)
-                        if fits:
-                            state = token
-                            break
-                    if state is not None:
+                key = node << 8 | raw[end - 1]
+                node = jumps.get(key)
+                if node is None:
+                    node = jumps[key] = self.step(key >> 8, raw[end - 1])
+                token = longest[node]
+                while sizes[token] < end:
+                    before = states[end - sizes[token]]
+                    fits = pairs.get(before << 24 | token)
+                    if fits is None:
+                        fits = beside(before, token)
+                    if fits:
                         break
-                states.append(state)
+                    token = shorter[token]
+                states.append(token)
+                nodes.append(node)
             path, out, end = raw, [], len(raw)
             while end:
                 out.append(states[end])
-                end -= len(sizes[states[end]])
+                end -= sizes[states[end]]
             found[word] = tuple(out[::-1])
         return found
 
@@ -171,11 +219,14 @@ class Vocabulary:
         young.update(self.encode_words(new))
         return young
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.ascii if text.isascii() else self.pattern).findall(text)
+
     def split_words(self, text: str) -> list[str]:
         if self.split is None or not self.split.search(text):
-            return self.pattern.findall(text)
-        pieces = self.split.split(text)
-        return list(chain.from_iterable([p] if p in self.special else self.pattern.findall(p) for p in pieces))
+            return self.pieces(text)
+        parts = self.split.split(text)
+        return list(chain.from_iterable([p] if p in self.special else self.pieces(p) for p in parts))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.split_words(t) for t in texts]
@@ -183,19 +234,17 @@ class Vocabulary:
         known.update((s, (i,)) for s, i in self.special.items())
         return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.bytes.get(i, b"") for i in ids]).decode("utf-8", "replace")
-
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[tuple, Vocabulary] = {}
 
 
-def _vocabulary(shared) -> Vocabulary:
+def _loaded_once(kind: type[Vocabulary], shared: _Shared) -> Vocabulary:
     """The vocabulary of a broadcast, made once per Python worker."""
-    if shared.id not in _loaded:
+    key = kind.__name__, shared.id
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[shared.id] = Vocabulary(shared.value)
-    return _loaded[shared.id]
+        _loaded[key] = kind(shared.value)
+    return _loaded[key]
 
 
 class _Shared:
@@ -229,7 +278,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared)
+        vocabulary = _loaded_once(Encoder, shared)
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             for block in text_blocks(texts):
@@ -249,7 +298,7 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "text",
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared)
+        vocabulary = _loaded_once(Vocabulary, shared)
         for batch in batches:
             column = batch.column(batch.schema.names.index(ids))
             for a in range(0, len(column), 256):

@@ -24,7 +24,7 @@ def library():
 @pytest.fixture(scope="module")
 def vocabulary():
     with open(PATH, encoding="utf-8") as f:
-        return bpe.Vocabulary(f.read())
+        return bpe.Encoder(f.read())
 
 
 def test_random_texts(library, vocabulary):
