@@ -67,13 +67,23 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
+def blocks(n: int, size: int) -> Iterator[slice]:
+    return (slice(a, a + size) for a in range(0, n, size))
+
+
+def by_lists(n: int, lists: int) -> Iterator[slice]:
+    """Blocks of so many rows that their distances to all lists take 16 MB."""
+    return blocks(n, max(16, (1 << 21) // max(lists, 1)))
+
+
 def balanced(points: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
     """Centres whose lists have nearly equal lengths."""
     centres = halved(points, lists)
     wanted = len(points) / len(centres)
     surcharge = np.zeros(len(centres))
     for _ in range(rounds):
-        nearest = np.concatenate([(distances(p, centres) + surcharge).argmin(axis=1) for p in np.array_split(points, len(points) // 4096 + 1)])
+        parts = by_lists(len(points), len(centres))
+        nearest = np.concatenate([(distances(points[b], centres) + surcharge).argmin(axis=1) for b in parts])
         sizes = np.bincount(nearest, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, points)
@@ -82,10 +92,6 @@ def balanced(points: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
-def blocks(n: int, size: int) -> Iterator[slice]:
-    return (slice(a, a + size) for a in range(0, n, size))
-
-
 @dataclass
 class Index:
     """Centres of the lists, the graph that joins each with its nearest ones (rows filled up with the list itself), the largest
@@ -147,7 +153,8 @@ def fit(sample: np.ndarray, rows: int, largest: float) -> Index:
     index = Index(np.zeros((0, 0)), np.zeros((0, 0), dtype=int), largest)
     points = index.extended(sample)
     index.centres = balanced(points, lists)
-    index.usual = float(np.median(np.concatenate([np.sqrt(distances(points[b], index.centres).min(axis=1)) for b in blocks(len(points), 4096)])))
+    parts = by_lists(len(points), len(index.centres))
+    index.usual = float(np.median(np.concatenate([np.sqrt(distances(points[b], index.centres).min(axis=1)) for b in parts])))
     nearest = np.argsort(distances(index.centres, index.centres), axis=1, kind="stable")[:, : LINKS + 1]
     # Both ways, and along the numbers, so that every list can be reached.
     both = [{a, max(a - 1, 0), min(a + 1, len(nearest) - 1), *row} for a, row in enumerate(nearest.tolist())]
@@ -161,7 +168,7 @@ def fit(sample: np.ndarray, rows: int, largest: float) -> Index:
 
 def calibrated(index: Index, sample: np.ndarray) -> float:
     """The least reach with which the first vectors of the sample find ``WANTED`` of their true neighbours in it."""
-    own = index.lists_of(sample)
+    own = np.concatenate([index.lists_of(sample[b]) for b in by_lists(len(sample), len(index.centres))])
     needed = []
     for i, q in enumerate(sample[:PROBES]):
         met, ratio = index.search(q)
@@ -208,7 +215,7 @@ def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "emb
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in (batch.iloc[b] for b in blocks(len(batch), 2048)):
+            for part in (batch.iloc[b] for b in by_lists(len(batch), len(index.value.centres))):
                 lists = index.value.lists_of(_stacked(part["vector"]))
                 for c in range(lists.shape[1]):
                     at = lists[:, c] >= 0
