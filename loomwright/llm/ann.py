@@ -95,8 +95,8 @@ def balanced(points: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
 @dataclass
 class Index:
     """Centres of the lists, the graph that joins each with its nearest ones (rows filled up with the list itself), the largest
-    norm, the usual distance of a vector from its list, how much farther than the nearest list a query looks, and how many vectors have
-    each list as their nearest one."""
+    norm, the usual distance of a vector from its list, how much farther than the nearest list a query looks, and how many ids are
+    counted for each list: every id once, in one of the lists that are the nearest one of a vector of it."""
 
     centres: np.ndarray
     links: np.ndarray
@@ -138,7 +138,7 @@ class Index:
 
     def chosen(self, query: np.ndarray, least: int) -> np.ndarray:
         """The lists to scan: all within reach, and further ones in order of distance as long as they hold fewer than ``least``
-        vectors together."""
+        ids together."""
         met, ratio = self.search(query)
         order = met[np.argsort(ratio, kind="stable")]
         enough = int(np.searchsorted(np.cumsum(self.sizes[order]), least)) + 1
@@ -189,12 +189,13 @@ def _stacked(vectors: pd.Series) -> np.ndarray:
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, vector`` of the rows that take part, written to the shared folder."""
+    """``id, vector`` of the rows that take part, each pair once, written to the shared folder."""
     found = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     odd = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    good = keep(found.where("id is not null and vector is not null").where(~odd & F.exists("vector", lambda v: v != 0)))
-    width = good.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return good.where(F.size("vector") == (width["w"] if width else 0))
+    sound = found.where("id is not null and vector is not null").where(~odd & F.exists("vector", lambda v: v != 0))
+    good = keep(sound.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("copies")))
+    width = good.groupBy(F.size("vector").alias("w")).agg(F.sum("copies").alias("rows")).orderBy(F.desc("rows"), "w").first()
+    return good.where(F.size("vector") == (width["w"] if width else 0)).select("id", "vector")
 
 
 def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", n: int = NEAREST) -> DataFrame:
@@ -223,11 +224,11 @@ def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "emb
 
     posted = keep(good.mapInPandas(post, "id long, vector array<double>, list int, nth int"))
     # One row per list comes to the driver, at most MOST_LISTS.
-    own = F.count_if(F.col("nth") == 0)
-    counted = posted.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), own.alias("own")).collect()
-    sizes = {r["list"]: r["rows"] for r in counted}
+    sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}
+    once = posted.where("nth = 0").groupBy("id").agg(F.min("list").alias("list"))
     fitted.sizes = np.zeros(len(fitted.centres), dtype=int)
-    fitted.sizes[[r["list"] for r in counted]] = [r["own"] for r in counted]
+    for r in once.groupBy("list").count().collect():
+        fitted.sizes[r["list"]] = r["count"]
     searched = spark.sparkContext.broadcast(fitted)
     first, pieces, filled, group = {}, {}, 0, 0
     for at in range(len(fitted.centres)):
@@ -264,7 +265,9 @@ def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "emb
     def scan(candidates: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(candidates) and len(asking):
+            candidates = candidates.sort_values("id", kind="stable")
             ids, lists, x = candidates["id"].to_numpy(), candidates["list"].to_numpy(), _stacked(candidates["vector"])
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             open_lists = np.zeros(int(lists.max()) + 1, dtype=bool)
             for b in blocks(len(asking), 64):
                 part = asking.iloc[b]
@@ -273,9 +276,10 @@ def neighbours(rows: DataFrame, queries, key: str = "vec_id", vector: str = "emb
                     open_lists[:] = False
                     open_lists[[v for v in wanted if v < len(open_lists)]] = True
                     row[~open_lists[lists] | (ids == at)] = -np.inf
-                    # A vector can be here once per copy. Rounding aside, nothing below the limit can be among the best.
-                    most = min(n * COPIES, len(row)) - 1
-                    limit = np.partition(row, len(row) - 1 - most)[len(row) - 1 - most]
+                    # An id counts with its best score, however often it is here. Rounding aside, nothing below the limit can be among the best.
+                    tops = np.maximum.reduceat(row, starts)
+                    last = max(len(tops) - n, 0)
+                    limit = np.partition(tops, last)[last]
                     best = np.flatnonzero((row >= limit - 1e-9 * abs(limit)) & (row > -np.inf))
                     if not len(best):
                         continue

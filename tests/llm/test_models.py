@@ -182,3 +182,27 @@ def test_few_vectors(spark):
     assert got == [(0, 1, 21, 1.0), (0, 2, 20, 0.0), (20, 1, 21, 2.0), (20, 2, 0, 0.0)]
     assert ann.neighbours(vectors(spark, []), "id % 20 = 0").collect() == []
     assert ann.neighbours(vectors(spark, [(20, [1.0], "", "")]), "id % 20 = 0").collect() == []
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_neighbours_of_repeated_ids(spark, alike):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(61, 8))
+    data = [(i, x[i].tolist(), "", "") for i in range(61)] * 2
+    # One id, hundreds of times, nearer to the query than all others.
+    data += [(61, (x[0] * (3 if alike else 3 + 0.01 * k)).tolist(), "", "") for k in range(400)]
+    got = sorted(ann.neighbours(vectors(spark, data), "id = 0").collect(), key=lambda r: r["rank"])
+    scores = x @ x[0]
+    best = [61] + [int(i) for i in np.argsort(-scores) if i != 0][:19]
+    assert [r["rank"] for r in got] == list(range(1, 21)) and len({r.vec_id for r in got}) == 20
+    assert got[0].vec_id == 61 and got[0].score == pytest.approx(scores[0] * (3 if alike else 3 + 0.01 * 399))
+    assert len({r.vec_id for r in got} & set(best)) >= 15
+
+
+def test_lists_count_each_id_once(spark):
+    rng = np.random.default_rng(10)
+    near = (np.array([9.0, 0.0, 0.0]) + rng.normal(size=(1000, 3)) / 100).tolist()
+    data = [(1, v, "", "") for v in near] + [(i, [-9.0 + i / 100, 1.0, i / 50], "", "") for i in range(20, 60)]
+    data += [(0, [9.0, 0.0, 0.0], "", "")]
+    got = ann.neighbours(vectors(spark, data), "id = 0").collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 21))
