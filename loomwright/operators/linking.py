@@ -298,18 +298,33 @@ def question_keys(questions: DataFrame, theta: float) -> DataFrame:
     return words.select(*owner, F.explode(F.array_distinct(F.concat(*parts))).alias("_key"))
 
 
+def _longest_value(theta: float) -> Column:
+    """How long a value can be to match ``question``."""
+    if not 0 < theta <= 1:
+        raise ValueError("theta must be above 0 and at most 1")
+    return F.length("question") * ((2 - theta) / theta) + 1
+
+
+def _short_enough(questions: DataFrame, values: DataFrame, theta: float) -> DataFrame:
+    """``values`` without those that are too long for every question of their database. The limits, one per database, come to the driver,
+    so that the filter goes down to the scan and long texts are not shuffled."""
+    limits = questions.groupBy("db_id").agg(F.max(_longest_value(theta)).alias("most")).where("db_id is not null and most is not null").collect()
+    if not limits:
+        return values.limit(0)
+    most = F.create_map(*[F.lit(x) for r in limits for x in (r["db_id"], r["most"])])
+    return values.where(F.length("value") <= F.try_element_at(most, F.col("db_id")))
+
+
 def candidate_pairs(questions: DataFrame, values: DataFrame, theta: float) -> DataFrame:
     """Distinct ``(db_id, question, value)`` that may match: every true match is among them.
 
     ``questions(question_id, db_id, question)``. Keys travel with an id; the text joins back to the pairs that are left.
     """
-    if not 0 < theta <= 1:
-        raise ValueError("theta must be above 0 and at most 1")
+    longest = _longest_value(theta)
     texts = questions.groupBy("db_id", "question").agg(F.min("question_id").alias("_text_id"))
     asked = question_keys(texts, theta)
     offered = value_keys(values.select("db_id", "value").distinct(), theta)
     pairs = asked.join(offered, ["db_id", "_key"]).select("db_id", "_text_id", "value").distinct()
-    longest = F.length("question") * ((2 - theta) / theta) + 1
     return pairs.join(texts, ["db_id", "_text_id"]).where(F.length("value") <= longest).select("db_id", "question", "value")
 
 
@@ -321,10 +336,11 @@ def value_matches(questions: DataFrame, values: DataFrame, theta: float = 0.85)
     """All matches of ``questions(question_id, db_id, question)`` with ``values(db_id, table_name, column_name, value)``.
 
     Texts are stripped first. Questions and values are matched as distinct texts and joined back to their owners, so
-    repeated texts cost one comparison.
+    repeated texts cost one comparison. Values too long for all questions of their database go first.
     """
     questions = questions.withColumn("question", strip("question"))
-    values = values.select(*COLUMN, strip("value").alias("value")).where("value != ''").distinct()
+    values = values.select(*COLUMN, strip("value").alias("value")).where("value != ''")
+    values = _short_enough(questions, values, theta).distinct()
     scored = score_pairs(candidate_pairs(questions, values, theta), theta)
     return (
         scored.join(values, ["db_id", "value"])

@@ -14,8 +14,8 @@ from loomwright.sources.tables import scan_table
 
 @query("value_link")
 def value_link(spark, sf):
-    """The two best values of every text column of the database, for every question."""
-    made = linking.value_link(inputs.questions(spark, sf), inputs.text_values(spark, sf, "star"))
+    """The two best values of every text column of the question's database, for every question."""
+    made = linking.value_link(inputs.questions(spark, sf), inputs.text_values(spark, sf))
     return made.select("question_id", *linking.COLUMN, "rank", "value", "match_str", "source_str", "score")
 
 

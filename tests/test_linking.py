@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,7 +6,11 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import COMMON_WORDS, STOPWORDS
 from loomwright.operators import linking
+from loomwright.plans import inputs, load
+from loomwright.plans.registry import QUERIES
 
+SF_DIR = "/root/testdata/sf0.001"
+load()
 SEP = "'\"()`,.?! "
 
 
@@ -150,3 +155,21 @@ def test_whole_operator_strips_and_repeats_questions(spark):
     assert got == [(1, "red ring", 1.0), (2, "red ring", 1.0)]
     with pytest.raises(ValueError):
         linking.candidate_pairs(q, v, 0)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
+def test_value_link_reads_the_values_of_all_databases(spark, monkeypatch):
+    asked = [(1, "web", "Which assistant answers in fr?"), (2, "star", "Which assistant answers in fr?")]
+    schema = "question_id long, db_id string, question string"
+    monkeypatch.setattr(inputs, "questions", lambda spark, sf: spark.createDataFrame(asked, schema))
+    got = {(r.question_id, r.db_id, r.table_name, r.column_name, r.value) for r in QUERIES["value_link"](spark, SF_DIR).where("score = 1").collect()}
+    assert got == {(1, "web", "conversations", "role", "assistant"), (1, "web", "documents", "lang", "fr")}
+
+
+def test_long_values_are_left_out_by_the_longest_question_of_their_database(spark):
+    q = spark.createDataFrame([(1, "d", "long " * 14 + "tail words"), (2, "e", "red ring")], "question_id long, db_id string, question string")
+    value = "long " * 14 + "tail word"
+    rows = [(d, "t", "c", value) for d in "def"] + [("e", "t", "c", "red rings")]
+    v = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, value string")
+    assert {(r.db_id, r.value) for r in linking.value_matches(q, v).collect()} == {("d", value), ("e", "red rings")}
+    assert linking.value_matches(q.limit(0), v).collect() == []
