@@ -6,8 +6,8 @@ known letters says nothing. The sum over all words of the text and the languages
 the prediction and its score (ties: the language first by code point).
 
 The model is fitted on a sample of labelled texts that is bounded by ``SAMPLE_DOCS`` texts per language in the mean (drawn by the
-hash of the id) and holds at most ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams of each length per language, counted by Spark. The prediction
-sees nothing but the text, and all of it.
+hash of the id) and holds every word and every n-gram that stands there at least ``LEAST_COUNT`` times in all languages together, with its
+counts in each of them, by Spark: the sample alone bounds the model. The prediction sees nothing but the text, and all of it.
 
 Defined cases: ``und`` with score 0 if a text is null, empty or has no letter, or if nothing was learned; texts or languages that are
 null are not learned from; repeated rows count as often as they are there; other columns are kept, those named like results are replaced.
@@ -15,21 +15,18 @@ null are not learned from; repeated rows count as often as they are there; other
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import crc_of_id, keep, shuffle_key, text_blocks
 
 SAMPLE_DOCS = 1_500
-MOST_WORDS = 5_000
-MOST_GRAMS = 3_000
 LONGEST_GRAM = 5
 LEAST_COUNT = 2
 SMOOTHING = 0.5
@@ -97,27 +94,15 @@ class Model:
 
 
 def _table(rows: pd.DataFrame, key: str, languages: list[str]) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies; ``total`` is that of the language, with what was cut off."""
+    """Smoothed log frequencies of the texts that were met ``LEAST_COUNT`` times; the others count in the sums of the languages only."""
     if rows.empty:
         return {}
-    at = {lang: i for i, lang in enumerate(languages)}
-    sums = np.ones(len(languages))
-    for lang, total in rows.groupby("lang")["total"].first().items():
-        sums[at[lang]] = total
-    size = rows[key].nunique()
-    none = np.log(SMOOTHING) - np.log(sums + SMOOTHING * size)
-    found: dict[str, np.ndarray] = {}
-    for lang, text, n in zip(rows["lang"], rows[key], rows["n"]):
-        vector = found.setdefault(text, none.copy())
-        vector[at[lang]] = math.log(n + SMOOTHING) - math.log(sums[at[lang]] + SMOOTHING * size)
-    return found
-
-
-def _most(counts: DataFrame, by: list[str], key: str, most: int) -> DataFrame:
-    """The most frequent of each group, with the group's ``total``."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), key))
-    total = F.sum("n").over(Window.partitionBy(*by))
-    return counts.select("*", rank.alias("rank"), total.alias("total")).where((F.col("rank") <= most) & (F.col("n") >= LEAST_COUNT))
+    texts, known = pd.factorize(rows[key])
+    counts = np.zeros((len(known), len(languages)))
+    counts[texts, pd.Index(languages).get_indexer(rows["lang"])] = rows["n"]
+    sums = np.maximum(counts.sum(axis=0), 1)
+    often = counts.sum(axis=1) >= LEAST_COUNT
+    return dict(zip(known[often], np.log(counts[often] + SMOOTHING) - np.log(sums + SMOOTHING * often.sum())))
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -138,22 +123,20 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    # What comes to the driver is bounded by the two limits per language.
+    # What comes to the driver is bounded by the sample.
     languages = per_language.orderBy("lang").toPandas()
-    top = _most(counts, ["lang"], "word", MOST_WORDS).toPandas()
-    top_grams = _most(grams, ["lang", "size"], "gram", MOST_GRAMS).toPandas()
     names = list(languages["lang"])
     shares = languages["docs"].to_numpy(dtype=float)
     return Model(
         names,
-        _table(top, "word", names),
-        {int(n): _table(g, "gram", names) for n, g in top_grams.groupby("size")},
+        _table(counts.toPandas(), "word", names),
+        {int(n): _table(g, "gram", names) for n, g in grams.toPandas().groupby("size")},
         np.log(shares / shares.sum()) if names else np.zeros(0),
     )
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``. The model, bounded by its limits, travels as a broadcast."""
+    """``docs`` with ``lang_pred`` and ``score``. The model, bounded by its sample, travels as a broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
 

@@ -113,6 +113,17 @@ def test_language_cases(spark):
     assert kept.columns == corpus(spark).columns and {1001, 1002}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_known_words_and_grams_have_all_their_counts(spark):
+    many = " ".join(2 * ["".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(6000)])
+    model = langid.fit(corpus(spark, [row(1, f"{many} jjjj jjjj", "x"), row(2, "jjjj zz zz", "y")]))
+    assert len(model.words) == 6002
+    # Frequent in one language, counted once in the other.
+    total, size = np.array([12002, 3]), 6002
+    assert model.words["jjjj"] == pytest.approx(np.log(np.array([2, 1]) + 0.5) - np.log(total + 0.5 * size))
+    grams = {f"_{w}_"[i : i + 5] for w in model.words for i in range(len(w) - 2)}
+    assert set(model.grams[5]) == {g for g in grams if len(g) == 5}
+
+
 def test_backoff_goes_from_long_to_short():
     model = langid.Model(["x", "y"], {}, {2: {"ab": np.array([-1.0, -5.0])}, 1: {"a": np.array([-9.0, -1.0])}}, np.zeros(2))
     assert model.of_word("ab").argmax() == 0  # the longer n-gram decides
