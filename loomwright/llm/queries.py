@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from loomwright.llm import ann, bpe, chat, exact_dedup, langid, minhash, mixing, quality, secrets, sharding
+from loomwright.llm import ann, bpe, chat, divergence, exact_dedup, langid, minhash, mixing, quality, secrets, sharding
 from loomwright.llm.common import documents
 from loomwright.llm.sql import SQL
 
@@ -55,6 +55,13 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
 
 
-_ALL = (op1_secrets, op2_bpe, op3_chat, op4_language, op5_neighbours, op6_mix, op7_exact_dedup, op8_near_dedup, op9_quality, op10_shards)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+_ALL = (
+    op1_secrets, op2_bpe, op3_chat, op4_language, op5_neighbours, op6_mix, op7_exact_dedup, op8_near_dedup, op9_quality, op10_shards,
+    op13_divergence,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}

@@ -184,3 +184,42 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
 FROM d LEFT JOIN joined ON d.r = joined.r
 """
 )
+
+SQL["op13_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS lang_sum FROM kept GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY t.lang, t.source, t.term
+), sums AS (
+  SELECT lang, source, sum(n) AS sum_n FROM c GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(sum_n, 0) + 5 * v) AS BIGINT) AS p,
+         CAST(1 + 1000000000::HUGEINT * (lang_n + 5) // (lang_sum + 5 * v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+       LEFT JOIN sums ON sums.lang = g.lang AND sums.source = g.source
+), distances AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN distances x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
