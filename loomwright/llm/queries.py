@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from loomwright.llm import ann, bpe, chat, divergence, exact_dedup, langid, minhash, mixing, quality, secrets, sharding, spelling
+from loomwright.llm import ann, bpe, chat, divergence, exact_dedup, langid, minhash, mixing, pages, quality, secrets, sharding, spelling
 from loomwright.llm.common import documents
 from loomwright.llm.sql import SQL
 
@@ -55,6 +55,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir, "doc_id", "text", "source")).drop("source")
 
 
+def op11_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -65,7 +69,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_secrets, op2_bpe, op3_chat, op4_language, op5_neighbours, op6_mix, op7_exact_dedup, op8_near_dedup, op9_quality, op10_shards,
-    op12_spelling, op13_divergence,
+    op11_pages, op12_spelling, op13_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}
