@@ -15,6 +15,7 @@ are kept, one with the name of the result is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -22,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # The same for texts of ASCII letters only, for the faster module.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 # Distinct words and pairs that a task remembers.
-MOST_WORDS = 200_000
+MOST_WORDS = 120_000
 MOST_PAIRS = 500_000
 
 
@@ -81,6 +83,8 @@ class Encoder(Vocabulary):
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        # Of remembered words: the ids as text, and the bytes that they decode to.
+        self.faces: dict[str, tuple[bytes, bytes]] = {}
         self.pairs: dict[int, bool] = {}
 
     def _index_endings(self) -> None:
@@ -228,12 +232,30 @@ class Encoder(Vocabulary):
         parts = self.split.split(text)
         return list(chain.from_iterable([p] if p in self.special else self.pieces(p) for p in parts))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def words_and_ids(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple[int, ...]]]:
+        """The words of each text, and the ids of all of them at least."""
         split = [self.split_words(t) for t in texts]
         known = self.known(set(chain.from_iterable(split)).difference(self.special))
         known.update((s, (i,)) for s, i in self.special.items())
+        return split, known
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        split, known = self.words_and_ids(texts)
         return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
 
+    def coded(self, texts: list[str]) -> Iterator[tuple[list[str], bytes, str]]:
+        """Of each text: its words, its ids in decimal joined by commas, and the text that the ids decode to."""
+        split, known = self.words_and_ids(texts)
+        faces, of = self.faces, self.bytes
+        if len(faces) > MOST_WORDS:
+            faces.clear()
+        for word in set(chain.from_iterable(split)).difference(faces):
+            ids = known[word]
+            faces[word] = ",".join(map(str, ids)).encode(), b"".join([of[i] for i in ids])
+        for words in split:
+            own = [faces[w] for w in words]
+            yield words, b",".join([f[0] for f in own]), b"".join([f[1] for f in own]).decode("utf-8", "replace")
+
 
 _loaded: dict[tuple, Vocabulary] = {}
 
@@ -309,13 +331,40 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "text",
     return docs.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    coded = encode(docs.select("doc_id", "text"), tokenizer).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        "ids",
-    )
-    back = decode(coded, tokenizer, out="decoded", keep_ids=False)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, tokenizer: str, ids: str | None = None) -> DataFrame:
+    """``docs`` without ``text``, with ``n_tokens, ids_sha256, decoded_sha256``, and the token ids as column ``ids`` if that is given.
+
+    One pass: the ids of a text are those of its words, so their decimal text and the bytes they decode to are made once for each word that
+    the task remembers; a text's are put together from these, decoded as a whole, and hashed.
+    """
+    shared = _Shared(docs.sparkSession, tokenizer)
+    results = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    results += [(ids, T.ArrayType(T.IntegerType()))] if ids else []
+    taken = {"text", *(n.lower() for n, _ in results)}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in taken]
+    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in results)])
+    arrow = to_arrow_schema(schema)
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _loaded_once(Encoder, shared)
+        for batch in batches:
+            names = batch.schema.names
+            column = batch.column(names.index("text"))
+            sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+            for block in text_blocks(sizes, size_of=int):
+                part = column.slice(block.start, block.stop - block.start)
+                n, id_hashes, text_hashes, ends, flat = [], [], [], [0], []
+                for words, id_text, text in vocabulary.coded([t or "" for t in part.to_pylist()]):
+                    n.append(id_text.count(b",") + 1 if id_text else 0)
+                    id_hashes.append(digest(id_text))
+                    text_hashes.append(digest(text.encode()))
+                    if ids:
+                        flat += chain.from_iterable(map(vocabulary.young.__getitem__, words))
+                        ends.append(len(flat))
+                made = [pa.array(n, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
+                made += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))] if ids else []
+                own = [batch.column(names.index(f.name)).slice(block.start, len(n)) for f in kept]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*own, *made], arrow)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,11 +41,11 @@ def remove_kept(spark: SparkSession) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def text_blocks(texts: Sequence[str | None], chars: int = 2_000_000) -> Iterator[slice]:
+def text_blocks(texts: Sequence, chars: int = 1_000_000, size_of: Callable = lambda t: len(t or "")) -> Iterator[slice]:
     """Slices of ``texts`` of about ``chars`` characters, for work in a task whose memory follows the block."""
     start = size = 0
     for at, t in enumerate(texts, 1):
-        size += len(t or "")
+        size += size_of(t)
         if size >= chars or at == len(texts):
             yield slice(start, at)
             start, size = at, 0

@@ -1,12 +1,16 @@
 """BPE against the public library, language and quality on held-out rows, neighbours against brute force."""
 
 import hashlib
+import math
 import os
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from fixtures import corpus, row, rows
 from tokenizers import Tokenizer
 
@@ -81,6 +85,9 @@ def test_round_trip_rows(spark, library):
             (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), text)))
         )
     assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) in want[r.doc_id] for r in got)
+    assert got[0].asDict().keys() >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and "text" not in got[0]
+    listed = bpe.round_trip(corpus(spark).select("doc_id", "text", "kept"), PATH, ids="ids").collect()
+    assert all(hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 and r.kept == "own" for r in listed)
     both = bpe.encode(corpus(spark), PATH)
     assert both.columns == [c for c in corpus(spark).columns if c != "ids"] + ["ids"]
     assert bpe.round_trip(corpus(spark, []), PATH).collect() == []
@@ -99,10 +106,75 @@ def test_held_out_languages(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_languages(learned, texts, languages):
+    """The method read plainly: counts in dictionaries, one word and one language at a time."""
+    words, grams = {x: Counter() for x in languages}, {(x, n): Counter() for x in languages for n in range(1, 6)}
+    for text, lang in learned:
+        for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
+            words[lang][w] += 1
+            for n in range(1, 6):
+                grams[lang, n].update(langid.gram_texts(w, n))
+    prior = Counter(lang for _, lang in learned)
+
+    def logs(counts, entry):
+        every = set().union(*counts)
+        return [math.log(c[entry] + 0.5) - math.log(max(sum(c.values()), 1) + 0.5 * len(every)) for c in counts] if entry in every else None
+
+    def of_word(w):
+        found = logs([words[x] for x in languages], w)
+        for n in range(5, 0, -1):
+            if found is None:
+                known = [g for g in (logs([grams[x, n] for x in languages], g) for g in langid.gram_texts(w, n)) if g]
+                found = [sum(column) / len(known) for column in zip(*known)] if known else None
+        return found or [0.0] * len(languages)
+
+    out = []
+    for text in texts:
+        split = regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+        total = [math.log(prior[x] / len(learned)) for x in languages]
+        for w in split:
+            total = [a + b for a, b in zip(total, of_word(w))]
+        best = max(range(len(languages)), key=lambda i: total[i])
+        out.append((languages[best], 1 / sum(math.exp(t - total[best]) for t in total)) if split else ("und", 0.0))
+    return out
+
+
+def test_languages_against_plain_scoring(spark):
+    rng = random.Random(8)
+    own = {"de": "der die und Haus Bäume Straße nicht", "en": "the and house trees street not", "fr": "le la et maison arbres rue pas"}
+    data = [r for r in rows() if r[0] != 152]
+    for i in range(60):
+        lang = rng.choice(list(own))
+        words = [rng.choice(own[lang].split()) + rng.choice(["", "", "en", "s", "x"]) for _ in range(rng.randint(1, 9))]
+        data.append(row(2_000 + i, " ".join(words), lang))
+    got = {(r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.languages(corpus(spark, data)).collect()}
+    learned = [(r[1], r[2]) for r in data if r[1] is not None and r[2] and zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 4 != 2]
+    found = plain_languages(learned, [r[1] for r in data], sorted({x for _, x in learned}))
+    assert got == {(r[0], name, round(score, 4)) for r, (name, score) in zip(data, found)}
+
+
+def test_language_sample(spark):
+    """The share that is learned from follows the characters of a language, and rows of one id differ by their text."""
+    docs = corpus(spark, [row(7, f"text number {i}", "en") for i in range(400)] + [row(i, "kurz", "de") for i in range(20)])
+    per_language = spark.createDataFrame([("en", 400, 6_000), ("de", 20, 80)], "lang string, docs long, chars long")
+    counts = Counter(r.lang for r in langid.sampled(docs.select("doc_id", "text", "lang"), per_language, 1_500).collect())
+    assert 60 < counts["en"] < 140 and counts["de"] == 20
+
+
+def test_columns_that_clash_in_another_case(spark):
+    df = spark.createDataFrame([(1, "the house", "en", "own", "own", "own")], "doc_id long, text string, lang string, Score string, Lang_Pred string, IDS string")
+    found = langid.predict(df, langid.fit(df))
+    assert found.columns == ["doc_id", "text", "lang", "IDS", "lang_pred", "score"] and found.first().lang_pred == "en"
+    assert [tuple(r) for r in langid.accepted(df).collect()] in ([], [tuple(df.first())]) and langid.accepted(df).columns == df.columns
+    coded = bpe.round_trip(df, PATH, ids="ids")
+    assert coded.columns == ["doc_id", "lang", "Score", "Lang_Pred", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert len(coded.first().ids) == coded.first().n_tokens
+
+
 def test_language_cases(spark):
     texts = [("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("le chien et la vache", "fr")]
     data = [row(i, texts[i % 3][0], texts[i % 3][1]) for i in range(60)]
-    extra = [row(1001, None), row(1002, "  12 ?"), row(1003, "Katzen"), row(1004, "THE CATS"), row(None, "vaches", None, None), row(1005, "日本")]
+    extra = [row(1001, None), row(1002, "  12 ?"), row(1003, "Katzen", None), row(1004, "THE CATS", None), row(None, "vaches", None, None), row(1005, "日本")]
     got = {r.doc_id: r for r in langid.languages(corpus(spark, data + extra)).collect()}
     assert [got[k].lang_pred for k in (1001, 1002, 1003, 1004, None)] == ["und", "und", "de", "en", "fr"]
     assert got[1005].lang_pred in ("de", "en", "fr")
