@@ -40,10 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the hash of the text they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER).drop("text")
-    back = bpe.decode(coded.withColumn("n_tokens", F.size("ids").cast("long")), TOKENIZER, out="decoded")
-    decoded = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", decoded)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, ids="ids")
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("BPE", tokens)]
