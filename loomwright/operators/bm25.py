@@ -6,11 +6,14 @@ and digits of any script; there is no stemming and no stopword list.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.session import cut_lineage
+
 K1 = 0.9
 B = 0.4
 TERM_PATTERN = r"[\p{L}\p{N}]+"
@@ -124,3 +127,114 @@ def bm25_search(index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b
     return (
         bm25_scores(index, queries, k1, b).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     )
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# Score-bounded search
+
+# Scores are compared with this slack, since sums in another order may differ in their last digits.
+_SLACK = 1e-7
+# The rarest terms of a query, up to so many times ``k`` postings, find the documents that give the floor; so many times ``k`` of them are scored in
+# full for it.
+SEED = 64
+LEADERS = 8
+# In so many steps the other terms are looked up, rarer ones first.
+TIERS = 3
+
+
+_BY_TERM, _BY_ROW = ("db_id", "term", "block"), ("db_id", "doc_id", "term", "block")
+
+
+def _least() -> Column:
+    """What a score has to reach. Without ``k`` documents there is no floor, and every term is essential."""
+    return F.coalesce("floor", F.lit(float("-inf"))) - _SLACK
+
+
+def _blocked(index: Index) -> DataFrame:
+    return index.postings.select("db_id", "doc_id", "dl", "term", "tf", block_of(F.col("dl")).alias("block"))
+
+
+def block_of(dl: Column) -> Column:
+    """The block of a document: lengths of one power of two. What a term can weigh in a long document is far less than in a short one."""
+    return F.floor(F.log2(F.greatest(dl, F.lit(1)))).cast("int")
+
+
+def block_stats(index: Index, k1: float = K1, b: float = B) -> DataFrame:
+    """``db_id, term, block, max_weight``: the most that a term weighs in a document of each block, for these parameters."""
+    weight = term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    postings = index.postings.join(index.stats.select("db_id", "avgdl"), "db_id")
+    return postings.groupBy("db_id", "term", block_of(F.col("dl")).alias("block")).agg(F.max(weight).alias("max_weight"))
+
+
+def bounded_weights(index: Index, blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per query, term and block: ``qw``, ``avgdl``, the postings of rarer terms ``before``, and ``rest``, the most that this term and all
+    more frequent ones of the query can add to a document of the block."""
+    weights = query_weights(index, queries).join(index.term_stats, ["db_id", "term"])
+    rarer = Window.partitionBy("query_id", "db_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    placed = weights.withColumn("before", F.coalesce(F.sum("df").over(rarer), F.lit(0)))
+    most = F.col("qw") * F.col("max_weight")
+    onward = Window.partitionBy("query_id", "db_id", "block").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    return (
+        placed.join(blocks, ["db_id", "term"])
+        .withColumn("rest", F.sum(most).over(onward))
+        .select("query_id", "db_id", "term", "block", "qw", "avgdl", "df", "before", "rest")
+    )
+
+
+def _scored(postings: DataFrame, weights: DataFrame, on: Sequence[str], k1: float, b: float) -> DataFrame:
+    """Summed scores per query and document of the postings that ``weights`` asks for."""
+    part = F.col("qw") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    found = postings.join(weights, list(on))
+    return found.groupBy("query_id", "db_id", "doc_id", "block").agg(F.sum(part).alias("score"))
+
+
+def judged_terms(
+    index: Index, blocks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, seed: int = SEED, leaders: int = LEADERS
+) -> tuple[DataFrame, DataFrame]:
+    """``bounded_weights`` with ``essential``, and the floor of each query that has one (``query_id, db_id, floor``).
+
+    The best documents by the rarest terms give a floor: the ``k``-th best of their full scores. A term is essential in a block if it and all
+    more frequent terms together can reach the floor there; a document without an essential term cannot.
+    """
+    postings = _blocked(index)
+    weights = cut_lineage(bounded_weights(index, blocks, queries))
+    first = _scored(postings, weights.where(F.col("before") < seed * k), _BY_TERM, k1, b)
+    best = Window.partitionBy("query_id", "db_id").orderBy(F.desc("score"), "doc_id")
+    ahead = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= leaders * k)
+    asked = ahead.select("query_id", "db_id", "doc_id", "block").join(weights, ["query_id", "db_id", "block"])
+    full = _scored(postings, asked, _BY_ROW, k1, b).withColumn("_n", F.row_number().over(best))
+    floors = cut_lineage(full.where(F.col("_n") == k).select("query_id", "db_id", F.col("score").alias("floor")))
+    judged = weights.join(floors, ["query_id", "db_id"], "left").withColumn("essential", F.col("rest") >= _least())
+    return judged.drop("floor"), floors
+
+
+def bounded_scores(index: Index, blocks: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """Exact scores of all documents that can be among the ``k`` best of a query.
+
+    Only essential terms meet all their postings. The others are looked up, rarer ones first, for those documents alone whose score so far can
+    still reach the floor. Written steps in the checkpoint folder cut the plan, since each stands on several earlier ones.
+    """
+    postings = _blocked(index)
+    judged, floors = judged_terms(index, blocks, queries, k, k1, b)
+    tier = Window.partitionBy("query_id", "db_id", "block").orderBy("df", "term")
+    others = cut_lineage(judged.where("not essential").withColumn("tier", F.ntile(TIERS).over(tier)))
+    scores = _scored(postings, judged.where("essential"), _BY_TERM, k1, b)
+    for n in range(1, TIERS + 1):
+        # The most that the terms from this tier on can add; documents that cannot reach the floor with it are done.
+        rest = others.where(F.col("tier") >= n).groupBy("query_id", "db_id", "block").agg(F.max("rest").alias("most"))
+        bound = scores.join(rest, ["query_id", "db_id", "block"], "left").join(floors, ["query_id", "db_id"], "left")
+        able = cut_lineage(bound.where(F.col("score") + F.coalesce("most", F.lit(0.0)) >= _least()).drop("most", "floor"))
+        asked = able.select("query_id", "db_id", "doc_id", "block").join(others.where(F.col("tier") == n), ["query_id", "db_id", "block"])
+        both = able.unionByName(_scored(postings, asked, _BY_ROW, k1, b))
+        scores = both.groupBy("query_id", "db_id", "doc_id", "block").agg(F.sum("score").alias("score"))
+    return scores.drop("block")
+
+
+def bounded_search(
+    index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, blocks: DataFrame | None = None
+) -> DataFrame:
+    """The same rows as :func:`bm25_search`, without scoring every document that shares a frequent term with a query."""
+    blocks = block_stats(index, k1, b) if blocks is None else blocks
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    scores = bounded_scores(index, blocks, queries, k, k1, b)
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

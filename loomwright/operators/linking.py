@@ -75,8 +75,45 @@ def _first_place(asked: Column, offered: Column, size: Column) -> Column:
     return F.array_min(F.filter(places, lambda p: p["at"] > 0))
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two texts.
+# Characters of one text that a row of bits holds; the 64th bit of a long is left free for the carry.
+_ROW_BITS = 62
+
+
+def _bit_rows(text: Column, letters: Column) -> Column:
+    """For each of ``letters`` the places where it stands in ``text``, as the bits of a whole number."""
+    chars = F.split(text, "")
+    places = F.sequence(F.lit(0), F.length(text) - 1)
+
+    def row(letter: Column) -> Column:
+        return F.aggregate(
+            places, F.lit(0).cast("long"), lambda bits, i: F.when(F.get(chars, i) == letter, bits + F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(bits)
+        )
+
+    return F.transform(letters, row)
+
+
+def _common_by_bits(a: Column, b: Column) -> Column:
+    """``common_length`` for an ``a`` of at most ``_ROW_BITS`` characters.
+
+    A row of bits, one per character of ``a``, is carried along the characters of ``b``: a bit is zero where the common subsequence of what was read
+    grows by one. A character's own places are added to the row, so that the carry of the sum clears the first place of each run of ones;
+    the other ones stay. Each character of ``b`` is one look-up, one sum and two masks; at the end the zeros are counted.
+    """
+    letters = F.array_distinct(F.split(a, ""))
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(a)) - 1
+
+    def step(state: Column, letter: Column) -> Column:
+        at = F.array_position(state["letters"], letter).cast("int")
+        own = F.when(at > 0, F.get(state["rows"], at - 1)).otherwise(F.lit(0).cast("long")).bitwiseAND(state["row"])
+        row = (state["row"] + own).bitwiseOR(state["row"] - own).bitwiseAND(state["full"])
+        return F.struct(state["letters"].alias("letters"), state["rows"].alias("rows"), state["full"].alias("full"), row.alias("row"))
+
+    start = F.struct(letters.alias("letters"), _bit_rows(a, letters).alias("rows"), full.alias("full"), full.alias("row"))
+    return F.aggregate(F.split(b, ""), start, step, lambda state: F.bit_count(state["full"]) - F.bit_count(state["row"]))
+
+
+def _common_by_places(a: Column, b: Column) -> Column:
+    """``common_length`` for texts of any length.
 
     Along the characters of ``b`` a list is kept that says how much of ``a`` is needed to hold a common subsequence of 0, 1, 2, ... characters.
     A further character can lengthen the one before at its next place in ``a``.
@@ -96,6 +133,15 @@ def common_length(a: Column, b: Column) -> Column:
     return F.size(F.filter(needed, lambda p: p <= F.length(a))) - 1
 
 
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts: by bits if one of them fits into a row, else by places."""
+    fits = F.length(a) <= _ROW_BITS
+    either = fits | (F.length(b) <= _ROW_BITS)
+    empty = (a == "") | (b == "")
+    short, other = F.when(fits, a).otherwise(b), F.when(fits, b).otherwise(a)
+    return F.when(empty, 0).when(either, _common_by_bits(short, other)).otherwise(_common_by_places(a, b))
+
+
 def indel_similarity(a: Column, b: Column) -> Column:
     """``2·LCS/(len(a)+len(b))`` of two texts that are not both empty, with the last digit that comes of counting the characters that are not common."""
     both = F.length(a) + F.length(b)

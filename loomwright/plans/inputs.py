@@ -196,7 +196,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("How many "), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(" cost more than 10?")
     )
     about_parts = part.select(F.col("p_partkey").alias("question_id"), F.lit("star").alias("db_id"), text.alias("question"))
-    said = F.concat(F.lit("Where is it said that "), F.substring("text", 1, 20), F.lit("?"))
+    said = F.concat(F.lit("Where is it said that "), F.col("text"), F.lit("?"))
     about_pages = scan_table(spark, sf, "benchmark").select(
         (-1 - F.col("item_id")).alias("question_id"), F.lit("web").alias("db_id"), said.alias("question")
     )
@@ -205,7 +205,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 QUESTIONS_SQL = """(SELECT p_partkey AS question_id, 'star' AS db_id,
     'How many ' || p_name || ' of ' || p_brand || ' cost more than 10?' AS question FROM part
-    UNION ALL SELECT -1 - item_id, 'web', 'Where is it said that ' || substr(text, 1, 20) || '?' FROM benchmark)"""
+    UNION ALL SELECT -1 - item_id, 'web', 'Where is it said that ' || text || '?' FROM benchmark)"""
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -24,13 +24,14 @@ def _words(*lists) -> str:
 
 
 # The first place of the value in the question must be bounded on both sides by a separator or an end of the text.
-_EXACT_SQL = f"""WITH v AS MATERIALIZED (SELECT table_name, column_name, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS value
-        FROM ({inputs.values_sql('star', kinds='t')})),
-    q AS MATERIALIZED (SELECT DISTINCT question FROM {inputs.QUESTIONS_SQL} WHERE db_id = 'star'),
-    p AS MATERIALIZED (SELECT question, value, lower(question) AS lq, lower(value) AS lv, strpos(lower(question), lower(value)) AS i
-        FROM q, (SELECT DISTINCT value FROM v) WHERE value <> '' AND strpos(lower(question), lower(value)) > 0)
-    SELECT question_id, 'star' AS db_id, table_name, column_name, value FROM p
-    JOIN v USING (value) JOIN (SELECT * FROM {inputs.QUESTIONS_SQL} WHERE db_id = 'star') USING (question)
+_EXACT_SQL = f"""WITH v AS MATERIALIZED (SELECT db_id, table_name, column_name, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS value
+        FROM ({inputs.values_sql(kinds='t')})),
+    q AS MATERIALIZED (SELECT DISTINCT db_id, question FROM {inputs.QUESTIONS_SQL}),
+    p AS MATERIALIZED (SELECT db_id, question, value, lower(question) AS lq, lower(value) AS lv, strpos(lower(question), lower(value)) AS i
+        FROM q JOIN (SELECT DISTINCT db_id, value FROM v) USING (db_id)
+        WHERE value <> '' AND length(value) <= length(question) AND strpos(lower(question), lower(value)) > 0)
+    SELECT question_id, db_id, table_name, column_name, value FROM p
+    JOIN v USING (db_id, value) JOIN {inputs.QUESTIONS_SQL} USING (db_id, question)
     WHERE (i = 1 OR strpos('''"()`,.?! ', lq[i - 1]) > 0)
       AND (i + length(lv) > length(lq) OR strpos('''"()`,.?! ', lq[i + length(lv)]) > 0)
       AND strpos('''"()`,.?! ', lv[1]) = 0 AND strpos('''"()`,.?! ', lv[-1]) = 0
@@ -40,7 +41,7 @@ _EXACT_SQL = f"""WITH v AS MATERIALIZED (SELECT table_name, column_name, regexp_
 @query("value_link_exact", _EXACT_SQL)
 def value_link_exact(spark, sf):
     """The matches whose source is the value itself."""
-    found = linking.value_matches(inputs.questions(spark, sf), inputs.text_values(spark, sf, "star"))
+    found = linking.value_matches(inputs.questions(spark, sf), inputs.text_values(spark, sf))
     same = (F.col("score") == 1) & (F.lower("source_str") == F.lower("value"))
     return found.where(same).select("question_id", *linking.COLUMN, "value")
 
@@ -134,3 +135,12 @@ def write_index(spark, sf):
     bm25.write_index(bm25.bm25_index(documents(spark, sf)), path)
     found = bm25.bm25_search(bm25.read_index(spark, path), searches(spark, sf), 10)
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("search_bounded", _SEARCH_SQL)
+def search_bounded(spark, sf):
+    """Writes the index and searches the written copy, scoring only documents that can be among the best."""
+    path = scratch_path(spark, "bounded-index")
+    bm25.write_index(bm25.bm25_index(documents(spark, sf)), path)
+    found = bm25.bounded_search(bm25.read_index(spark, path), searches(spark, sf), 10)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))

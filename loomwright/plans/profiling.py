@@ -129,12 +129,12 @@ def is_number_query(spark, sf):
 
 @query(
     "quote_identifier",
-    f"""SELECT table_name, column_name, value, CASE WHEN regexp_matches(value, '[(\\-) /]')
-        THEN '`' || value || '`' ELSE value END AS quoted FROM ({inputs.values_sql('star', kinds='t')})""",
+    f"""SELECT db_id, table_name, column_name, value, CASE WHEN regexp_matches(value, '[(\\-) /]')
+        THEN '`' || value || '`' ELSE value END AS quoted FROM ({inputs.values_sql(kinds='t')})""",
 )
 def quote_identifier_query(spark, sf):
-    found = inputs.text_values(spark, sf, "star")
-    return found.select("table_name", "column_name", "value", quote_identifier("value").alias("quoted"))
+    found = inputs.text_values(spark, sf)
+    return found.select("db_id", "table_name", "column_name", "value", quote_identifier("value").alias("quoted"))
 
 
 @query("text_decode", "SELECT doc_id, text FROM documents")

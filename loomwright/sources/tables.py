@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,32 +97,45 @@ def scan_distinct_values(databases: Mapping[str, Mapping[str, DataFrame]], text_
     )
 
 
+def _rarely_rewritten(number: Column) -> Column:
+    """``python_number`` of a double, for use in many places of one plan: its rules stand in a lambda, so that they are neither repeated
+    wherever the value is used nor compiled for each column. Only texts with an exponent and the special values go there."""
+    text = number.cast("double").cast("string")
+    return F.when(text.rlike("[EIN]"), F.get(F.transform(F.array(text), python_number), F.lit(0))).otherwise(text)
+
+
 def scan_smallest_values(databases: Mapping[str, Mapping[str, DataFrame]], n: int = 2) -> DataFrame:
     """``(db_id, table_name, column_name, ord, value)``: the ``n`` smallest distinct values of every column, by their text.
 
-    Per table the smallest value of each column, then the smallest above it, and so on. Each is an aggregate without groups,
-    so a task sends one row and no other value moves.
+    One job over all tables finds the smallest value of each column, the next one the smallest above it, and so on. Per table that is an
+    aggregate without groups: each table is scanned once a job, and a task sends one row. What comes back is one value per column
+    of the catalog; the next job compares with it as a literal.
     """
-    frames = []
+    scans = []
     for db_id, tables in databases.items():
         for table, df in tables.items():
             fields = [f for f in df.schema.fields if isinstance(f.dataType, _TEXT + _WHOLE + _FRACTIONAL)]
             if table in SYSTEM_TABLES or not fields:
                 continue
             texts = [
-                (python_number(F.col(f.name).cast("double").cast("string")) if isinstance(f.dataType, _FRACTIONAL)
-                 else F.col(f.name).cast("string")).alias(f.name)
+                (_rarely_rewritten(F.col(f.name)) if isinstance(f.dataType, _FRACTIONAL) else F.col(f.name).cast("string")).alias(f.name)
                 for f in fields
-            ]
-            wide, names, before = df.select(*texts), [f.name for f in fields], None
-            for k in range(1, n + 1):
-                above = [F.col(c) if before is None else F.when(F.col(c) > before[c], F.col(c)) for c in names]
-                least = wide.agg(F.struct(*[F.min(a).alias(c) for a, c in zip(above, names)]).alias("least"))
-                before = least.scalar()
-                long = least.select("least.*").unpivot([], names, "column_name", "value").where("value is not null")
-                key = (F.lit(db_id).alias("db_id"), F.lit(table).alias("table_name"), "column_name")
-                frames.append(long.select(*key, F.lit(k).alias("ord"), "value"))
-    return union_all(frames)
+            ]
+            scans.append((db_id, table, df.select(*texts), [f.name for f in fields]))
+    spark = next(df.sparkSession for tables in databases.values() for df in tables.values())
+    found, before = [], {}
+    for k in range(1, n + 1):
+        jobs = []
+        for i, (db_id, table, wide, names) in enumerate(scans):
+            left = [c for c in names if k == 1 or (db_id, table, c) in before]
+            above = [F.col(c) if k == 1 else F.when(F.col(c) > F.lit(before[db_id, table, c]), F.col(c)) for c in left]
+            if left:
+                least = F.array(*[F.struct(F.lit(c).alias("column"), F.min(a).alias("value")) for c, a in zip(left, above)])
+                jobs.append(wide.agg(least.alias("least")).select(F.lit(i).alias("scan"), "least"))
+        rows = union_all(jobs).collect() if jobs else []
+        before = {(*scans[r.scan][:2], x.column): x.value for r in rows for x in r.least if x.value is not None}
+        found += [(*key, k, value) for key, value in before.items()]
+    return spark.createDataFrame(found, "db_id string, table_name string, column_name string, ord int, value string")
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import COMMON_WORDS, STOPWORDS
-from loomwright.operators import linking
+from loomwright.operators import bm25, linking
 from loomwright.plans import inputs, load
 from loomwright.plans.registry import QUERIES
 
@@ -173,3 +173,40 @@ def test_long_values_are_left_out_by_the_longest_question_of_their_database(spar
     v = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, value string")
     assert {(r.db_id, r.value) for r in linking.value_matches(q, v).collect()} == {("d", value), ("e", "red rings")}
     assert linking.value_matches(q.limit(0), v).collect() == []
+
+
+def _search_tables(spark, rng):
+    """Documents of very different length over a skewed vocabulary, and queries with rare and frequent terms; one database holds almost nothing."""
+    words = [f"w{i}" for i in range(300)]
+    pick = lambda n: " ".join(words[min(int(rng.paretovariate(0.7)) - 1, 299)] for _ in range(n))
+    docs = [("a", i, pick(rng.choice([1, 5, 40, 300]))) for i in range(400)] + [("b", i, pick(6)) for i in range(4)] + [("a", 900, ""), ("a", 901, None)]
+    queries = [(i, rng.choice("ab"), pick(rng.choice([1, 3, 12, 30]))) for i in range(60)] + [(100, "a", "unknown"), (101, "c", "w1"), (102, "a", "")]
+    return spark.createDataFrame(docs, "db_id string, doc_id long, contents string"), spark.createDataFrame(queries, "query_id long, db_id string, text string")
+
+
+@pytest.mark.parametrize("k, k1, b", [(1, 0.9, 0.4), (10, 0.9, 0.4), (5, 2.0, 0.9), (500, 0.9, 0.4)])
+def test_bounded_search_finds_the_same(spark, k, k1, b):
+    docs, queries = _search_tables(spark, random.Random(k))
+    index = bm25.bm25_index(docs)
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert rows(bm25.bounded_search(index, queries, k, k1, b)) == rows(bm25.bm25_search(index, queries, k, k1, b))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_bounded_search_meets_few_postings(spark):
+    """Essential terms meet less than a fifth of the postings that the queries' terms have."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    queries = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").selectExpr("item_id as query_id", "'web' as db_id", "text")
+    index = bm25.bm25_index(docs.selectExpr("'web' as db_id", "doc_id", "text as contents"))
+    judged, _ = bm25.judged_terms(index, bm25.block_stats(index), queries)
+    met = bm25._blocked(index).join(judged.where("essential"), list(bm25._BY_TERM)).count()
+    assert 0 < met < index.postings.join(bm25.query_weights(index, queries), ["db_id", "term"]).count() / 5
+
+
+def test_common_length_by_bits_and_by_places(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(rng.choice(["ab", "abcdefghij ", "é😀x"])) for _ in range(rng.choice([0, 1, 5, 30, 61, 62, 63, 64, 90]))) for _ in range(160)]
+    pairs = [(a, b) for a, b in zip(texts, texts[1:] + texts[:1])] + [(t, t) for t in texts[:20]]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", linking.common_length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in got] == [lcs(a, b) for a, b in pairs]
