@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.operators.ordering import overlapping_chunks
+from loomwright.operators.ordering import ordered_index, overlapping_chunks
 
 # The logged series, and the factor by which losses of kind "mse" are shown.
 TAGS = ("train-loss", "learning-rate", "mix-in", "clm_beta", "imp-weight")
@@ -75,10 +75,29 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
-def step_time_summary(times: DataFrame, run: str = "run_id", accuracy: int = 10_000) -> DataFrame:
-    """Median and 95th percentile of the step times per run (approximate, mergeable summaries)."""
-    q = F.percentile_approx("seconds", F.array(F.lit(0.5), F.lit(0.95)), accuracy)
-    return times.groupBy(run).agg(F.get(q, F.lit(0)).alias("p50"), F.get(q, F.lit(1)).alias("p95"))
+def exact_quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per ``group`` the values of ``value`` that stand at the given shares of their order (no value in between is made); NULLs do not count,
+    a group of NULLs only has NULL.
+
+    Every value gets its place by :func:`ordered_index`, so a group with most of the rows is spread over many partitions; then the values at the
+    wanted places are picked, one row per group and share.
+    """
+    known = df.where(F.col(value).isNotNull()).select(group, value)
+    placed = ordered_index(known, [value], [group], name="_at")
+    sizes = df.groupBy(group).agg(F.count(value).alias("_n"))
+
+    def place(share: float) -> Column:
+        return F.greatest(F.col("_n") - F.floor(F.col("_n") - F.lit(share) * F.col("_n")), F.lit(1)) - 1
+
+    wanted = sizes.select(group, F.explode(F.array_distinct(F.array(*[place(q) for q in shares.values()]))).alias("_at"))
+    found = sizes.join(placed.join(wanted, [group, "_at"]), group, "left")
+    picked = [F.max(F.when(F.col("_at") == place(q), F.col(value))).alias(name) for name, q in shares.items()]
+    return found.groupBy(group).agg(*picked)
+
+
+def step_time_summary(times: DataFrame, run: str = "run_id") -> DataFrame:
+    """Median and 95th percentile of the step times per run, exact."""
+    return exact_quantiles(times, run, "seconds", {"p50": 0.5, "p95": 0.95})
 
 
 def checkpoint_steps(steps: DataFrame, every: int, keys: Sequence[str] = ("run_id",)) -> DataFrame:

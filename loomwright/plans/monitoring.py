@@ -66,9 +66,15 @@ def step_time(spark, sf):
     return times.select("run_id", "step", F.round("seconds", 6).alias("seconds"))
 
 
-@query("step_time_summary")
+@query(
+    "step_time_summary",
+    f"""SELECT run_id, quantile_disc(seconds, 0.5) AS p50, quantile_disc(seconds, 0.95) AS p95 FROM (
+        SELECT run_id, round(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY run_id ORDER BY step), 6) AS seconds
+        FROM {_LOG_SQL}) GROUP BY run_id""",
+)
 def step_time_summary(spark, sf):
-    return monitor.step_time_summary(monitor.step_time(inputs.loss_log(spark, sf).select("run_id", "step", "ts")))
+    times = monitor.step_time(inputs.loss_log(spark, sf).select("run_id", "step", "ts"))
+    return monitor.step_time_summary(times.withColumn("seconds", F.round("seconds", 6)))
 
 
 @query(

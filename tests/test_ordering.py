@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomwright.operators import corpus
+from loomwright.operators import corpus, monitor
 from loomwright.operators.ordering import ordered_index, overlapping_chunks
 
 
@@ -72,3 +72,14 @@ def test_batches_differ_by_epoch_and_drop_the_rest(spark):
     order = [[r.k for r in sorted(got, key=lambda r: (r.batch_id, r.pos)) if r.epoch == e] for e in (0, 1)]
     assert order[0] != order[1]
     assert corpus.training_plan(25, 4, 2, 0.05) == {"total_steps": 14, "warmup_steps": 1}
+
+
+def test_exact_quantiles(spark):
+    """Places as the definition gives them, for sizes around the steps, ties, NULLs, and one group with nearly all rows."""
+    rng = random.Random(6)
+    groups = {f"g{n}": [rng.choice([0.5, rng.random()]) for _ in range(n)] for n in (1, 2, 3, 10, 19, 20, 21, 2_000)} | {"none": []}
+    rows = [(g, v) for g, values in groups.items() for v in [*values, None]]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.low, r.half, r.high) for r in monitor.exact_quantiles(df, "g", "v", {"low": 0.0, "half": 0.5, "high": 0.95}).collect()}
+    at = lambda values, q: sorted(values)[max(len(values) - int(len(values) - q * len(values)), 1) - 1]
+    assert got == {g: tuple(at(v, q) for q in (0.0, 0.5, 0.95)) if v else (None,) * 3 for g, v in groups.items()}
