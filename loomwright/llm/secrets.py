@@ -3,9 +3,10 @@
 *Patterns* (base spans): assignments of passwords and tokens, access keys, long hexadecimal runs.
 *Entropy* (added spans): candidates are runs of 20 or more letters, digits and ``+/_=-`` that hold both a letter and a digit. Each belongs
 to the narrowest class of characters that holds it (``entropy_hex``, ``entropy_upper``, ``entropy_mixed``), and each class has its own
-limit. A window of ``WINDOW`` characters slides along the candidate; the sum of c * log2(c) over its counts c is kept up to date by the
-one character that leaves and the one that enters. The span reaches from the first to the last window whose Shannon entropy
-(bits a character) is at or above the limit. Candidates on the allow-list, or that match an allowed form, are suppressed.
+limit. A window of ``WINDOW`` characters slides along the candidate; the counts of its characters, and the sum of c * log2(c) over them,
+are kept up to date by the one character that leaves and the one that enters. The span reaches from the first to the last window whose
+Shannon entropy (bits a character) is at or above the limit. Candidates on the allow-list or of an allowed form are suppressed, and so
+are spans that hold a word for stand-ins. The work is linear in the length of a run and n * log2(n) in the findings of a text.
 
 Positions are code points, ends exclusive. Defined cases: a null text counts as empty; a text without findings has zeros, the hash of
 the empty text and an empty list; every row gives one row, repeated ones too; other columns are kept by ``find``.
@@ -13,6 +14,7 @@ the empty text and an empty list; every row gives one row, repeated ones too; ot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,10 +38,12 @@ CLASSES = (
 )
 # Known harmless strings and forms.
 ALLOWED = ("0123456789abcdef0123456789abcdef", "d41d8cd98f00b204e9800998ecf8427e", "abcdefghijklmnopqrstuvwxyz0123456789")
-ALLOWED_FORMS = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|sample|placeholder|dummy",
-)
+ALLOWED_FORMS = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",)
+# A span that holds one of these is a stand-in; the same word beside a span hides nothing.
+ALLOWED_WORDS = r"(?i)example|sample|placeholder|dummy"
+# Counts are kept for the codes from "+" to "z", and windows are worked through in chunks.
+FIRST_CODE, CODES = 43, 80
+CHUNK = 480
 
 
 def _struct(start: Column, order: Column, end: Column) -> Column:
@@ -49,21 +53,30 @@ def _struct(start: Column, order: Column, end: Column) -> Column:
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums of an int array up to and with each place, by doubling: after the step for k every place holds the sum of the last 2k
+    numbers. n * log2(n) additions, where a fold that appends would copy its array at every place."""
+    steps = F.filter(F.lit([1 << k for k in range(31)]), lambda k: k < F.size(numbers))
+
+    def double(sums: Column, k: Column) -> Column:
+        earlier = F.concat(F.array_repeat(F.lit(0), k), F.slice(sums, F.lit(1), F.size(sums) - k))
+        return F.zip_with(sums, earlier, lambda x, y: x + y)
+
+    return F.aggregate(steps, numbers, double)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, hit, nth>>`` of the leftmost non-overlapping matches. What lies between them comes from a split
-    at the same pattern; starts are running sums of the lengths."""
+    """``array<struct<start, end, hit>>`` of the leftmost non-overlapping matches. What lies between them comes from a split
+    at the same pattern; ends are running sums of the lengths."""
     between = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(hits.alias("hit"), F.slice(between, F.lit(1), F.size(hits)).alias("gap"))
+    ends = running_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"])))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], found).alias("found"))
+    def found(end: Column, hit: Column) -> Column:
+        return F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit"))
 
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
+    return F.zip_with(ends, hits, found)
 
 
 def _base(text: Column, order: int, pattern: str, group: int, least: int) -> Column:
@@ -76,43 +89,74 @@ def _base(text: Column, order: int, pattern: str, group: int, least: int) -> Col
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_NONE))
 
 
-def _count(piece: Column, char: Column) -> Column:
-    return F.length(piece) - F.length(F.replace(piece, char, F.lit("")))
+def _hot_in_chunk(chars: Column, limit: Column, window: int) -> Column:
+    """``struct<first, last>``: places in ``chars`` (from 1) at which the first and the last hot window end; nulls if none is hot.
 
+    The state holds the counts as a text, one letter for each code from ``FIRST_CODE`` on (A for 0, B for 1 and so on). A step changes
+    the letter of the character that leaves and the letter of the one that enters; it looks at the sum that the step before left."""
+    log = math.log2(window)
+    weights = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    more = F.lit([0.0] + [weights[n] - weights[n - 1] for n in range(1, window + 1)])
 
-def _weight(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    def code(i: Column) -> Column:
+        return F.ascii(F.get(chars, i)) - (FIRST_CODE - 1)
 
+    def count(counts: Column, c: Column) -> Column:
+        return F.ascii(F.substring(counts, c, F.lit(1))) - 65
 
-def hot_windows(text: Column, limit: Column, window: int = WINDOW) -> Column:
-    """``struct<first, last>``: first and last position (from 1) at which a window ends whose entropy reaches ``limit``; nulls if
-    none does."""
-    log = F.log2(F.lit(float(window)))
-
-    def step(state: Column, i: Column) -> Column:
-        entering = F.substring(text, i, F.lit(1))
-        leaving = F.substring(text, i - window, F.lit(1))
-        before = F.substring(text, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))
-        held = F.substring(text, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)))
-        out = _count(before, leaving)
-        into = _count(held, entering)
-        less = F.when(i > window, _weight(out) - _weight(out - 1)).otherwise(F.lit(0.0))
-        total = state["total"] - less + _weight(into) - _weight(into - 1)
+    def put(counts: Column, c: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + 65), c, F.lit(1))
+
+    def step(state: Column, at: Column) -> Column:
+        i, into, out = at["i"], at["into"], at["out"]
+        left = count(state["counts"], out)
+        entered = count(state["counts"], into) + F.when(into == out, 0).otherwise(1)
+        rest = F.when(out.isNull(), state["counts"]).otherwise(put(state["counts"], out, left - 1))
         # Rounded, because running sums and fresh sums differ in their last bits.
-        hot = (i >= window) & (F.round(log - total / window, 9) >= limit)
+        hot = (i >= window) & (F.round(F.lit(log) - state["total"] / window, 9) >= limit)
         return F.struct(
-            total.alias("total"),
-            F.coalesce(state["first"], F.when(hot, i)).alias("first"),
+            put(rest, into, entered).alias("counts"),
+            (state["total"] - F.coalesce(F.get(more, left), F.lit(0.0)) + F.get(more, entered)).alias("total"),
+            F.when(hot & state["first"].isNull(), i).otherwise(state["first"]).alias("first"),
             F.when(hot, i).otherwise(state["last"]).alias("last"),
         )
 
+    # One place more than characters, for a look at the last sum.
+    places = F.transform(
+        F.sequence(F.lit(0), F.size(chars)),
+        lambda i: F.struct(i.alias("i"), code(i).alias("into"), F.when(i >= window, code(i - window)).alias("out")),
+    )
     start = F.struct(
-        F.lit(0.0).alias("total"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
+        F.lit("A" * CODES).alias("counts"),
+        F.lit(0.0).alias("total"),
+        F.lit(None).cast("int").alias("first"),
+        F.lit(None).cast("int").alias("last"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: F.struct(s["first"], s["last"]))
+    return F.aggregate(places, start, step, lambda s: F.struct(s["first"], s["last"]))
 
 
-def _entropy(text: Column, allowed: Sequence[str], forms: Sequence[str]) -> Column:
+def hot_windows(text: Column, limit: Column, window: int = WINDOW) -> Column:
+    """``struct<first, last>``: first and last position (from 1) at which a window ends whose entropy reaches ``limit``; nulls if
+    none does. The text, of the characters of ``CANDIDATE`` only, is cut once into chunks of ``CHUNK`` characters, each followed by the
+    ``window - 1`` characters after it, so every window lies in one chunk and no step touches the whole text."""
+    chunks = F.regexp_extract_all(text, F.lit(f".{{1,{CHUNK}}}"), F.lit(0))
+    after = F.regexp_extract_all(text, F.lit(f".{{1,{CHUNK}}}(?=(.{{0,{window - 1}}}))"), F.lit(1))
+    chars = F.zip_with(chunks, after, lambda c, a: F.split(F.concat(c, a), ""))
+
+    def in_text(piece: Column, k: Column) -> Column:
+        # a piece bound by a lambda is cut into characters once
+        return F.transform(F.array(_hot_in_chunk(piece, limit, window)), lambda h: F.struct(
+            (h["first"] + k * CHUNK).alias("first"), (h["last"] + k * CHUNK).alias("last")
+        ))[0]
+
+    hot = F.transform(chars, in_text)
+    return F.transform(F.array(hot), lambda h: F.struct(
+        F.array_min(F.transform(h, lambda x: x["first"])).alias("first"),
+        F.array_max(F.transform(h, lambda x: x["last"])).alias("last"),
+    ))[0]
+
+
+def _entropy(text: Column, allowed: Sequence[str], forms: Sequence[str], words: str) -> Column:
     """Spans of the candidates' hot windows. Kinds are numbered after the base kinds."""
 
     def suspicious(m: Column) -> Column:
@@ -122,17 +166,26 @@ def _entropy(text: Column, allowed: Sequence[str], forms: Sequence[str]) -> Colu
             ok = ok & ~hit.rlike(form)
         return ok
 
-    def span(m: Column) -> Column:
+    def classed(m: Column) -> Column:
         kind, limit = F.lit(None).cast("int"), F.lit(None).cast("double")
         for i, (_, chars, bits) in reversed(list(enumerate(CLASSES))):
             kind = F.when(m["hit"].rlike(chars), F.lit(len(BASE) + i)).otherwise(kind)
             limit = F.when(m["hit"].rlike(chars), F.lit(bits)).otherwise(limit)
-        hot = hot_windows(m["hit"], limit)
-        return _struct(m["start"] + hot["first"] - WINDOW, kind, m["start"] + hot["last"])
+        return F.struct(m["start"].alias("start"), m["hit"].alias("hit"), kind.alias("kind"), limit.alias("limit"))
+
+    def hot(c: Column) -> Column:
+        return F.struct(c["start"], c["hit"], c["kind"], hot_windows(c["hit"], c["limit"]).alias("hot"))
+
+    def harmful(h: Column) -> Column:
+        first, last = h["hot"]["first"], h["hot"]["last"]
+        return first.isNotNull() & ~F.substring(h["hit"], first - WINDOW + 1, last - first + WINDOW).rlike(words)
+
+    def span(h: Column) -> Column:
+        return _struct(h["start"] + h["hot"]["first"] - WINDOW, h["kind"], h["start"] + h["hot"]["last"])
 
-    found = F.transform(F.filter(matches(text, CANDIDATE), suspicious), span)
-    found = F.filter(found, lambda s: s["start"].isNotNull())
-    return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(_NONE))
+    found = F.transform(F.transform(F.filter(matches(text, CANDIDATE), suspicious), classed), hot)
+    spans = F.transform(F.filter(found, harmful), span)
+    return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(_NONE))
 
 
 def _joined(spans: Column) -> Column:
@@ -144,7 +197,11 @@ def _joined(spans: Column) -> Column:
 
 
 def find(
-    docs: DataFrame, text: str = "text", allowed: Sequence[str] = ALLOWED, forms: Sequence[str] = ALLOWED_FORMS
+    docs: DataFrame,
+    text: str = "text",
+    allowed: Sequence[str] = ALLOWED,
+    forms: Sequence[str] = ALLOWED_FORMS,
+    words: str = ALLOWED_WORDS,
 ) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans``: arrays of (start, kind, end) by start, then kind; a kind is a place in
     ``BASE`` + ``CLASSES``."""
@@ -152,7 +209,7 @@ def find(
     base = F.array_sort(F.concat(*[_base(body, i, *spec[1:]) for i, spec in enumerate(BASE)]))
     return (
         docs.withColumn("base_spans", base)
-        .withColumn("all_spans", F.array_sort(F.concat("base_spans", _entropy(body, allowed, forms))))
+        .withColumn("all_spans", F.array_sort(F.concat("base_spans", _entropy(body, allowed, forms, words))))
     )
 
 

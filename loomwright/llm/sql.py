@@ -161,17 +161,17 @@ WITH d AS (
   WHERE kind = 9 AND regexp_matches(m.hit, '[0-9]') AND regexp_matches(m.hit, '[A-Za-z]')
     AND lower(m.hit) NOT IN ('0123456789abcdef0123456789abcdef', 'd41d8cd98f00b204e9800998ecf8427e', 'abcdefghijklmnopqrstuvwxyz0123456789')
     AND NOT regexp_matches(m.hit, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')
-    AND NOT regexp_matches(m.hit, '(?i)example|sample|placeholder|dummy')
 ), chars AS (
   SELECT r, s, hit, kind, i, unnest(string_split(substr(hit, i + 1, 20), '')) AS c
   FROM (SELECT *, unnest(range(0, length(hit) - 19)) AS i FROM candidates)
 ), counts AS (
-  SELECT r, s, kind, i, c, count(*) AS n FROM chars GROUP BY ALL
+  SELECT r, s, hit, kind, i, c, count(*) AS n FROM chars GROUP BY ALL
 ), hot AS (
-  SELECT r, s, kind, i FROM counts GROUP BY r, s, kind, i
+  SELECT r, s, kind, i, any_value(hit) AS hit FROM counts GROUP BY r, s, kind, i
   HAVING round(log2(20) - sum(n * log2(n)) / 20, 9) >= CASE kind WHEN 3 THEN 3.0 WHEN 4 THEN 3.5 ELSE 3.8 END
 ), spans AS (
-  SELECT * FROM base UNION ALL SELECT r, kind, s + min(i), s + max(i) + 20 FROM hot GROUP BY r, kind, s
+  SELECT * FROM base UNION ALL SELECT r, kind, s + min(i), s + max(i) + 20 FROM hot GROUP BY r, kind, s, hit
+  HAVING NOT regexp_matches(substr(hit, min(i) + 1, max(i) - min(i) + 20), '(?i)example|sample|placeholder|dummy')
 ), named AS (
   SELECT *, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_upper', 'entropy_mixed'][kind + 1] || ':' || s || ':' || e AS x FROM spans
 ), joined AS (
