@@ -31,21 +31,22 @@ def zip_shortest(**arrays: Column) -> Column:
     return F.arrays_zip(*[F.slice(a, F.lit(1), length).alias(name) for name, a in arrays.items()])
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums of an int array up to and with each place, by doubling: after the step for k every place holds the sum of the last 2k
+    numbers. n * log2(n) additions, where a fold that appends would copy its array at every place."""
+    steps = F.filter(F.lit([1 << k for k in range(31)]), lambda k: k < F.size(numbers))
+
+    def double(sums: Column, k: Column) -> Column:
+        earlier = F.concat(F.array_repeat(F.lit(0), k), F.slice(sums, F.lit(1), F.size(sums) - k))
+        return F.zip_with(sums, earlier, lambda x, y: x + y)
+
+    return F.aggregate(steps, numbers, double)
+
+
 def position_ids(mask: Column) -> Column:
-    """Running count of attended positions minus one; 1 where the mask is 0.
-
-    The running counts are built in one pass: every step appends to the array so far, so keep this for sequences of model
-    length; a plain window over exploded positions serves longer ones.
-    """
-    counts = F.aggregate(
-        mask,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda acc, m: F.struct(
-            (acc["n"] + m).cast("int").alias("n"),
-            F.concat(acc["out"], F.array(F.when(m == 0, F.lit(1)).otherwise((acc["n"] + m - 1).cast("int")))).alias("out"),
-        ),
-    )
-    return counts["out"]
+    """Running count of attended positions minus one; 1 where the mask is 0."""
+    counts = running_sums(mask.cast("array<int>"))
+    return F.zip_with(mask, counts, lambda m, n: F.when(m == 0, F.lit(1)).otherwise(n - 1))
 
 
 def next_token_pairs(ids: Column) -> Column:

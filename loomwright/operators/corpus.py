@@ -150,23 +150,26 @@ def row_index(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()) ->
     return df.join(index, keys)
 
 
-def prefix_offset(tokens: DataFrame) -> DataFrame:
-    """``offset`` of every sequence in the stream of all corpora, in corpus order and then row order.
+def prefix_offset(tokens: DataFrame, streams: Sequence[str] = ()) -> DataFrame:
+    """``offset`` of every sequence in the stream of all corpora, in corpus order and then row order; with ``streams`` one
+    stream for each of their values.
 
     Only keys and lengths are ordered; the result holds no token arrays.
     """
-    narrow = tokens.select(*KEY, "length")
-    return ordered_index(narrow, ["corpus_ord", "idx"], name="seq", weight="length")
+    narrow = tokens.select(*streams, *KEY, "length")
+    return ordered_index(narrow, ["corpus_ord", "idx"], streams, name="seq", weight="length")
 
 
-def pack_blocks(tokens: DataFrame, block_size: int) -> DataFrame:
+def pack_blocks(tokens: DataFrame, block_size: int, streams: Sequence[str] = ()) -> DataFrame:
     """Cut the stream of all sequences into blocks of ``block_size`` tokens; the incomplete last block is dropped.
 
+    With ``streams`` (columns that are never null, such as ``slice``) each of their values has a stream and block numbers of its own.
     A sequence is cut where blocks end, and the pieces of a block are put together; a block has at most ``block_size``
     pieces. Attention masks are all ones and labels equal the ids.
     """
-    offsets = prefix_offset(tokens).select(*KEY, "offset")
-    placed = tokens.select(*KEY, "input_ids", "length").join(offsets, KEY).where("length > 0")
+    keys = [*streams, *KEY]
+    offsets = prefix_offset(tokens, streams).select(*keys, "offset")
+    placed = tokens.select(*keys, "input_ids", "length").join(offsets, keys).where("length > 0")
     first = F.expr(f"offset div {block_size}")
     last = F.expr(f"(offset + length - 1) div {block_size}")
     within = (F.col("offset") % block_size).cast("int")
@@ -178,10 +181,11 @@ def pack_blocks(tokens: DataFrame, block_size: int) -> DataFrame:
         ids = F.slice("input_ids", start, F.least(stop, F.size("input_ids")) - start + 1)
         return F.struct(block.alias("block_id"), F.when(block == first, within).otherwise(0).alias("at"), ids.alias("ids"))
 
-    pieces = placed.select(F.inline(F.transform(F.sequence(first, last), piece)))
+    pieces = placed.select(*streams, F.inline(F.transform(F.sequence(first, last), piece)))
     packed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]))
-    blocks = pieces.groupBy("block_id").agg(packed.alias("input_ids")).where(F.size("input_ids") == block_size)
+    blocks = pieces.groupBy(*streams, "block_id").agg(packed.alias("input_ids")).where(F.size("input_ids") == block_size)
     return blocks.select(
+        *streams,
         "block_id",
         "input_ids",
         F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"),

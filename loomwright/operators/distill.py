@@ -53,7 +53,11 @@ def _divergence(log_p: Column, log_q: Column) -> Column:
     return array_sum(F.zip_with(log_p, log_q, lambda p, q: F.exp(p) * (p - q)))
 
 
-def _prepared(pairs: DataFrame, alpha: float, temperature: float, kinds: set[str], mask_padding: bool) -> DataFrame:
+def _share(alpha: float | str) -> Column:
+    return F.col(alpha).cast("double") if isinstance(alpha, str) else F.lit(float(alpha))
+
+
+def _prepared(pairs: DataFrame, alpha: float | str, temperature: float, kinds: set[str], mask_padding: bool) -> DataFrame:
     """Log-probabilities per position, as far as ``kinds`` need them."""
     rows = pairs.where(F.col("label") != IGNORED_LABEL) if mask_padding else pairs
     s, t = as_doubles("student"), as_doubles("teacher")
@@ -64,13 +68,13 @@ def _prepared(pairs: DataFrame, alpha: float, temperature: float, kinds: set[str
     if kinds & {"ce", "pmse", "js", "weight"} or (alpha == 0 and kinds & {"fkl", "revkl"}):
         made["_ls"] = log_softmax(F.col("_s"), temperature)
     if alpha != 0 and kinds & {"fkl", "revkl", "weight"}:
-        made["_lm"] = log_softmax(mix_logits(F.col("_s"), F.col("_t"), alpha), temperature)
+        made["_lm"] = log_softmax(mix_logits(F.col("_s"), F.col("_t"), _share(alpha)), temperature)
     if "mixkl" in kinds:
-        made["_la"] = log_softmax(F.transform("_s", lambda x: x * F.lit(1 - alpha)), temperature)
+        made["_la"] = log_softmax(F.transform("_s", lambda x: x * (1 - _share(alpha))), temperature)
     return rows.withColumns(made) if made else rows
 
 
-def _position_terms(kind: str, alpha: float) -> dict[str, Column]:
+def _position_terms(kind: str, alpha: float | str) -> dict[str, Column]:
     """The numbers one position adds to a batch."""
     mixed = "_lm" if alpha != 0 else "_ls"
     if kind == "fkl":
@@ -101,14 +105,15 @@ def _position_terms(kind: str, alpha: float) -> dict[str, Column]:
 def kd_losses(
     pairs: DataFrame,
     kinds: tuple[str, ...] = KINDS,
-    alpha: float = 0.2,
+    alpha: float | str = 0.2,
     temperature: float = 2.0,
     weighted: bool = False,
     mask_padding: bool = False,
 ) -> DataFrame:
     """One row per batch with a column per kind, all from one pass over the logits.
 
-    ``alpha`` is the teacher's share in the mixed student, ``weighted`` multiplies ``fkl`` and ``revkl`` by the importance
+    ``alpha`` is the teacher's share in the mixed student: a number, or the name of a column that holds one number per batch, which
+    the result keeps. ``weighted`` multiplies ``fkl`` and ``revkl`` by the importance
     weight (``mixkl`` always is). ``imp_weight`` is 1 where it is not used.
     """
     for kind in kinds:
@@ -122,8 +127,9 @@ def kd_losses(
     for kind in sorted(needed):
         terms.update(_position_terms(kind, alpha))
     rows = _prepared(pairs, alpha, temperature, needed, mask_padding)
-    positions = rows.select("batch_id", "example_id", F.size("_s").alias("_v"), *[c.alias(n) for n, c in terms.items()])
-    batches = positions.groupBy("batch_id").agg(
+    share = [alpha] if isinstance(alpha, str) else []
+    positions = rows.select("batch_id", *share, "example_id", F.size("_s").alias("_v"), *[c.alias(n) for n, c in terms.items()])
+    batches = positions.groupBy("batch_id", *share).agg(
         F.countDistinct("example_id").alias("_examples"),
         F.count(F.lit(1)).alias("_positions"),
         F.sum("_v").alias("_elements"),
@@ -140,10 +146,10 @@ def kd_losses(
         "mse": lambda: F.col("mse") / elements,
         "pmse": lambda: F.col("pmse") / elements,
         "js": lambda: F.col("js") / 2 / examples,
-        "mixkl": lambda: weight * F.col("mixkl_1") / examples - weight * alpha * F.col("mixkl_2") / examples,
+        "mixkl": lambda: weight * F.col("mixkl_1") / examples - weight * _share(alpha) * F.col("mixkl_2") / examples,
     }
     out = [finals[k]().alias(k) for k in kinds]
-    return batches.select("batch_id", *out, weight.alias("imp_weight"))
+    return batches.select("batch_id", *share, *out, weight.alias("imp_weight"))
 
 
 def importance_weight(pairs: DataFrame, alpha: float, temperature: float) -> DataFrame:
@@ -185,6 +191,22 @@ def kd_total_loss(clm: DataFrame, kd: DataFrame, beta: float | Column, kd_column
     return joined.withColumn("total_loss", total).drop("_kd")
 
 
+def kd_scheduled(
+    pairs: DataFrame, clm: DataFrame, schedule: DataFrame, kind: str = "fkl", temperature: float = 2.0, weighted: bool = False
+) -> DataFrame:
+    """Losses where every batch has the weights of its own training step.
+
+    ``schedule`` holds one row per ``batch_id`` with ``alpha``, the teacher's share in the mixed student, and ``beta``, the share of the
+    plain loss ``clm_loss`` of ``clm``. Returns ``batch_id, alpha, beta, kd_loss, total_loss`` for the scheduled batches that ``clm`` holds. The
+    schedule is one narrow row per batch, so the choice how to join it to the logits is left to Spark, which goes by bytes.
+    """
+    shares = pairs.drop("alpha", "beta").join(schedule.select("batch_id", "alpha"), "batch_id")
+    kd = kd_losses(shares, (kind,), "alpha", temperature, weighted).withColumnRenamed(kind, "kd_loss")
+    plain = clm.select("batch_id", "clm_loss").join(schedule.select("batch_id", "beta"), "batch_id")
+    totals = kd_total_loss(plain, kd, F.col("beta")).select("batch_id", "beta", "total_loss")
+    return totals.join(kd, "batch_id", "left").select("batch_id", "alpha", "beta", "kd_loss", "total_loss")
+
+
 def focal_loss(rows: DataFrame, alpha: float = 0.75, gamma: float = 2.0, keys: tuple[str, ...] = ("example_id",)) -> DataFrame:
     """Weighted focal loss per example from ``logits`` (two classes) and ``label`` 0 or 1."""
     p = softmax(as_doubles("logits"))

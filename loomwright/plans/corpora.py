@@ -117,6 +117,20 @@ def pack_blocks(spark, sf):
     )
 
 
+@query(
+    "pack_slices",
+    f"""WITH {inputs.TOKENS_WITH}, g AS (
+        SELECT slice, id, row_number() OVER (PARTITION BY slice ORDER BY t.corpus_ord, t.idx, pos) - 1 AS place
+        FROM t JOIN {_SLICES_SQL} s ON s.corpus = t.corpus AND s.idx = t.idx)
+    SELECT slice, place // {BLOCK} AS block_id, string_agg(id, ',' ORDER BY place) AS input_ids
+    FROM g GROUP BY slice, place // {BLOCK} HAVING count(*) = {BLOCK}""",
+)
+def pack_slices(spark, sf):
+    """Every slice of the corpora as a stream of its own, cut into blocks."""
+    blocks = corpus.pack_blocks(corpus.corpus_slices(_tokens(spark, sf)), BLOCK, ["slice"])
+    return blocks.select("slice", "block_id", joined("input_ids").alias("input_ids"))
+
+
 @query("write_blocks", _BLOCKS_SQL)
 def write_blocks(spark, sf):
     path = scratch_path(spark, "blocks")

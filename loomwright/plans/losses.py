@@ -148,6 +148,38 @@ def kd_total_loss(spark, sf):
     return _rounded(distill.kd_total_loss(clm, kd, BETA, "revkl"), "total_loss")
 
 
+# every batch is one training step; alpha falls exponentially, beta rises as a cosine
+_SCHEDULED = f"""(SELECT *, zs - ln(sum(exp(zs)) OVER w) AS ls, zt - ln(sum(exp(zt)) OVER w) AS lt, zm - ln(sum(exp(zm)) OVER w) AS lm
+    FROM (SELECT z.*, alpha, beta, s / {T} AS zs, t / {T} AS zt, ((1 - alpha) * s + alpha * t) / {T} AS zm FROM {_Z} z
+        JOIN plan USING (batch_id)) WINDOW w AS (PARTITION BY vec_id))"""
+
+
+@query(
+    "kd_scheduled",
+    f"""WITH plan AS MATERIALIZED (SELECT batch_id, 0.2 * exp(ln(0.01) * batch_id / n) AS alpha,
+            0.3 - 0.15 * (1 + cos(3 * pi() * batch_id / n)) AS beta
+        FROM (SELECT batch_id, CAST(count(*) OVER () AS DOUBLE) AS n FROM (SELECT DISTINCT vec_id // 8 AS batch_id FROM embeddings))),
+    kd AS (SELECT batch_id, avg(exp(ls) / exp(lm)) * sum(exp(lt) * (lt - lm)) / count(DISTINCT example_id) * {T * T} AS kd_loss
+        FROM {_SCHEDULED} GROUP BY batch_id),
+    clm AS (SELECT batch_id, avg(nll) AS clm_loss FROM {_CLM_SQL} GROUP BY batch_id)
+    SELECT batch_id, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(kd_loss, 6) AS kd_loss,
+        round(CASE WHEN beta = 1 THEN clm_loss ELSE beta * clm_loss + (1 - beta) * kd_loss END, 6) AS total_loss
+    FROM clm JOIN plan USING (batch_id) LEFT JOIN kd USING (batch_id)""",
+)
+def kd_scheduled(spark, sf):
+    """Total losses in which every batch has the weights of its own step."""
+    student = inputs.student_logits(spark, sf)
+    steps = student.select("batch_id").distinct()
+    total = F.lit(float(steps.count()))
+    schedule = steps.select(
+        "batch_id",
+        step_weight("batch_id", total, "exponential", 0.2).alias("alpha"),
+        step_weight("batch_id", total, "cos", 0.3, 3, "inverse").alias("beta"),
+    )
+    made = distill.kd_scheduled(pairs(spark, sf), distill.clm_loss(student), schedule, "fkl", T, weighted=True)
+    return _rounded(made, "alpha", "beta", "kd_loss", "total_loss")
+
+
 @query(
     "shift_labels",
     """SELECT batch_id, example_id, CAST(pos AS INT) AS pos, label, next_label FROM (

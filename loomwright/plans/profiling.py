@@ -137,10 +137,17 @@ def quote_identifier_query(spark, sf):
     return found.select("db_id", "table_name", "column_name", "value", quote_identifier("value").alias("quoted"))
 
 
-@query("text_decode", "SELECT doc_id, text FROM documents")
+@query(
+    "text_decode",
+    """SELECT doc_id, text, md5(chr(233) || array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'),
+        lambda x: chr(CAST('0x' || x AS INTEGER))), '')) AS stray_md5 FROM documents""",
+)
 def text_decode(spark, sf):
+    """The texts from their bytes, and from bytes that a stray E9 in front makes invalid as UTF-8, so that each is a Latin-1 letter."""
     docs = scan_table(spark, sf, "documents")
-    return docs.select("doc_id", decode_text(F.encode("text", "UTF-8")).alias("text"))
+    raw = F.encode("text", "UTF-8")
+    stray = decode_text(F.concat(F.unhex(F.lit("E9")), raw))
+    return docs.select("doc_id", decode_text(raw).alias("text"), F.md5(stray.cast("binary")).alias("stray_md5"))
 
 
 @query(

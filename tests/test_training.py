@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.functions.arrays import position_ids
 from loomwright.functions.schedule import step_weight
 from loomwright.operators import corpus, distill, evaluate, features, monitor
 
@@ -220,3 +221,44 @@ def test_sweep(spark):
     board = evaluate.sweep_leaderboard(grid, spark.createDataFrame([(0.1, 1, 0.5), (0.1, 1, 0.7)], "alpha double, ckpt int, value double"))
     assert {(r.alpha, r.score and round(r.score, 6), r.n_results) for r in board.collect()} == {(0.1, 0.6, 2), (0.2, None, 0)}
     assert evaluate.best_run(board).collect()[0].alpha == 0.1
+
+
+def test_scheduled_losses_are_those_of_each_step(spark):
+    draw = random.Random(4)
+    rows = [(b, b * 2 + e, p, [draw.gauss(0, 1) for _ in range(5)], [draw.gauss(0, 1) for _ in range(5)])
+            for b in range(4) for e in range(2) for p in range(3)]
+    pairs = spark.createDataFrame(rows, "batch_id long, example_id long, pos int, student array<double>, teacher array<double>")
+    clm = spark.createDataFrame([(b, 1.0 + b) for b in range(4)], "batch_id long, clm_loss double")
+    steps = [(0, 0.0, 1.0), (1, 0.2, 0.5), (2, 0.9, 0.0)]  # batch 3 has no step
+    schedule = spark.createDataFrame(steps, "batch_id long, alpha double, beta double")
+    for kind in ("fkl", "mixkl"):
+        got = {r.batch_id: r for r in distill.kd_scheduled(pairs, clm, schedule, kind, 2.0, weighted=True).collect()}
+        assert sorted(got) == [0, 1, 2]
+        for b, alpha, beta in steps:
+            one = distill.kd_losses(pairs.where(F.col("batch_id") == b), (kind,), alpha, 2.0, weighted=True).first()[kind]
+            assert math.isclose(got[b].kd_loss, one, rel_tol=1e-12) and got[b].alpha == alpha
+            assert math.isclose(got[b].total_loss, beta * (1.0 + b) + (1 - beta) * one, rel_tol=1e-12)
+    assert distill.kd_scheduled(pairs, clm, schedule.limit(0)).collect() == []
+
+
+def test_running_sums_and_position_ids(spark):
+    for n in (0, 1, 2, 3, 7, 64, 65, 100_000):
+        mask = [int(i % 5 > 0) for i in range(n)]
+        df = spark.createDataFrame([(mask,)], "m array<int>")
+        want, seen = [], 0
+        for m in mask:
+            seen += m
+            want.append(seen - 1 if m else 1)
+        assert df.select(position_ids(F.col("m"))).first()[0] == want
+
+
+def test_every_slice_is_packed_on_its_own(spark):
+    rows = [(0, "a", i, [10 * i + k for k in range(i % 4)], i % 4) for i in range(12)]
+    tokens = spark.createDataFrame(rows, "corpus_ord int, corpus string, idx long, input_ids array<int>, length long")
+    cuts = spark.createDataFrame([(0, 12), (1, 7), (2, 0)], "slice int, cut long")
+    sliced = tokens.join(cuts, F.col("idx") < F.col("cut")).drop("cut")
+    got = {(r.slice, r.block_id): r.input_ids for r in corpus.pack_blocks(sliced, 4, ["slice"]).collect()}
+    for s, cut in ((0, 12), (1, 7), (2, 0)):
+        stream = [x for r in rows[:cut] for x in r[3]]
+        blocks = {(s, k): stream[4 * k : 4 * k + 4] for k in range(len(stream) // 4)}
+        assert {k: v for k, v in got.items() if k[0] == s} == blocks
