@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions.arrays import running_sums
 from loomwright.llm.common import text_or_empty
 
 # Patterns of the contract, fixed values: kind, pattern, group whose length counts, least length.
@@ -53,18 +54,6 @@ def _struct(start: Column, order: Column, end: Column) -> Column:
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
-def running_sums(numbers: Column) -> Column:
-    """Sums of an int array up to and with each place, by doubling: after the step for k every place holds the sum of the last 2k
-    numbers. n * log2(n) additions, where a fold that appends would copy its array at every place."""
-    steps = F.filter(F.lit([1 << k for k in range(31)]), lambda k: k < F.size(numbers))
-
-    def double(sums: Column, k: Column) -> Column:
-        earlier = F.concat(F.array_repeat(F.lit(0), k), F.slice(sums, F.lit(1), F.size(sums) - k))
-        return F.zip_with(sums, earlier, lambda x, y: x + y)
-
-    return F.aggregate(steps, numbers, double)
-
-
 def matches(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, hit>>`` of the leftmost non-overlapping matches. What lies between them comes from a split
     at the same pattern; ends are running sums of the lengths."""
