@@ -1,6 +1,7 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -130,3 +131,19 @@ def test_linked_groups(spark):
     want = {i: 0 for i in range(1, 51)} | {100 + i: 100 for i in range(1, 30)} | {201: 200}
     assert {k: v for k, v in got.items() if k != v} == want
     assert linked_groups(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_linked_groups_of_random_links(spark):
+    draw = random.Random(3)
+    links = [(draw.randrange(400), draw.randrange(400)) for _ in range(300)]
+    links += [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2000 + i // 2) for i in range(1, 100)]
+    smallest = {n: n for pair in links for n in pair}
+    for _ in smallest:
+        before = dict(smallest)
+        for a, b in links:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+        if smallest == before:
+            break
+    got = linked_groups(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len({g["node"] for g in got})
+    assert {g["node"]: g["group"] for g in got} == {n: least for n, least in smallest.items() if n != least}
