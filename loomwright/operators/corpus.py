@@ -222,6 +222,61 @@ def shuffled_batches(
     return batches.join(F.broadcast(full), "epoch").where("batch_id < _full").drop("_full")  # one row per epoch
 
 
+# Fixed values of the round function: two multipliers, and two primes below 2^31 so that no product passes 63 bits.
+ROUNDS = 6
+MULTIPLIERS = (1_103_515_245, 1_597_334_677)
+PRIMES = (2_147_483_647, 2_147_483_629)
+
+
+def permuted_place(i: Column, n: int, epoch: Column, seed: int = 0) -> Column:
+    """The place of row ``i`` (from 0) among ``n`` rows in the order of an epoch: a keyed permutation, computed from ``i`` alone.
+
+    A Feistel network over a grid of ``a * b >= n`` cells, a and b near the square root of n: in turn, the one coordinate is moved by
+    a keyed hash of the other. At most a - 1 cells lie beyond n; who lands there walks on until below n, which takes at most
+    as many turns as there are such cells, so the fold below never ends too early. Needs n below 2^60.
+    """
+    a = math.isqrt(max(n, 1) - 1) + 1
+    b = -(-max(n, 1) // a)
+    base = F.lit(seed % PRIMES[0]).cast("bigint") * 7919 + epoch.cast("bigint") * 104_729 + 12_345
+    rounds = F.array(*[
+        F.struct((((base + r * 1_299_709) % PRIMES[0]) * MULTIPLIERS[1] % PRIMES[1]).alias("key"), F.lit(b if r % 2 else a).cast("bigint").alias("size")) for r in range(ROUNDS)
+    ])
+
+    def turn(cell: Column, rnd: Column) -> Column:
+        # the third power, because a straight line leaves orders of small tables that go with the index
+        line = (cell["y"] * MULTIPLIERS[0] + rnd["key"]) % PRIMES[0]
+        cube = ((line * line) % PRIMES[0] * line + rnd["key"]) % PRIMES[0]
+        hashed = F.shiftright((cube * MULTIPLIERS[1]) % PRIMES[1], 10)
+        return F.struct(cell["y"].alias("x"), ((cell["x"] + hashed) % rnd["size"]).alias("y"))
+
+    def once(at: Column) -> Column:
+        start = F.struct((at % a).alias("x"), F.call_function("div", at, F.lit(a).cast("bigint")).alias("y"))
+        return F.aggregate(rounds, start, turn, lambda cell: cell["y"] * a + cell["x"])
+
+    first = once(i.cast("bigint"))
+    walk = F.sequence(F.lit(1), F.lit(max(a * b - n, 1)))
+    # a lambda's variable is computed once, where the column would be computed for each use
+    return F.transform(
+        F.array(first), lambda p: F.when(p < n, p).otherwise(F.aggregate(walk, p, lambda q, _: F.when(q < n, q).otherwise(once(q))))
+    )[0]
+
+
+def permuted_batches(
+    indexed: DataFrame, n_rows: int, key: str, epochs: int, batch_size: int, seed: int = 0, done: int = 0, drop_last: bool = True
+) -> DataFrame:
+    """``(epoch, batch_id, pos, key)`` as :func:`shuffled_batches`, from the rows' index ``idx`` (0 to ``n_rows`` - 1) by arithmetic.
+
+    No epoch is sorted or shuffled, and to resume after ``done`` batches is a filter on the computed place. An empty table gives no rows.
+    """
+    per_epoch = n_rows // batch_size if drop_last else -(-n_rows // batch_size)
+    planned = indexed.select(key, "idx", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    placed = planned.withColumn("_at", permuted_place(F.col("idx"), n_rows, F.col("epoch"), seed))
+    batches = placed.select(
+        "epoch", F.expr(f"_at div {batch_size}").alias("batch_id"), (F.col("_at") % batch_size).alias("pos"), key
+    )
+    return batches.where((F.col("batch_id") < per_epoch) & (F.col("epoch") * F.lit(per_epoch).cast("bigint") + F.col("batch_id") >= done))
+
+
 def training_plan(n_rows: int, batch_size: int, epochs: float, warmup_ratio: float) -> dict[str, int]:
     """Steps of a run over ``n_rows`` examples, and its warm-up steps."""
     total = math.ceil(epochs * math.ceil(n_rows / batch_size))

@@ -27,10 +27,19 @@ POSITION = ["batch_id", "example_id", "pos"]
 KINDS = ("fkl", "revkl", "ce", "mse", "pmse", "js", "mixkl")
 
 
+def write_bucketed(logits: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Save ``logits`` as ``table`` (its files under ``path``), in ``buckets`` buckets by position, one file each.
+
+    Two tables written with the same number of buckets join by position without an exchange. Choose it so that a bucket fits a task.
+    """
+    dealt = logits.repartition(buckets, *POSITION)
+    dealt.write.bucketBy(buckets, *POSITION).sortBy(*POSITION).option("path", path).format("parquet").saveAsTable(table)
+
+
 def student_teacher_join(student: DataFrame, teacher: DataFrame) -> DataFrame:
     """Both models' logits per position. Fails when the vocabularies differ or a position has the logits of one model only.
 
-    At scale keep both tables bucketed by ``batch_id, example_id``: the join then needs no shuffle.
+    At scale keep both tables as :func:`write_bucketed` writes them: the join then needs no shuffle.
     """
     t = teacher.select(*POSITION, F.col("logits").alias("teacher"))
     joined = student.withColumnRenamed("logits", "student").join(t, POSITION, "full")

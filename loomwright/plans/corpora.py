@@ -340,3 +340,39 @@ def resume_filter(spark, sf):
     batches = corpus.shuffled_batches(docs, "doc_id", EPOCHS, BATCH, seed=5)
     per_epoch = docs.count() // BATCH
     return monitor.resume_filter(batches, per_epoch * 3 // 4, _ACCUMULATION, per_epoch)
+
+
+def _permuted_sql(seed: int, resumed: str = "") -> str:
+    """One row per round: x and y of a cell change places, the new y is moved by the hash of the old one."""
+    (m1, m2), (p1, p2), rounds = corpus.MULTIPLIERS, corpus.PRIMES, corpus.ROUNDS
+    key = f"((({seed} * 7919 + epoch * 104729 + 12345 + (r % {rounds}) * 1299709) % {p1}) * {m2} % {p2})"
+    line = f"((y * {m1} + {key}) % {p1})"
+    moved = f"((({line} * {line}) % {p1} * {line} + {key}) % {p1} * {m2} % {p2}) // 1024"
+    return f"""WITH RECURSIVE s AS MATERIALIZED (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b, n // {BATCH} AS per_epoch FROM (
+            SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents)),
+        d AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+        c(epoch, i, r, x, y) AS (
+            SELECT CAST(epoch AS BIGINT), i, CAST(0 AS BIGINT), i % a, i // a FROM d, s, (SELECT unnest(range({EPOCHS})) AS epoch)
+            UNION ALL SELECT epoch, i, r + 1, y, (x + {moved}) % (CASE WHEN r % 2 = 0 THEN a ELSE b END)
+            FROM c, s WHERE r = 0 OR r % {rounds} <> 0 OR y * a + x >= n)
+        SELECT CAST(epoch AS INT) AS epoch, place // {BATCH} AS batch_id, place % {BATCH} AS pos, doc_id
+        FROM (SELECT epoch, i, y * a + x AS place FROM c, s WHERE r > 0 AND r % {rounds} = 0 AND y * a + x < n) JOIN d USING (i), s
+        WHERE place // {BATCH} < per_epoch {resumed}"""
+
+
+def _permuted(spark, sf, done=lambda per_epoch: 0):
+    indexed = cut_lineage(corpus.row_index(scan_table(spark, sf, "documents").select("doc_id"), ["doc_id"]))
+    n = indexed.count()
+    return corpus.permuted_batches(indexed, n, "doc_id", EPOCHS, BATCH, seed=5, done=done(n // BATCH))
+
+
+@query("permuted_batches", _permuted_sql(5))
+def permuted_batches(spark, sf):
+    """The batches of all epochs by a keyed permutation of the row index."""
+    return _permuted(spark, sf)
+
+
+@query("permuted_resume", _permuted_sql(5, f"AND epoch * per_epoch + place // {BATCH} >= per_epoch * 3 // 4 * {_ACCUMULATION}"))
+def permuted_resume(spark, sf):
+    """What is left of them after one and a half epochs."""
+    return _permuted(spark, sf, lambda per_epoch: per_epoch * 3 // 4 * _ACCUMULATION)

@@ -10,7 +10,8 @@ from loomwright.functions.schedule import step_weight
 from loomwright.operators import distill, features
 from loomwright.plans import inputs
 from loomwright.plans.corpora import BOS, MAX_TOKENS, PAD, _example_with, _examples, _TRAIN_COLUMNS, joined
-from loomwright.plans.registry import query
+from loomwright.plans.profiling import scratch_path
+from loomwright.plans.registry import ORACLES, query
 from loomwright.operators.corpus import EOS
 from loomwright.sources.tables import scan_table
 
@@ -50,6 +51,30 @@ def student_teacher_join(spark, sf):
     )
 
 
+LOGIT_BUCKETS = 16
+
+
+def bucketed_logits(spark, sf):
+    """Student's and teacher's logits, written in buckets by position and read again."""
+    found = []
+    for name, logits in (("student", inputs.student_logits(spark, sf)), ("teacher", inputs.teacher_logits(spark, sf).drop("label"))):
+        path = scratch_path(spark, name)
+        table = "logits_" + path.split("/")[-2].replace("-", "_") + "_" + name
+        distill.write_bucketed(logits, table, path, LOGIT_BUCKETS)
+        found.append(spark.table(table))
+    return found
+
+
+@query("bucketed_logits_join", ORACLES["student_teacher_join"])
+def bucketed_logits_join(spark, sf):
+    dot = F.aggregate(
+        F.zip_with(as_doubles("student"), as_doubles("teacher"), lambda s, t: s * t), F.lit(0.0), lambda a, x: a + x
+    )
+    return distill.student_teacher_join(*bucketed_logits(spark, sf)).select(
+        "batch_id", "example_id", "pos", F.round(dot, 6).alias("dot"), F.size("student").cast("bigint").alias("n")
+    )
+
+
 def _elements(df, column):
     return df.select("batch_id", "example_id", "pos", F.posexplode(column).alias("i", "x")).withColumn("x", F.round("x", 6))
 
