@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "corpora", "losses", "monitoring", "evaluation", "linking")
+MODULES = ("profiling", "corpora", "losses", "monitoring", "evaluation", "linking", "examples")
 
 
 def load() -> None:

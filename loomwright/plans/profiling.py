@@ -239,15 +239,21 @@ _CONTENT_TEXT_SQL = f"""(SELECT db_id, 'matched contents :' || chr(10) || string
     GROUP BY db_id)"""
 
 
-def _content_texts(spark, sf):
+ENTRIES = "array<struct<key:string,values:array<string>>>"
+
+
+def _content_entries(spark, sf):
     """The sample values of a database in the form of matched contents."""
     samples = inputs.samples(spark, sf)
     per_column = samples.groupBy(*profile.COLUMN_KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda v: v["value"]).alias("values")
     )
     entry = F.struct(F.concat_ws(".", "table_name", "column_name").alias("key"), "values")
-    entries = per_column.groupBy("db_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    return entries.select("db_id", content_sequence(F.col("entries")).alias("content_text"))
+    return per_column.groupBy("db_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def _content_texts(spark, sf):
+    return _content_entries(spark, sf).select("db_id", content_sequence(F.col("entries")).alias("content_text"))
 
 
 @query("content_sequence", f"SELECT * FROM {_CONTENT_TEXT_SQL}")
