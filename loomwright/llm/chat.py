@@ -4,8 +4,8 @@ A pair has two conversations, ``chosen`` and ``rejected``. Their longest common
 the turns after it are the two completions. Only what an assistant says in a completion is trained on.
 
 The result stays in long form, one row per pair, part and turn, so that a conversation of any length is never gathered: ``part``
-(``prompt``, ``chosen``, ``rejected``), ``place`` (from 0 in the whole conversation), ``rendered`` and ``mask`` (1: trained on). The
-parts of a pair joined in the order of ``place`` give its text.
+(``prompt``, ``chosen``, ``rejected``), ``turn`` and ``nth`` (tells rows of one turn number apart), ``rendered`` and ``mask`` (1: trained
+on). The rows of a part joined in the order of ``turn`` and ``nth`` give its text.
 
 Defined cases: a null role reads ``user``, a null text is empty; rows without conversation or turn number stand last as one group
 (null equals null); rows of one turn number stand by role and text, and all of them are kept; a pair that differs in its first turn has no prompt, equal
