@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,45 +65,107 @@ def vocabulary(df: DataFrame, text: str = "sequence", size: int = VOCABULARY_SIZ
     return kept.select("word", (rank + (FIRST_WORD_ID - 1)).cast("int").alias("token_id"))
 
 
-def byte_ids(word: Column) -> Column:
-    """The ids of the word's bytes in UTF-8."""
-    spelled = F.hex(word)
-    starts = F.sequence(F.lit(1), F.length(spelled), F.lit(2))
-    return F.transform(starts, lambda i: (F.conv(F.substring(spelled, i, F.lit(2)), 16, 10).cast("int") + FIRST_BYTE_ID))
+def _known(vocab: DataFrame):
+    """The vocabulary as a broadcast of ``(words, token ids)``. It is bounded (see :func:`vocabulary`), as for a broadcast join."""
+    table = vocab.select("word", F.col("token_id").cast("int")).toArrow().combine_chunks()
+    return vocab.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), table.column(1).to_numpy()))
+
+
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    """Where each part begins, and at last where the last one ends."""
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def ids_of_words(texts: pa.Array, words: pa.Array, token_ids: np.ndarray) -> pa.Array:
+    """The ids of each row and the end mark; a row is a list of texts, each the list of its words.
+
+    A row nearly always is one text. Of several, the words stand by their place, those of one place by their ids.
+    """
+    parts = texts.flatten()
+    flat = parts.flatten()
+    at = pc.index_in(flat, value_set=words.cast(flat.type))
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    spelled = flat.filter(pa.array(~known)).cast(pa.binary())
+    sizes = np.ones(len(flat), dtype=np.int64)
+    sizes[~known] = pc.binary_length(spelled).to_numpy(zero_copy_only=False)
+    ids = np.empty(sizes.sum(), dtype=np.int32)
+    of_known = np.repeat(known, sizes)
+    ids[of_known] = token_ids[at.drop_null().to_numpy(zero_copy_only=False)]
+    ids[~of_known] = np.frombuffer(b"".join(spelled.to_pylist()), dtype=np.uint8).astype(np.int32) + FIRST_BYTE_ID
+    of_word, of_part = _bounds(sizes), _bounds(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    counts = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+    of_text = _bounds(counts)
+    for row in np.flatnonzero(counts > 1).tolist():
+        placed = []
+        for part in range(of_text[row], of_text[row + 1]):
+            first, end = of_part[part], of_part[part + 1]
+            placed += [(i - first, ids[of_word[i] : of_word[i + 1]].tolist()) for i in range(first, end)]
+        start, end = of_word[of_part[of_text[[row, row + 1]]]]
+        ids[start:end] = [i for _, word in sorted(placed) for i in word]
+    ends = of_word[of_part[of_text]]
+    whole = np.insert(ids, ends[1:], EOS)
+    return pa.ListArray.from_arrays(pa.array(ends + np.arange(len(ends)), pa.int32()), pa.array(whole, pa.int32()))
 
 
 def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "sequence") -> DataFrame:
     """``input_ids`` (ids of words or, where the vocabulary lacks a word, of its bytes, and the end mark) and ``length`` per row; other
     columns are dropped. ``detokenize`` gives the text again.
 
-    Rows are first partitioned by their key, so that taking the words apart, looking them up in the broadcast vocabulary and
-    putting them together again happens inside one task, without moving single tokens.
+    Rows are first partitioned by their key, as plain text, which is smaller than its tokens. Its words are looked up inside the row: no
+    row per token is made, sorted or moved. Rows with the same key become one.
     """
-    tokens = (
-        df.select(*keys, text)
-        .repartition(*keys)
-        .select(*keys, F.posexplode_outer(words(text)).alias("_pos", "word"))
-        .join(F.broadcast(vocab), "word", "left")
-    )
-    ids = F.when(F.col("token_id").isNotNull(), F.array("token_id")).otherwise(byte_ids(F.col("word")))
-    one = F.when(F.col("word").isNotNull(), F.struct("_pos", ids.alias("ids")))
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda t: t["ids"]))
-    return (
-        tokens.groupBy(*keys)
-        .agg(F.concat(ids, F.array(F.lit(EOS))).alias("input_ids"))
-        .withColumn("length", F.size("input_ids").cast("bigint"))
-    )
+    shared = _known(vocab)
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield ids_of_words(batch, *shared.value)
+
+    texts = df.select(*keys, text).repartition(*keys).groupBy(*keys).agg(F.collect_list(text).alias("_texts"))
+    tokens = texts.select(*keys, ids(F.transform("_texts", words)).alias("input_ids"))
+    return tokens.withColumn("length", F.size("input_ids").cast("bigint"))
+
+
+def bytes_of_ids(sequences: pa.Array, words: pa.Array, token_ids: np.ndarray) -> pa.Array:
+    """The bytes of each row, a list of id lists (nearly always one, see :func:`ids_of_words`)."""
+    own = np.arange(FIRST_BYTE_ID, FIRST_WORD_ID)
+    own = own[~np.isin(own, token_ids)]
+    order = np.argsort(token_ids, kind="stable")
+    spelled = pa.array([bytes([i - FIRST_BYTE_ID]) for i in own.tolist()], pa.binary())
+    # marks and unknown ids are the empty text at the end
+    pieces = pa.concat_arrays([words.cast(pa.binary()).take(pa.array(order)), spelled, pa.array([b""], pa.binary())])
+    known = np.concatenate([token_ids[order], own])
+    by_id = np.argsort(known, kind="stable")
+    parts = sequences.flatten()
+    flat = pc.fill_null(parts.flatten(), EOS).to_numpy(zero_copy_only=False)
+    place = np.searchsorted(known[by_id], flat)
+    at = np.append(by_id, len(known))[place]
+    at[np.append(known, -1)[at] != flat] = len(known)
+    of_part, counts = _bounds(pc.list_value_length(parts).to_numpy(zero_copy_only=False)), pc.list_value_length(sequences).to_numpy(zero_copy_only=False)
+    of_row = _bounds(counts)
+    taken = pieces.take(pa.array(at))
+    for row in np.flatnonzero(counts > 1).tolist():
+        ranges = [np.arange(of_part[p], of_part[p + 1]) for p in range(of_row[row], of_row[row + 1])]
+        placed = sorted((i - r[0], taken[i].as_py(), at[i]) for r in ranges for i in r.tolist())
+        at[of_part[of_row[row]] : of_part[of_row[row + 1]]] = [p[2] for p in placed]
+    if (counts > 1).any():
+        taken = pieces.take(pa.array(at))
+    ends = _bounds(pc.binary_length(taken).to_numpy(zero_copy_only=False))[of_part[of_row]]
+    data = taken.buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.array(ends, pa.int32()).buffers()[1], data])
 
 
 def detokenize(tokens: DataFrame, vocab: DataFrame, keys: Sequence[str], out: str = "sequence") -> DataFrame:
-    """``keys`` and the text of ``input_ids``; marks add nothing."""
-    spelled = F.when(F.col("word").isNotNull(), F.hex("word")).when(
-        F.col("token_id").between(FIRST_BYTE_ID, FIRST_WORD_ID - 1), F.lpad(F.hex(F.col("token_id") - FIRST_BYTE_ID), 2, "0")
-    )
-    parts = tokens.select(*keys, F.posexplode_outer("input_ids").alias("_pos", "token_id"))
-    parts = parts.join(F.broadcast(vocab), "token_id", "left").withColumn("_part", F.struct("_pos", F.coalesce(spelled, F.lit("")).alias("hex")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda t: t["hex"]), "")
-    return parts.groupBy(*keys).agg(F.decode(F.unhex(whole), "UTF-8").alias(out))
+    """``keys`` and the text of ``input_ids``; marks add nothing. Ids are looked up inside the row."""
+    shared = _known(vocab)
+
+    @F.arrow_udf("binary")
+    def spelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield bytes_of_ids(batch, *shared.value)
+
+    whole = tokens.groupBy(*keys).agg(F.collect_list("input_ids").alias("_ids"))
+    return whole.select(*keys, F.decode(spelled("_ids"), "UTF-8").alias(out))
 
 
 def tokenize_with(df: DataFrame, encode, keys: Sequence[str], eos: int, text: str = "sequence") -> DataFrame:
@@ -169,7 +234,31 @@ def pack_blocks(tokens: DataFrame, block_size: int, streams: Sequence[str] = ())
     """
     keys = [*streams, *KEY]
     offsets = prefix_offset(tokens, streams).select(*keys, "offset")
-    placed = tokens.select(*keys, "input_ids", "length").join(offsets, keys).where("length > 0")
+    pieces = _pieces(tokens.select(*keys, "input_ids", "length").join(offsets, keys), block_size, streams)
+    packed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]))
+    return _blocks(pieces.groupBy(*streams, "block_id").agg(packed.alias("input_ids")), block_size, streams)
+
+
+def pack_slices(tokens: DataFrame, block_size: int, divisors: Sequence[int] = SLICE_DIVISORS) -> DataFrame:
+    """``pack_blocks(corpus_slices(tokens), block_size, ["slice"])``, with each sequence's places in all slices in one list, so that its
+    ids meet them once and not once per slice. ``tokens`` as for :func:`corpus_slices`.
+
+    Slices are prefixes, so a sequence often has one place in several of them: its pieces move once and name their slices.
+    """
+    narrow = corpus_slices(tokens.select(*KEY, "length"), divisors)
+    places = prefix_offset(narrow, ["slice"]).groupBy(*KEY, "offset").agg(F.collect_list("slice").alias("_slices"))
+    places = places.groupBy(*KEY).agg(F.collect_list(F.struct("offset", "_slices")).alias("_places"))
+    placed = tokens.select(*KEY, "input_ids", "length").join(places, KEY).select("input_ids", "length", F.inline("_places"))
+    pieces = _pieces(placed, block_size, ["_slices"])
+    blocks = pieces.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids", "_slices"))).alias("_pieces"))
+    of_block = F.array_distinct(F.flatten(F.transform("_pieces", lambda p: p["_slices"])))
+    of_slice = F.filter("_pieces", lambda p: F.array_contains(p["_slices"], F.col("slice")))
+    blocks = blocks.select("block_id", "_pieces", F.explode(of_block).alias("slice"))
+    return _blocks(blocks.withColumn("input_ids", F.flatten(F.transform(of_slice, lambda p: p["ids"]))), block_size, ["slice"])
+
+
+def _pieces(placed: DataFrame, block_size: int, streams: Sequence[str]) -> DataFrame:
+    """``streams``, ``block_id``, ``at`` and ``ids`` of the parts of sequences that know their ``offset``."""
     first = F.expr(f"offset div {block_size}")
     last = F.expr(f"(offset + length - 1) div {block_size}")
     within = (F.col("offset") % block_size).cast("int")
@@ -181,10 +270,12 @@ def pack_blocks(tokens: DataFrame, block_size: int, streams: Sequence[str] = ())
         ids = F.slice("input_ids", start, F.least(stop, F.size("input_ids")) - start + 1)
         return F.struct(block.alias("block_id"), F.when(block == first, within).otherwise(0).alias("at"), ids.alias("ids"))
 
-    pieces = placed.select(*streams, F.inline(F.transform(F.sequence(first, last), piece)))
-    packed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda p: p["ids"]))
-    blocks = pieces.groupBy(*streams, "block_id").agg(packed.alias("input_ids")).where(F.size("input_ids") == block_size)
-    return blocks.select(
+    return placed.where("length > 0").select(*streams, F.inline(F.transform(F.sequence(first, last), piece)))
+
+
+def _blocks(blocks: DataFrame, block_size: int, streams: Sequence[str]) -> DataFrame:
+    """The complete blocks, with mask and labels."""
+    return blocks.where(F.size("input_ids") == block_size).select(
         *streams,
         "block_id",
         "input_ids",

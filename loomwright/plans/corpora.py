@@ -127,7 +127,7 @@ def pack_blocks(spark, sf):
 )
 def pack_slices(spark, sf):
     """Every slice of the corpora as a stream of its own, cut into blocks."""
-    blocks = corpus.pack_blocks(corpus.corpus_slices(_tokens(spark, sf)), BLOCK, ["slice"])
+    blocks = corpus.pack_slices(_tokens(spark, sf), BLOCK)
     return blocks.select("slice", "block_id", joined("input_ids").alias("input_ids"))
 
 
