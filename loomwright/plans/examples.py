@@ -53,9 +53,10 @@ def written_examples(spark, sf):
         F.transform("schema_items", lambda t: (t["table_name"] == profiling.GOLD_TABLE).cast("int")).alias("table_labels"),
         F.transform("schema_items", labels).alias("column_labels"),
     )
-    asked = inputs.questions(spark, sf).withColumnRenamed("question", "text").withColumn("sql", F.expr(_GOLD_SQL))
+    asked = inputs.dealt_questions(spark, sf).withColumnRenamed("question", "text").withColumn("sql", F.expr(_GOLD_SQL))
     path = profiling.scratch_path(spark, "examples")
-    asked.join(schemas, "db_id").drop("db_id").write.json(path)
+    # one row per database; sorted by db_id, all records about one database would meet in one task
+    asked.join(F.broadcast(schemas), "db_id").drop("db_id").write.json(path)
     return path
 
 
