@@ -15,8 +15,9 @@ null are not learned from; repeated rows count as often as they are there; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +56,44 @@ def key_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
 
 
-class Table:
-    """Log frequencies of texts per language: sorted hashes, and a matrix with a row for each."""
+class Table(Mapping):
+    """Log frequencies of texts per language: sorted hashes, and a matrix with a row for each.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        """``counts`` are those of each text in each language. Smoothed by ``SMOOTHING`` more occurrences of every text."""
+    It is a mapping from texts too; the texts themselves are asked for when it is walked through, and stay on the driver.
+    """
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, texts: Callable[[], list[str]] | None = None):
         order = np.argsort(keys, kind="stable")
+        self.keys, self.logs, self.texts = keys[order], logs[order], texts
+
+    @classmethod
+    def counted(cls, keys: np.ndarray, counts: np.ndarray, texts: Callable[[], list[str]] | None = None) -> Table:
+        """``counts`` are those of each text in each language. Smoothed by ``SMOOTHING`` more occurrences of every text."""
         sums = np.maximum(counts.sum(axis=0), 1)
-        self.keys = keys[order]
-        self.logs = (np.log(counts[order] + SMOOTHING) - np.log(sums + SMOOTHING * len(keys))).astype(np.float32)
+        logs = (np.log(counts + SMOOTHING) - np.log(sums + SMOOTHING * len(keys))).astype(np.float32)
+        return cls(keys, logs, texts)
+
+    @classmethod
+    def of(cls, logs: Mapping[str, np.ndarray], languages: int) -> Table:
+        if isinstance(logs, Table):
+            return logs
+        keys = np.array([key_of(t) for t in logs], dtype=np.uint64)
+        return cls(keys, np.array([*logs.values()], dtype=np.float32).reshape(len(keys), languages), partial(list, logs))
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "logs": self.logs, "texts": None}
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.texts())
+
+    def __getitem__(self, text: str) -> np.ndarray:
+        at, known = self.rows(np.array([key_of(text)], dtype=np.uint64))
+        if not known[0]:
+            raise KeyError(text)
+        return self.logs[at[0]]
 
     def rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of these keys, and whether they are known."""
@@ -75,27 +105,35 @@ class Table:
 
 @dataclass
 class Model:
-    """Log frequencies per language of words (under 0) and of n-grams by length, and the log shares of the languages."""
+    """Log frequencies per language of words and of n-grams by length, and the log shares of the languages."""
 
     languages: list[str]
-    tables: dict[int, Table]
+    words: Mapping[str, np.ndarray]
+    grams: dict[int, Mapping[str, np.ndarray]]
     prior: np.ndarray
     _rows: dict[str, int] = field(default_factory=dict)
     _scores: np.ndarray | None = None
 
+    def __post_init__(self) -> None:
+        self.words = Table.of(self.words, len(self.languages))
+        self.grams = {n: Table.of(self.grams.get(n, {}), len(self.languages)) for n in range(1, LONGEST_GRAM + 1)}
+
+    def of_word(self, word: str) -> np.ndarray:
+        return self.of_words([word])[0]
+
     def of_words(self, words: list[str]) -> np.ndarray:
         """The score of each word in each language."""
         out = np.zeros((len(words), len(self.languages)))
         keys = np.fromiter(map(key_of, words), dtype=np.uint64, count=len(words))
-        at, known = self.tables[0].rows(keys)
-        out[known] = self.tables[0].logs[at[known]]
+        at, known = self.words.rows(keys)
+        out[known] = self.words.logs[at[known]]
         left = np.flatnonzero(~known)
         for n in range(LONGEST_GRAM, 0, -1):
             grams = [gram_texts(words[i], n) for i in left.tolist()]
             owner = np.repeat(np.arange(len(left)), np.fromiter(map(len, grams), dtype=np.int64, count=len(grams)))
             keys = np.fromiter((key_of(g) for each in grams for g in each), dtype=np.uint64, count=len(owner))
-            at, known = self.tables[n].rows(keys)
-            owner, logs = owner[known], self.tables[n].logs[at[known]].astype(np.float64)
+            at, known = self.grams[n].rows(keys)
+            owner, logs = owner[known], self.grams[n].logs[at[known]].astype(np.float64)
             found = np.bincount(owner, minlength=len(left))
             hit = found > 0
             for k in range(len(self.languages)):
@@ -160,7 +198,14 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
         table[:, i] = model.column(f"n{i}").to_numpy()
     docs_of = np.array([r.docs for r in known], dtype=float)
     prior = np.log(docs_of / docs_of.sum()) if known else np.zeros(0)
-    return Model(names, {n: Table(keys[sizes == n], table[sizes == n]) for n in range(LONGEST_GRAM + 1)}, prior)
+
+    def of_size(n: int) -> Table:
+        def texts() -> list[str]:
+            return [r.entry for r in entries.where(F.col("size") == n).select("entry").collect()]
+
+        return Table.counted(keys[sizes == n], table[sizes == n], texts)
+
+    return Model(names, of_size(0), {n: of_size(n) for n in range(1, LONGEST_GRAM + 1)}, prior)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
