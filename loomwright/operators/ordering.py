@@ -19,6 +19,8 @@ from loomwright.session import cut_lineage
 
 # monotonically_increasing_id() keeps the partition in the upper bits and the position inside it in the lower 33.
 _POSITION_BITS = 33
+# Summary rows that are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def ordered_index(
@@ -55,8 +57,10 @@ def ordered_index(
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
         *([F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_weight_before")] if weight is not None else []),
     )
-    if not group:
-        bases = F.broadcast(bases)  # one row per partition
+    # One row per partition, and few more unless there are many groups: then the rows stay where they are, otherwise both are shuffled.
+    bases = cut_lineage(bases)
+    if bases.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     same = F.col("_part") == F.col("_bpart")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_b_{g}"))
