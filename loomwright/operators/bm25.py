@@ -17,6 +17,10 @@ from loomwright.session import cut_lineage
 K1 = 0.9
 B = 0.4
 TERM_PATTERN = r"[\p{L}\p{N}]+"
+# Characters of text in one partition of the postings: its terms are sorted in memory by the task that gathers their positions.
+TASK_CHARS = 4_000_000
+# Query terms are broadcast up to so many rows; with more of them the join is Spark's choice.
+BROADCAST_ROWS = 200_000
 
 
 def terms(text: Column | str) -> Column:
@@ -45,8 +49,9 @@ def bm25_index(docs: DataFrame) -> Index:
     length = F.size("_terms").cast("bigint").alias("dl")
     analysed = texts.withColumn("_terms", terms("contents"))
     documents = analysed.select("db_id", "doc_id", length, F.col("contents").alias("raw"))
+    chars = texts.agg(F.sum(F.length("contents"))).first()[0] or 0
     postings = (
-        texts.repartition("db_id", "doc_id")  # moves the plain text, which is smaller than its terms
+        texts.repartition(chars // TASK_CHARS + 1, "db_id", "doc_id")  # moves the plain text, which is smaller than its terms
         .select("db_id", "doc_id", terms("contents").alias("_terms"))
         .select("db_id", "doc_id", length, F.posexplode("_terms").alias("_pos", "term"))
         .groupBy("db_id", "doc_id", "dl", "term")
@@ -74,7 +79,8 @@ def read_index(spark, folder: str) -> Index:
         df = spark.read.parquet(f"{folder}/{name}")
         return df.withColumn("db_id", F.col("db_id").cast("string"))
 
-    return Index(part("postings"), part("documents"), part("term_stats"), part("stats"))
+    postings = part("postings").repartition("db_id", "doc_id")  # files do not tell that they hold whole documents
+    return Index(postings, part("documents"), part("term_stats"), part("stats"))
 
 
 def inverse_frequency(n_docs: Column, df: Column) -> Column:
@@ -110,9 +116,15 @@ def query_weights(index: Index, queries: DataFrame) -> DataFrame:
     )
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written ``df`` that joins as a broadcast if it has at most ``BROADCAST_ROWS`` rows: then the postings stay where they are, however
+    many of them a frequent term has."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def bm25_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """The score of every document that shares a term with a query. A repeated query term counts as often as it occurs."""
-    weights = query_weights(index, queries)
+    weights = _few(cut_lineage(query_weights(index, queries)))
     return (
         index.postings.select("db_id", "doc_id", "dl", "term", "tf")
         .join(weights, ["db_id", "term"])
@@ -198,7 +210,7 @@ def judged_terms(
     """
     postings = _blocked(index)
     weights = cut_lineage(bounded_weights(index, blocks, queries))
-    first = _scored(postings, weights.where(F.col("before") < seed * k), _BY_TERM, k1, b)
+    first = _scored(postings, _few(weights.where(F.col("before") < seed * k)), _BY_TERM, k1, b)
     best = Window.partitionBy("query_id", "db_id").orderBy(F.desc("score"), "doc_id")
     ahead = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= leaders * k)
     asked = ahead.select("query_id", "db_id", "doc_id", "block").join(weights, ["query_id", "db_id", "block"])
@@ -218,7 +230,7 @@ def bounded_scores(index: Index, blocks: DataFrame, queries: DataFrame, k: int =
     judged, floors = judged_terms(index, blocks, queries, k, k1, b)
     tier = Window.partitionBy("query_id", "db_id", "block").orderBy("df", "term")
     others = cut_lineage(judged.where("not essential").withColumn("tier", F.ntile(TIERS).over(tier)))
-    scores = _scored(postings, judged.where("essential"), _BY_TERM, k1, b)
+    scores = _scored(postings, _few(judged.where("essential")), _BY_TERM, k1, b)
     for n in range(1, TIERS + 1):
         # The most that the terms from this tier on can add; documents that cannot reach the floor with it are done.
         rest = others.where(F.col("tier") >= n).groupBy("query_id", "db_id", "block").agg(F.max("rest").alias("most"))
