@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate removal, mixing to target weights, BPE.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the next stage's ``docs``.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Stages with Python workers shorten the session's Arrow batches (``common.short_batches``), as
+idle workers, batches and the heap of the other stages lie in one executor's memory.
 
 The tokenizer cannot be written in SQL, so there is no SQL for the whole; a test compares the pipeline with a brute-force version.
 """
@@ -13,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, exact_dedup, langid, minhash, mixing
-from loomwright.llm.common import documents, keep
+from loomwright.llm.common import documents, keep, short_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters and those with a doubtful language go."""
+    short_batches(spark)
     return langid.accepted(docs)
 
 
@@ -30,6 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked near duplicates the one with the smallest id stays."""
+    short_batches(spark)
     return minhash.deduplicate(docs)
 
 
@@ -40,6 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the hash of the text they decode to."""
+    short_batches(spark)
     coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, ids="ids")
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 

@@ -25,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomwright.llm.common import text_blocks
+from loomwright.llm.common import map_in_arrow, text_blocks
 
 # The pattern that splits text before merging. Fixed value of the vocabulary's public description.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -257,30 +258,25 @@ class Encoder(Vocabulary):
             yield words, b",".join([f[0] for f in own]), b"".join([f[1] for f in own]).decode("utf-8", "replace")
 
 
-_loaded: dict[tuple, Vocabulary] = {}
+class _Description:
+    """The description of a vocabulary, and what a Python worker has made of it: that lives as long as the worker's copy of the broadcast,
+    which goes when the worker takes a task of other work."""
 
+    def __init__(self, text: str):
+        self.text, self.made = text, {}
 
-def _loaded_once(kind: type[Vocabulary], shared: _Shared) -> Vocabulary:
-    """The vocabulary of a broadcast, made once per Python worker."""
-    key = kind.__name__, shared.id
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = kind(shared.value)
-    return _loaded[key]
+    def __getstate__(self) -> dict:
+        return {"text": self.text, "made": {}}
 
+    def vocabulary(self, kind: type[Vocabulary]) -> Vocabulary:
+        if kind.__name__ not in self.made:
+            self.made[kind.__name__] = kind(self.text)
+        return self.made[kind.__name__]
 
-class _Shared:
-    """A broadcast with a name that the workers know it by."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-        self.id = hash((path, len(text)))
-        self.broadcast = spark.sparkContext.broadcast(text)
-
-    @property
-    def value(self) -> str:
-        return self.broadcast.value
+def _shared(spark: SparkSession, path: str) -> Broadcast[_Description]:
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(_Description(f.read()))
 
 
 def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array, schema: pa.Schema, drop: str | None = None) -> pa.RecordBatch:
@@ -295,12 +291,12 @@ def _with(schema: T.StructType, name: str, kind: T.DataType, drop: str | None =
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text``; ``tokenizer`` is the path of a byte-level BPE description on the driver."""
-    shared = _Shared(docs.sparkSession, tokenizer)
+    shared = _shared(docs.sparkSession, tokenizer)
     schema = _with(docs.schema, out, T.ArrayType(T.IntegerType()))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _loaded_once(Encoder, shared)
+        vocabulary = shared.value.vocabulary(Encoder)
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             for block in text_blocks(texts):
@@ -309,18 +305,18 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
                 flat = np.fromiter(chain.from_iterable(ids), dtype="int32", count=int(ends[-1]))
                 yield _replaced(batch.slice(block.start, len(ids)), out, pa.ListArray.from_arrays(ends, flat), arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "text", keep_ids: bool = True) -> DataFrame:
     """``docs`` with the text of ``ids``; special tokens are written out."""
-    shared = _Shared(docs.sparkSession, tokenizer)
+    shared = _shared(docs.sparkSession, tokenizer)
     drop = None if keep_ids else ids
     schema = _with(docs.schema, out, T.StringType(), drop)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _loaded_once(Vocabulary, shared)
+        vocabulary = shared.value.vocabulary(Vocabulary)
         for batch in batches:
             column = batch.column(batch.schema.names.index(ids))
             for a in range(0, len(column), 256):
@@ -328,7 +324,7 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "text",
                 texts = [vocabulary.decode(row or []) for row in part.to_pylist()]
                 yield _replaced(batch.slice(a, 256), out, pa.array(texts, pa.string()), arrow, drop)
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, ids: str | None = None) -> DataFrame:
@@ -337,7 +333,7 @@ def round_trip(docs: DataFrame, tokenizer: str, ids: str | None = None) -> DataF
     One pass: the ids of a text are those of its words, so their decimal text and the bytes they decode to are made once for each word that
     the task remembers; a text's are put together from these, decoded as a whole, and hashed.
     """
-    shared = _Shared(docs.sparkSession, tokenizer)
+    shared = _shared(docs.sparkSession, tokenizer)
     results = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     results += [(ids, T.ArrayType(T.IntegerType()))] if ids else []
     taken = {"text", *(n.lower() for n, _ in results)}
@@ -347,7 +343,7 @@ def round_trip(docs: DataFrame, tokenizer: str, ids: str | None = None) -> DataF
     digest = lambda raw: hashlib.sha256(raw).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _loaded_once(Encoder, shared)
+        vocabulary = shared.value.vocabulary(Encoder)
         for batch in batches:
             names = batch.schema.names
             column = batch.column(names.index("text"))
@@ -367,4 +363,4 @@ def round_trip(docs: DataFrame, tokenizer: str, ids: str | None = None) -> DataF
                 own = [batch.column(names.index(f.name)).slice(block.start, len(n)) for f in kept]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*own, *made], arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomwright.llm.common import crc_of_id, keep, text_blocks
+from loomwright.llm.common import crc_of_id, keep, map_in_arrow, text_blocks
 
 SAMPLE_CHARS = 3_000_000
 LONGEST_GRAM = 5
@@ -228,7 +228,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 own = [c.slice(block.start, size) for c in columns]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*own, *results], arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import keep, linked_groups, text_or_empty
+from loomwright.llm.common import keep, linked_groups, map_in_arrow, text_or_empty
 
 SHINGLE = 4
 PERCENT = 80
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     md5 = F.md5(text_or_empty("text").cast("binary"))
-    return docs.select(F.col("doc_id").cast("long"), md5.alias("text_md5"), "text").mapInArrow(run, _SIGNATURE)
+    return map_in_arrow(docs.select(F.col("doc_id").cast("long"), md5.alias("text_md5"), "text"), run, _SIGNATURE)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     same = F.col("id").eqNullSafe(F.col("first_id"))
-    return texts.join(nodes, same).select("node", "set_digest", "text").mapInArrow(run, _SET).dropDuplicates(["node"])
+    return map_in_arrow(texts.join(nodes, same).select("node", "set_digest", "text"), run, _SET).dropDuplicates(["node"])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from fixtures import corpus, row, rows
@@ -93,6 +94,21 @@ def test_round_trip_rows(spark, library):
     assert bpe.round_trip(corpus(spark, []), PATH).collect() == []
 
 
+def test_vocabulary_goes_with_its_broadcast(spark):
+    """A worker that turns to other work no longer holds the vocabulary and the words remembered."""
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(isinstance(x, bpe.Vocabulary) for x in gc.get_objects())]})
+
+    assert bpe.round_trip(corpus(spark).repartition(8), PATH).count() == len(rows())
+    bpe.encode(corpus(spark).repartition(8), PATH).write.format("noop").mode("overwrite").save()
+    found = spark.range(0, 32, 1, 8).mapInArrow(held, "n long").collect()
+    assert len(found) == 8 and sum(r.n for r in found) == 0
+
+
 def test_decode_odd_ids(spark):
     df = spark.createDataFrame([([15496, None, -1, 10**6, 50256],), (None,), ([187],)], "ids array<int>")
     assert [r.text for r in bpe.decode(df, PATH).collect()] == ["Hello<|endoftext|>", "", bpe.Vocabulary(open(PATH).read()).decode([187])]

@@ -4,12 +4,13 @@ import hashlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 from fixtures import corpus, row, rows, sentence
 from test_dedup import brute_copies, brute_near
 from test_mix_and_shards import brute_targets, size
 from tokenizers import Tokenizer
 
-from loomwright.llm.common import keep, remove_kept
+from loomwright.llm.common import BATCH_ROWS, keep, remove_kept
 
 
 def test_stages(spark):
@@ -44,6 +45,25 @@ def test_stages(spark):
     remove_kept(spark)
 
 
+def test_stages_send_short_batches_to_python(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    try:
+        for had, most in (("10000", BATCH_ROWS), ("0", BATCH_ROWS), ("7", 7)):
+            for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[2], corpus_pipeline.STAGES[4]):
+                spark.conf.set(name, had)
+                stage(spark, corpus(spark, []), "")
+                found = [r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()]
+                assert max(found) == most and sum(found) == 2500
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_documents(spark):
     docs = corpus(spark, [])
     for _, stage in corpus_pipeline.STAGES:
