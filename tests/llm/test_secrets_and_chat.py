@@ -9,6 +9,7 @@ from fixtures import corpus, row, rows
 
 from pyspark.sql import functions as F
 
+from loomwright.functions.arrays import running_sums
 from loomwright.llm import chat, secrets
 
 HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
@@ -72,6 +73,25 @@ def test_long_runs_and_many_findings_are_linear(spark):
         assert time.monotonic() - began < 60  # minutes to hours when a step touches the whole run
 
 
+def test_text_is_searched_twice_and_split_once(spark):
+    def count(df, what):
+        return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+    found = secrets.find(corpus(spark, [row(1, TEXTS[0])]))
+    assert count(found, "regexp_extract_all(coalesce(text") == 2 and count(found, "RLIKE(coalesce(text") == 0
+    assert count(found, "split(coalesce(text") == 2  # once for each search, in texts with findings only
+    sums = running_sums(F.split(F.lit("1,2,3"), F.col("s")).cast("array<int>"))
+    summed = spark.createDataFrame([(",",)], "s string").select(sums.alias("sums"))
+    assert count(summed, "split(") == 1 and summed.first().sums == [1, 3, 6]
+
+
+def test_keys_and_hexadecimal_runs_beside_candidates(spark):
+    texts = [f"{HEX}{HEX.upper()}/{HEX[:24]}g{HEX[:23]}", f"é{HEX[:24]}é AKIAAKIA{'A' * 12}b AKIA{'Z' * 15} AKIA{'Z' * 16}AKIA=", "", None]
+    got = secrets.find(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for r in got.collect():
+        assert tuple([tuple(s) for s in x] for x in (r.base_spans, r.all_spans)) == brute(r.text)
+
+
 def test_query_form(spark):
     got = {r.doc_id: r for r in secrets.secrets(corpus(spark, [row(1, TEXTS[0]), row(2, None)])).collect()}
     assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (3, 0, 1)
