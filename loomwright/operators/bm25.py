@@ -6,11 +6,15 @@ and digits of any script; there is no stemming and no stopword list.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomwright.session import cut_lineage
 
@@ -21,6 +25,8 @@ TERM_PATTERN = r"[\p{L}\p{N}]+"
 TASK_CHARS = 4_000_000
 # Query terms are broadcast up to so many rows; with more of them the join is Spark's choice.
 BROADCAST_ROWS = 200_000
+# Postings of query terms in one partition of a read index: with a query for every few of them, their scores fit a task's memory.
+TASK_POSTINGS = 500_000
 
 
 def terms(text: Column | str) -> Column:
@@ -34,13 +40,15 @@ class Index:
     ``term_stats(db_id, term, df)``, ``stats(db_id, n_docs, avgdl)``.
 
     Postings are partitioned by document, and carry the document length: scoring needs no join with the documents, all
-    terms of a document meet in one task, and a hot term is spread over all tasks.
+    terms of a document meet in one task, and a hot term is spread over all tasks. Files do not tell that they hold whole documents:
+    the postings of a read index are ``scattered``, and a search partitions those of its own terms again.
     """
 
     postings: DataFrame
     documents: DataFrame
     term_stats: DataFrame
     stats: DataFrame
+    scattered: bool = False
 
 
 def bm25_index(docs: DataFrame) -> Index:
@@ -49,29 +57,41 @@ def bm25_index(docs: DataFrame) -> Index:
     length = F.size("_terms").cast("bigint").alias("dl")
     analysed = texts.withColumn("_terms", terms("contents"))
     documents = analysed.select("db_id", "doc_id", length, F.col("contents").alias("raw"))
-    chars = texts.agg(F.sum(F.length("contents"))).first()[0] or 0
+    size = texts.agg(F.sum(F.length("contents")).alias("chars"), F.count_distinct("db_id").alias("dbs")).first()
+    # The name of a single database may be a constant, which Spark drops from the keys: then it would deal the postings out again.
+    keys = ["db_id", "doc_id"] if size.dbs > 1 else ["doc_id"]
     postings = (
-        texts.repartition(chars // TASK_CHARS + 1, "db_id", "doc_id")  # moves the plain text, which is smaller than its terms
+        texts.repartition((size.chars or 0) // TASK_CHARS + 1, *keys)  # moves the plain text, which is smaller than its terms
         .select("db_id", "doc_id", terms("contents").alias("_terms"))
-        .select("db_id", "doc_id", length, F.posexplode("_terms").alias("_pos", "term"))
+        # outer, as Spark would otherwise ask for the terms once more where it reads the texts, to leave out those without
+        .select("db_id", "doc_id", length, F.posexplode_outer("_terms").alias("_pos", "term"))
+        .where("term IS NOT NULL")
         .groupBy("db_id", "doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("_pos")).alias("positions"))
     )
-    term_stats = postings.groupBy("db_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    term_stats = document_frequencies(postings)
     stats = documents.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     return Index(postings, documents, term_stats, stats)
 
 
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("db_id", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def write_index(index: Index, folder: str) -> None:
-    """Write the index, one folder per database. Databases present in ``index`` are replaced, others are kept."""
-    for name in ("postings", "documents", "term_stats", "stats"):
-        (
-            getattr(index, name)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("db_id")
-            .parquet(f"{folder}/{name}")
-        )
+    """Write the index, one folder per database. Databases present in ``index`` are replaced, others are kept. Document frequencies are
+    counted in the written postings, which would have to be made once more otherwise."""
+
+    def write(df: DataFrame, name: str) -> None:
+        out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("db_id")
+        out.parquet(f"{folder}/{name}")
+
+    for name in ("postings", "documents", "stats"):
+        write(getattr(index, name), name)
+    written = index.postings.sparkSession.read.schema(index.postings.schema).parquet(f"{folder}/postings")
+    here = index.documents.select(F.col("db_id").alias("_db")).distinct()  # one row per database
+    counted = document_frequencies(written.join(F.broadcast(here), F.col("db_id").eqNullSafe(F.col("_db")), "left_semi"))
+    write(counted, "term_stats")
 
 
 def read_index(spark, folder: str) -> Index:
@@ -79,8 +99,7 @@ def read_index(spark, folder: str) -> Index:
         df = spark.read.parquet(f"{folder}/{name}")
         return df.withColumn("db_id", F.col("db_id").cast("string"))
 
-    postings = part("postings").repartition("db_id", "doc_id")  # files do not tell that they hold whole documents
-    return Index(postings, part("documents"), part("term_stats"), part("stats"))
+    return Index(part("postings"), part("documents"), part("term_stats"), part("stats"), scattered=True)
 
 
 def inverse_frequency(n_docs: Column, df: Column) -> Column:
@@ -122,11 +141,32 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def asked(index: Index, queries: DataFrame) -> Index:
+    """The index as far as the queries ask for it: postings and document frequencies of their terms. Terms are few beside their
+    postings, so what no query asks for is left where it is read."""
+    wanted = cut_lineage(query_terms(queries).select("db_id", "term").distinct())
+    if wanted.count() > BROADCAST_ROWS:
+        return index
+    known = index.term_stats.join(F.broadcast(wanted), ["db_id", "term"], "left_semi")
+    postings = index.postings.join(F.broadcast(wanted), ["db_id", "term"], "left_semi")
+    return replace(index, postings=postings, term_stats=cut_lineage(known))
+
+
+def _together(index: Index) -> DataFrame:
+    """The postings without their positions, partitioned by document."""
+    postings = index.postings.select("db_id", "doc_id", "dl", "term", "tf")
+    if not index.scattered:
+        return postings
+    rows = index.term_stats.agg(F.sum("df")).first()[0] or 0
+    return postings.repartition(rows // TASK_POSTINGS + 1, "db_id", "doc_id")
+
+
 def bm25_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """The score of every document that shares a term with a query. A repeated query term counts as often as it occurs."""
+    index = asked(index, queries)
     weights = _few(cut_lineage(query_weights(index, queries)))
     return (
-        index.postings.select("db_id", "doc_id", "dl", "term", "tf")
+        _together(index).select("db_id", "doc_id", "dl", "term", "tf")
         .join(weights, ["db_id", "term"])
         .groupBy("query_id", "db_id", "doc_id")
         .agg(F.sum(F.col("qw") * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
@@ -212,9 +252,10 @@ def judged_terms(
     weights = cut_lineage(bounded_weights(index, blocks, queries))
     first = _scored(postings, _few(weights.where(F.col("before") < seed * k)), _BY_TERM, k1, b)
     best = Window.partitionBy("query_id", "db_id").orderBy(F.desc("score"), "doc_id")
-    ahead = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= leaders * k)
-    asked = ahead.select("query_id", "db_id", "doc_id", "block").join(weights, ["query_id", "db_id", "block"])
-    full = _scored(postings, asked, _BY_ROW, k1, b).withColumn("_n", F.row_number().over(best))
+    ahead = cut_lineage(first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= leaders * k))
+    theirs = postings.join(_few(cut_lineage(ahead.select("db_id", "doc_id").distinct())), ["db_id", "doc_id"], "left_semi")
+    terms_of = ahead.select("query_id", "db_id", "doc_id", "block").join(weights, ["query_id", "db_id", "block"])
+    full = _scored(theirs, terms_of, _BY_ROW, k1, b).withColumn("_n", F.row_number().over(best))
     floors = cut_lineage(full.where(F.col("_n") == k).select("query_id", "db_id", F.col("score").alias("floor")))
     judged = weights.join(floors, ["query_id", "db_id"], "left").withColumn("essential", F.col("rest") >= _least())
     return judged.drop("floor"), floors
@@ -224,28 +265,156 @@ def bounded_scores(index: Index, blocks: DataFrame, queries: DataFrame, k: int =
     """Exact scores of all documents that can be among the ``k`` best of a query.
 
     Only essential terms meet all their postings. The others are looked up, rarer ones first, for those documents alone whose score so far can
-    still reach the floor. Written steps in the checkpoint folder cut the plan, since each stands on several earlier ones.
+    still reach the floor.
     """
-    postings = _blocked(index)
     judged, floors = judged_terms(index, blocks, queries, k, k1, b)
     tier = Window.partitionBy("query_id", "db_id", "block").orderBy("df", "term")
-    others = cut_lineage(judged.where("not essential").withColumn("tier", F.ntile(TIERS).over(tier)))
-    scores = _scored(postings, _few(judged.where("essential")), _BY_TERM, k1, b)
+    others = judged.where("not essential").withColumn("tier", F.ntile(TIERS).over(tier))
+    placed = cut_lineage(judged.where("essential").withColumn("tier", F.lit(0)).unionByName(others))
+    if placed.count() <= BROADCAST_ROWS:
+        return _scored_in_place(index, placed, floors, k1, b)
+    return _scored_in_steps(index, placed, floors, k1, b)
+
+
+def _scored_in_steps(index: Index, placed: DataFrame, floors: DataFrame, k1: float, b: float) -> DataFrame:
+    """For many queries: documents and the terms looked up for them meet the postings in joins, tier by tier."""
+    postings = _together(index).withColumn("block", block_of(F.col("dl")))
+    others = placed.where("tier > 0")
+    scores = _scored(postings, _few(placed.where("tier = 0")), _BY_TERM, k1, b)
     for n in range(1, TIERS + 1):
         # The most that the terms from this tier on can add; documents that cannot reach the floor with it are done.
         rest = others.where(F.col("tier") >= n).groupBy("query_id", "db_id", "block").agg(F.max("rest").alias("most"))
         bound = scores.join(rest, ["query_id", "db_id", "block"], "left").join(floors, ["query_id", "db_id"], "left")
         able = cut_lineage(bound.where(F.col("score") + F.coalesce("most", F.lit(0.0)) >= _least()).drop("most", "floor"))
-        asked = able.select("query_id", "db_id", "doc_id", "block").join(others.where(F.col("tier") == n), ["query_id", "db_id", "block"])
-        both = able.unionByName(_scored(postings, asked, _BY_ROW, k1, b))
+        terms_of = able.select("query_id", "db_id", "doc_id", "block").join(others.where(F.col("tier") == n), ["query_id", "db_id", "block"])
+        both = able.unionByName(_scored(postings, terms_of, _BY_ROW, k1, b))
         scores = both.groupBy("query_id", "db_id", "doc_id", "block").agg(F.sum("score").alias("score"))
     return scores.drop("block")
 
 
+# Weights that meet postings in one step of a task.
+STEP_ROWS = 1_000_000
+# Terms hold letters and digits only.
+_SEPARATOR = "\x1f"
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges of places: to which range each place belongs, and the places."""
+    n = end - first
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (in ``wanted``, in the sorted ``keys``) that hold the same."""
+    return _ranges(np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right"))
+
+
+class _Weights:
+    """The rows of ``bounded_weights``, with ``tier`` (0: essential) and ``least``, as arrays for lookups; held in memory by each worker."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        pairs = rows.select(["query_id", "db_id"]).append_column("_row", pa.array(np.arange(len(rows))))
+        queries = pairs.group_by(["query_id", "db_id"]).aggregate([("_row", "min"), ("_row", "list")])
+        self.query_ids = rows["query_id"].take(queries["_row_min"]).combine_chunks()
+        lists = queries["_row_list"].combine_chunks()
+        query = np.empty(len(rows), dtype=np.int64)
+        query[lists.flatten().to_numpy()] = np.repeat(np.arange(len(queries)), lists.value_lengths().to_numpy())
+        self.least = rows["least"].take(queries["_row_min"]).to_numpy()
+        coded = self.term_keys(rows["term"], rows["db_id"]).combine_chunks().dictionary_encode()
+        term, self.terms = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        block, tier = rows["block"].to_numpy().astype(np.int64), rows["tier"].to_numpy()
+        qw, avgdl, rest = (rows[c].to_numpy() for c in ("qw", "avgdl", "rest"))
+        self.blocks = int(block.max(initial=0)) + 1
+        self.tiers = []  # per tier: sorted keys, and beside them query or term, weight, average length
+        self.most = []  # per tier and (query, block): the most that terms from it on can add
+        for n in range(TIERS + 1):
+            at = np.flatnonzero(tier == n)
+            key = (query if n else term)[at] * self.blocks + block[at]
+            at, key = at[order := np.argsort(key, kind="stable")], np.sort(key, kind="stable")
+            self.tiers.append((key, (term if n else query)[at], qw[at], avgdl[at]))
+            most, later = np.zeros(len(queries) * self.blocks), tier >= max(n, 1)
+            np.maximum.at(most, (query * self.blocks + block)[later], rest[later])
+            self.most.append(most)
+
+    @staticmethod
+    def term_keys(term, db_id):
+        return pc.binary_join_element_wise(term, db_id, _SEPARATOR)
+
+    def scores(self, documents: pa.RecordBatch, k1: float, b: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query, document (places) and score of all documents that can reach the floor, from rows ``db_id, block, postings``."""
+        lists = documents.column("postings")
+        lengths = lists.value_lengths().to_numpy()
+        owner = np.repeat(np.arange(len(documents)), lengths)
+        flat = lists.flatten()
+        keys = self.term_keys(flat.field("term"), documents.column("db_id").take(pa.array(owner)))
+        term = pc.fill_null(pc.index_in(keys, value_set=self.terms.cast(keys.type)), -1).to_numpy().astype(np.int64)
+        order = np.lexsort((term, owner))
+        order = order[term[order] >= 0]
+        owner, term = owner[order], term[order]
+        tf, dl = (flat.field(c).to_numpy()[order] for c in ("tf", "dl"))
+        place, block = owner * len(self.terms) + term, documents.column("block").to_numpy().astype(np.int64)
+
+        def part(posting: np.ndarray, qw: np.ndarray, avgdl: np.ndarray) -> np.ndarray:
+            return qw * (tf[posting] / (tf[posting] + k1 * (1 - b + b * dl[posting] / avgdl)))
+
+        key, query, qw, avgdl = self.tiers[0]
+        # a block without weights is beyond the last one
+        asked_for = np.where(block[owner] < self.blocks, term * self.blocks + block[owner], -1)
+        first, end = np.searchsorted(key, asked_for, "left"), np.searchsorted(key, asked_for, "right")
+        done = np.cumsum(end - first)
+        start = 0
+        while start < len(order):
+            before = done[start - 1] if start else 0
+            stop = max(int(np.searchsorted(done, before + STEP_ROWS, "right")), start + 1)
+            stop = int(np.searchsorted(owner, owner[stop - 1], "right"))  # whole documents
+            posting, at = _ranges(first[start:stop], end[start:stop])
+            pairs, row = np.unique(owner[posting + start] * len(self.query_ids) + query[at], return_inverse=True)
+            score = np.bincount(row, part(posting + start, qw[at], avgdl[at]), minlength=len(pairs))
+            doc, asker = np.divmod(pairs, len(self.query_ids))
+            for n in range(1, TIERS + 1):
+                of = asker * self.blocks + block[doc]
+                able = score + self.most[n][of] >= self.least[asker]
+                doc, asker, score, of = doc[able], asker[able], score[able], of[able]
+                keys_n, term_n, qw_n, avgdl_n = self.tiers[n]
+                pair, entry = _found(keys_n, of)
+                wanted, posting = _found(place, doc[pair] * len(self.terms) + term_n[entry])
+                pair, entry = pair[wanted], entry[wanted]
+                score = score + np.bincount(pair, part(posting, qw_n[entry], avgdl_n[entry]), minlength=len(doc))
+            yield asker, doc, score
+            start = stop
+
+
+def _scored_in_place(index: Index, placed: DataFrame, floors: DataFrame, k1: float, b: float) -> DataFrame:
+    """For queries whose weights may be broadcast: a document's postings of query terms stand in one row, where its scores are made. Nothing
+    is moved for each pair of query and document."""
+    least = placed.join(floors, ["query_id", "db_id"], "left").withColumn("least", _least())
+    columns = ("query_id", "db_id", "term", "block", "qw", "avgdl", "rest", "tier", "least")
+    weights = placed.sparkSession.sparkContext.broadcast(_Weights(least.select(*columns).toArrow()))
+    documents = (
+        _together(index)
+        .groupBy("db_id", "doc_id", block_of(F.col("dl")).alias("block"))
+        .agg(F.collect_list(F.struct("term", "tf", "dl")).alias("postings"))
+    )
+    fields = [placed.schema["query_id"], documents.schema["db_id"], documents.schema["doc_id"], StructField("score", DoubleType())]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_id", "db_id", "doc_id", "score"]
+        for batch in batches:
+            for query, doc, score in weights.value.scores(batch, k1, b):
+                at = pa.array(doc)
+                ids = (batch.column(c).take(at) for c in ("db_id", "doc_id"))
+                yield pa.RecordBatch.from_arrays([weights.value.query_ids.take(pa.array(query)), *ids, pa.array(score)], names)
+
+    return documents.mapInArrow(scored, StructType(fields))
+
+
 def bounded_search(
     index: Index, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, blocks: DataFrame | None = None
 ) -> DataFrame:
     """The same rows as :func:`bm25_search`, without scoring every document that shares a frequent term with a query."""
+    index = asked(index, queries)
     blocks = block_stats(index, k1, b) if blocks is None else blocks
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     scores = bounded_scores(index, blocks, queries, k, k1, b)
