@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwright.functions.logits import let
 from loomwright.functions.text import quote_identifier, strip
 
 # The fixed words of the prompt format are spelled out below in the order in which they are printed.
@@ -27,9 +28,11 @@ def schema_sequence(items: Column, foreign_keys: Column) -> Column:
     """The schema as prompt text. Names are quoted on the way out, so rendering a record twice gives the same text."""
 
     def table_line(item: Column) -> Column:
-        table = quote_identifier(item["table_name"])
-        columns = F.array_join(F.transform(item["columns"], lambda c: column_sequence(table, c)), " , ")
-        return F.concat(F.lit("table "), table, F.lit(" , columns = [ "), columns, F.lit(" ]"))
+        def line(table: Column) -> Column:
+            columns = F.array_join(F.transform(item["columns"], lambda c: column_sequence(table, c)), " , ")
+            return F.concat(F.lit("table "), table, F.lit(" , columns = [ "), columns, F.lit(" ]"))
+
+        return let(quote_identifier(item["table_name"]), line)
 
     def edge_line(edge: Column) -> Column:
         source = F.concat_ws(".", quote_identifier(edge["src_table"]), quote_identifier(edge["src_column"]))
@@ -41,7 +44,7 @@ def schema_sequence(items: Column, foreign_keys: Column) -> Column:
         F.concat(F.lit("foreign keys :\n"), F.array_join(F.transform(foreign_keys, edge_line), "\n")),
     ).otherwise("foreign keys : None")
     lines = F.concat(F.array(F.lit("database schema :")), F.transform(items, table_line), F.array(edges))
-    return strip(F.array_join(lines, "\n"))
+    return let(F.array_join(lines, "\n"), strip)
 
 
 def content_sequence(entries: Column) -> Column:
@@ -49,12 +52,12 @@ def content_sequence(entries: Column) -> Column:
     whatever follows a second dot in the key is dropped."""
 
     def line(entry: Column) -> Column:
-        parts = F.split(entry["key"], r"\.")
-        name = F.concat_ws(".", quote_identifier(F.get(parts, F.lit(0))), quote_identifier(F.get(parts, F.lit(1))))
+        names = F.transform(F.slice(F.split(entry["key"], r"\."), 1, 2), quote_identifier)
+        name = F.coalesce(F.array_join(names, "."), F.lit(""))
         return F.concat(name, F.lit(" ( "), F.array_join(entry["values"], " , "), F.lit(" )"))
 
     lines = F.array_join(F.concat(F.array(F.lit("matched contents :")), F.transform(entries, line)), "\n")
-    return strip(F.when(F.size(entries) > 0, lines).otherwise("matched contents : None"))
+    return let(F.when(F.size(entries) > 0, lines).otherwise("matched contents : None"), strip)
 
 
 def prompt_prefix(schema: Column, contents: Column, text: Column) -> Column:

@@ -42,7 +42,10 @@ def strip(c: Column | str) -> Column:
     The class holds the control separators U+001C to U+001F too, which Python's ``str.strip`` removes.
     """
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    blank = r"(?U)[\s\x1c-\x1f]"
+    # only a text with a blank at an end is searched, and one of broken bytes, which reading as text mends
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(blank) | ~F.is_valid_utf8(c), F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")).otherwise(c)
 
 
 def is_short_value(c: Column | str, limit: int = MAX_VALUE_LENGTH) -> Column:

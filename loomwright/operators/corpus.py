@@ -52,14 +52,76 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
+def _is_ascii(text: Column) -> Column:
+    return (F.octet_length(text) == F.length(text)) & F.is_valid_utf8(text)
+
+
+# Classes of bytes: 1 letters, 2 digits, 0 others.
+_CLASSES = np.array([1 if chr(i).isalpha() else 2 if chr(i).isdigit() else 0 for i in range(128)] + [0] * 128, dtype=np.uint8)
+# Bytes of texts that are taken apart at a time.
+STEP_BYTES = 4_000_000
+
+
+def ascii_words(texts: pa.Array) -> pa.ListArray:
+    """The words of texts of ASCII characters, as :func:`words` gives them. They stand in the texts one after another, so their bytes stay where
+    they are; a null has none."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1, offset=4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    first, end = int(offsets[0]), int(offsets[-1])
+    data = texts.buffers()[2].slice(first, end - first) if end > first else pa.py_buffer(b"")
+    kind = _CLASSES[np.frombuffer(data, dtype=np.uint8)]
+    begins = np.ones(end - first + 1, dtype=bool)
+    begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 0)
+    begins[offsets - first] = True
+    starts = np.flatnonzero(begins).astype(np.int32)  # and the end
+    found = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), data])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets - first), pa.int32()), found)
+
+
+def _either(plain: pa.Array, listed: pa.Array) -> pa.ListArray:
+    """The words of each text, which is given as it is or, by ``listed``, as its words."""
+    split = ascii_words(plain)
+    if listed.null_count == len(listed):
+        return split
+    sizes = [np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for x in (split, listed)]
+    flat = pa.concat_arrays([split.flatten(), listed.flatten().cast(pa.string())])
+    place = np.where(sizes[0] > 0, _bounds(sizes[0])[:-1], sizes[0].sum() + _bounds(sizes[1])[:-1])
+    ends = _bounds(n := sizes[0] + sizes[1])
+    at = np.arange(ends[-1]) + np.repeat(place - ends[:-1], n)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(at)))
+
+
+def _steps(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of rows of about ``most`` in all."""
+    start, sums = 0, np.cumsum(sizes)
+    while start < len(sizes):
+        stop = max(int(np.searchsorted(sums, (sums[start - 1] if start else 0) + most, "right")), start + 1)
+        yield slice(start, stop)
+        start = stop
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """``word, n``, a word in several rows. Words of ASCII texts are found and counted in batches by Arrow functions, without a row per word."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _steps(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), STEP_BYTES):
+                plain, listed = (c[part] for c in batch.columns)
+                found = pc.value_counts(_either(plain, listed).flatten())
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+
+    plain = F.when(_is_ascii(F.col(text)), F.col(text))
+    listed = F.when(~_is_ascii(F.col(text)), words(F.col(text)))
+    return df.select(plain.alias("plain"), listed.alias("listed")).mapInArrow(counted, "word string, n bigint")
+
+
 def vocabulary(df: DataFrame, text: str = "sequence", size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(word, token_id)`` by falling frequency, then by word.
 
     ``size`` ids are given in all, with the end mark and the bytes that spell every other word, so the result has fewer than ``size`` rows of
     at most ``LONGEST_WORD`` characters and may be broadcast. These rows pass one task.
     """
-    found = df.select(F.explode(words(text)).alias("word")).where(F.length("word") <= LONGEST_WORD)
-    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = word_counts(df, text).where(F.length("word") <= LONGEST_WORD)
+    counts = found.groupBy("word").agg(F.sum("n").alias("n"))
     kept = counts.orderBy(F.desc("n"), "word").limit(max(size - FIRST_WORD_ID, 0))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
     return kept.select("word", (rank + (FIRST_WORD_ID - 1)).cast("int").alias("token_id"))
@@ -107,6 +169,36 @@ def ids_of_words(texts: pa.Array, words: pa.Array, token_ids: np.ndarray) -> pa.
     return pa.ListArray.from_arrays(pa.array(ends + np.arange(len(ends)), pa.int32()), pa.array(whole, pa.int32()))
 
 
+def ids_of_texts(vocab: DataFrame):
+    """The function that :func:`tokenize` applies to a column with lists of texts. ASCII texts are taken apart beside the vocabulary, others
+    here, where the rules of ``WORD_PATTERN`` are at hand."""
+    shared = _known(vocab)
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for plain, listed in batches:
+            if not len(plain):
+                yield pa.array([], pa.list_(pa.int32()))
+                continue
+            counts = plain.value_lengths().to_numpy()
+            ends = _bounds(counts)
+            texts, lists = plain.flatten(), listed.flatten()
+            bytes_before = _bounds(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            done = []
+            for rows in _steps(np.diff(bytes_before[ends]), STEP_BYTES):
+                of = slice(int(ends[rows.start]), int(ends[rows.stop]))
+                parts = _either(texts[of], lists[of])
+                offsets = pa.array(ends[rows.start : rows.stop + 1] - ends[rows.start], pa.int32())
+                done.append(ids_of_words(pa.ListArray.from_arrays(offsets, parts), *shared.value))
+            yield pa.concat_arrays(done)
+
+    def of(texts: Column) -> Column:
+        plain = F.transform(texts, lambda t: F.when(_is_ascii(t), t))
+        return ids(plain, F.transform(texts, lambda t: F.when(~_is_ascii(t), words(t))))
+
+    return of
+
+
 def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "sequence") -> DataFrame:
     """``input_ids`` (ids of words or, where the vocabulary lacks a word, of its bytes, and the end mark) and ``length`` per row; other
     columns are dropped. ``detokenize`` gives the text again.
@@ -114,15 +206,9 @@ def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "
     Rows are first partitioned by their key, as plain text, which is smaller than its tokens. Its words are looked up inside the row: no
     row per token is made, sorted or moved. Rows with the same key become one.
     """
-    shared = _known(vocab)
-
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield ids_of_words(batch, *shared.value)
-
+    ids = ids_of_texts(vocab)
     texts = df.select(*keys, text).repartition(*keys).groupBy(*keys).agg(F.collect_list(text).alias("_texts"))
-    tokens = texts.select(*keys, ids(F.transform("_texts", words)).alias("input_ids"))
+    tokens = texts.select(*keys, ids(F.col("_texts")).alias("input_ids"))
     return tokens.withColumn("length", F.size("input_ids").cast("bigint"))
 
 

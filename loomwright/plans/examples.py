@@ -134,8 +134,9 @@ def sft_examples(spark, sf):
     scored = examples.label_scores(read_records(spark, sf), seed=SEED)
     prompted = cut_lineage(examples.prompts(examples.cut_records(scored)).select("question_id", "prefix", "sql"))
     texts = prompted.select(F.explode(F.array("prefix", "sql")).alias("sequence"))
-    made = examples.sft_features(prompted, corpus.vocabulary(texts), "question_id", LENGTH, BOS, PAD)
-    return made.join(prompted.select("question_id", F.md5("prefix").alias("prefix_md5")), "question_id").select(
+    hashed = prompted.withColumn("prefix_md5", F.md5("prefix"))
+    made = examples.sft_features(hashed, corpus.vocabulary(texts), "question_id", LENGTH, BOS, PAD, keep=["prefix_md5"])
+    return made.select(
         "question_id",
         "prefix_md5",
         F.aggregate("attention_mask", F.lit(0), lambda n, one: n + one).alias("n_tokens"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomwright.operators import examples
+from loomwright.operators import corpus, examples, features
 
 COLUMN = "struct<name:string,type:string,comment:string,contents:array<string>,pk:int>"
 TABLE = f"struct<table_ord:int,table_name:string,table_comment:string,columns:array<{COLUMN}>>"
@@ -58,3 +58,23 @@ def test_empty_records_and_missing_labels(spark):
     text = examples.prompts(spark.createDataFrame(rows, SCHEMA).withColumn("text", F.lit("how many?"))).where("question_id = 1").first()
     assert text["prefix"] == "database schema :\nforeign keys : None\nmatched contents : None\nhow many?\n"
     assert examples.cut_records(examples.label_scores(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_both_texts_are_dealt_out_once(spark, monkeypatch):
+    monkeypatch.setattr(examples, "TASK_CHARS", 20)
+    rows = [(i % 7 if i % 10 else None, f"how many p{i}", None if i % 4 == 0 else f"SELECT {i % 7}", i) for i in range(30)]
+    prompted = spark.createDataFrame(rows, "k int, prefix string, sql string, i int")
+    vocab = corpus.vocabulary(prompted, "prefix")
+    made = examples.sft_features(prompted, vocab, "k", 12, 1000, 1001, keep=["i"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = {r.i: r for r in made.collect()}
+    assert sorted(got) == [r[3] for r in rows if r[0] is not None]
+    for column, name in (("prefix", "prefix_ids"), ("sql", "target_ids")):
+        tokens = corpus.tokenize(prompted, vocab, ["k"], column)
+        part = tokens.select("k", F.slice("input_ids", F.lit(1), F.size("input_ids") - 1).alias(name))
+        both = part if column == "prefix" else both.join(part, "k")
+    alone = {r.k: r for r in features.features_train(both, 12, 1000, corpus.EOS, 1001).collect()}
+    for r in got.values():
+        assert (r.input_ids, r.attention_mask, r.labels) == (alone[r.k].input_ids, alone[r.k].attention_mask, alone[r.k].labels)
+    assert {r.k for r in examples.sft_features(prompted, vocab, "k", 12, 1000, 1001).collect()} == set(alone)

@@ -49,3 +49,20 @@ def test_slices_as_streams(spark):
     got = corpus.pack_slices(tokens, 7)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
     assert got.columns == want.columns and got.where(F.size("input_ids") != 7).isEmpty()
+
+
+def test_ascii_texts_are_taken_apart_as_others(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "STEP_BYTES", 7)
+    texts = ["ab12  c,\x00d\n", "", None, "é1 ab", "x" * 70 + "7", "日本 12", "12", "Ab"]
+    rows = [(i // 2, t) for i, t in enumerate([*texts, *texts[::-1]])]
+    df = spark.createDataFrame(rows, "k int, sequence string")
+    counted = corpus.word_counts(df, "sequence").groupBy("word").agg(F.sum("n").alias("n"))
+    slowly = df.select(F.explode(corpus.words("sequence")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, slowly.collect()))
+    vocab = corpus.vocabulary(df.where("k % 2 = 0"))
+    together = df.groupBy("k").agg(F.collect_list("sequence").alias("t"))
+    known = {r.word: [r.token_id] for r in vocab.collect()}
+    listed = {r.k: r.w for r in together.select("k", F.transform("t", corpus.words).alias("w")).collect()}
+    for r in corpus.tokenize(df, vocab, ["k"]).collect():
+        spelled = [(i, known.get(w, [b + corpus.FIRST_BYTE_ID for b in w.encode()])) for t in listed[r.k] for i, w in enumerate(t)]
+        assert r.input_ids == [x for _, ids in sorted(spelled) for x in ids] + [corpus.EOS]
