@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,17 +200,21 @@ def ids_of_texts(vocab: DataFrame):
     return of
 
 
-def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "sequence") -> DataFrame:
+def tokenize(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "sequence", ranges: int | None = None) -> DataFrame:
     """``input_ids`` (ids of words or, where the vocabulary lacks a word, of its bytes, and the end mark) and ``length`` per row; other
     columns are dropped. ``detokenize`` gives the text again.
 
     Rows are first partitioned by their key, as plain text, which is smaller than its tokens. Its words are looked up inside the row: no
-    row per token is made, sorted or moved. Rows with the same key become one.
+    row per token is made, sorted or moved. Rows with the same key become one. With ``ranges``, so many partitions hold
+    ranges of keys, in order.
     """
     ids = ids_of_texts(vocab)
-    texts = df.select(*keys, text).repartition(*keys).groupBy(*keys).agg(F.collect_list(text).alias("_texts"))
+    dealt = df.select(*keys, text)
+    dealt = dealt.repartition(*keys) if ranges is None else dealt.repartitionByRange(ranges, *keys)
+    texts = dealt.groupBy(*keys).agg(F.collect_list(text).alias("_texts"))
     tokens = texts.select(*keys, ids(F.col("_texts")).alias("input_ids"))
-    return tokens.withColumn("length", F.size("input_ids").cast("bigint"))
+    tokens = tokens.withColumn("length", F.size("input_ids").cast("bigint"))
+    return tokens if ranges is None else tokens.sortWithinPartitions(*keys)
 
 
 def bytes_of_ids(sequences: pa.Array, words: pa.Array, token_ids: np.ndarray) -> pa.Array:
@@ -311,13 +316,16 @@ def prefix_offset(tokens: DataFrame, streams: Sequence[str] = ()) -> DataFrame:
     return ordered_index(narrow, ["corpus_ord", "idx"], streams, name="seq", weight="length")
 
 
-def pack_blocks(tokens: DataFrame, block_size: int, streams: Sequence[str] = ()) -> DataFrame:
+def pack_blocks(tokens: DataFrame, block_size: int, streams: Sequence[str] = (), ordered: bool = False) -> DataFrame:
     """Cut the stream of all sequences into blocks of ``block_size`` tokens; the incomplete last block is dropped.
 
     With ``streams`` (columns that are never null, such as ``slice``) each of their values has a stream and block numbers of its own.
     A sequence is cut where blocks end, and the pieces of a block are put together; a block has at most ``block_size``
-    pieces. Attention masks are all ones and labels equal the ids.
+    pieces. Attention masks are all ones and labels equal the ids. ``ordered`` says that ``tokens`` is a written copy whose rows stand in
+    the order of the one stream, partition after partition: then nothing is moved, and the blocks stand in order too.
     """
+    if ordered:
+        return _blocks(_ordered_blocks(tokens, block_size), block_size, ())
     keys = [*streams, *KEY]
     offsets = prefix_offset(tokens, streams).select(*keys, "offset")
     pieces = _pieces(tokens.select(*keys, "input_ids", "length").join(offsets, keys), block_size, streams)
@@ -343,6 +351,59 @@ def pack_slices(tokens: DataFrame, block_size: int, divisors: Sequence[int] = SL
     return _blocks(blocks.withColumn("input_ids", F.flatten(F.transform(of_slice, lambda p: p["ids"]))), block_size, ["slice"])
 
 
+def _flat_ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy()
+
+
+def _ordered_blocks(tokens: DataFrame, block_size: int) -> DataFrame:
+    """``block_id`` and ``input_ids`` of the complete blocks; each is made in the partition where it begins. What it needs from the partitions after
+    that are their first ids, fewer than ``block_size``: one row per partition comes to the driver and goes out to all."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, head = 0, np.empty(0, dtype=np.int32)
+        for batch in batches:
+            ids = _flat_ids(batch)
+            n, head = n + len(ids), np.concatenate([head, ids[: block_size - 1 - len(head)]])
+        row = [[TaskContext.get().partitionId()], [n], [head.tolist()]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int32())))], ["part", "n", "head"])
+
+    ids = tokens.select("input_ids")
+    found = {r.part: r for r in ids.mapInArrow(heads, "part int, n bigint, head array<int>").collect()}
+    starts, rests, end = {}, {}, 0
+    for part in sorted(found):
+        starts[part], end = end, end + found[part].n
+    rest: list[int] = []  # the first ids after a partition
+    for part in sorted(found, reverse=True):
+        rests[part] = np.array(rest, dtype=np.int32)
+        rest = [*found[part].head, *rest][: block_size - 1]
+    known = tokens.sparkSession.sparkContext.broadcast((starts, rests))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, rests = known.value
+        part = TaskContext.get().partitionId()
+        block = -(-starts[part] // block_size)
+        before = block * block_size - starts[part]  # ids of a block that begins earlier
+        left = np.empty(0, dtype=np.int32)
+
+        def blocks(ids: np.ndarray) -> pa.RecordBatch:
+            count = len(ids) // block_size
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * block_size, pa.int32()), pa.array(ids[: count * block_size], pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(block, block + count), pa.int64()), lists], ["block_id", "input_ids"])
+
+        for batch in batches:
+            ids = _flat_ids(batch)
+            skipped = min(before, len(ids))
+            before -= skipped
+            ids = np.concatenate([left, ids[skipped:]])
+            yield (made := blocks(ids))
+            block += made.num_rows
+            left = ids[made.num_rows * block_size :]
+        if len(left):
+            yield blocks(np.concatenate([left, rests[part][: block_size - len(left)]]))
+
+    return ids.mapInArrow(cut, "block_id bigint, input_ids array<int>")
+
+
 def _pieces(placed: DataFrame, block_size: int, streams: Sequence[str]) -> DataFrame:
     """``streams``, ``block_id``, ``at`` and ``ids`` of the parts of sequences that know their ``offset``."""
     first = F.expr(f"offset div {block_size}")

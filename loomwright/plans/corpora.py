@@ -14,6 +14,8 @@ from loomwright.sources import files
 from loomwright.sources.tables import scan_table
 
 BLOCK = 128
+# Characters of the corpora in one partition of their tokens.
+TASK_CHARS = 8_000_000
 MAX_TOKENS = 64
 # ids beyond the vocabulary
 BOS, PAD = 49152, 49153
@@ -49,9 +51,14 @@ def read_corpora(spark, sf):
 
 
 def _tokens(spark, sf):
-    # used several times by every caller, and as wide as the corpus: written once
-    sequences = cut_lineage(inputs.corpora(spark, sf))
-    return cut_lineage(corpus.tokenize(sequences, corpus.vocabulary(sequences), KEY))
+    # used several times by every caller, and as wide as the corpus: written once, in the order of the stream; texts as files, which are smaller
+    sequences = inputs.corpora(spark, sf)
+    path = scratch_path(spark, "sequences")
+    sequences.write.parquet(path)
+    sequences = spark.read.schema(sequences.schema).parquet(path)
+    chars = sequences.agg(F.sum(F.length("sequence"))).first()[0] or 0
+    parts = max(chars // TASK_CHARS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(corpus.tokenize(sequences, corpus.vocabulary(sequences), KEY, ranges=parts))
 
 
 @query("detokenize", f"SELECT corpus, idx, md5(sequence) AS sequence_md5 FROM {inputs.CORPORA_SQL}")
@@ -111,7 +118,7 @@ _BLOCKS_SQL = f"""WITH {inputs.TOKENS_WITH}, g AS (
 
 @query("pack_blocks", _BLOCKS_SQL)
 def pack_blocks(spark, sf):
-    blocks = corpus.pack_blocks(_tokens(spark, sf), BLOCK)
+    blocks = corpus.pack_blocks(_tokens(spark, sf), BLOCK, ordered=True)
     return blocks.select(
         "block_id", joined("input_ids").alias("input_ids"), F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_ids")
     )
@@ -134,7 +141,7 @@ def pack_slices(spark, sf):
 @query("write_blocks", _BLOCKS_SQL)
 def write_blocks(spark, sf):
     path = scratch_path(spark, "blocks")
-    files.write_blocks(corpus.pack_blocks(_tokens(spark, sf), BLOCK), path)
+    files.write_blocks(corpus.pack_blocks(_tokens(spark, sf), BLOCK, ordered=True), path, ranged=True)
     return files.read_blocks(spark, path).select(
         "block_id", joined("labels").alias("input_ids"), F.size("attention_mask").cast("bigint").alias("n_ids")
     )

@@ -91,13 +91,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, contents string").json(path)
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Packed blocks. Fails when an id does not fit the two bytes in which token ids are kept."""
+def write_blocks(blocks: DataFrame, path: str, ranged: bool = False) -> None:
+    """Packed blocks, each file a range of them in order; ``ranged`` says that their partitions are such ranges already. Fails when an id
+    does not fit the two bytes in which token ids are kept."""
     fits = F.forall("input_ids", lambda i: (i >= 0) & (i <= MAX_TOKEN_ID))
     checked = blocks.where(F.assert_true(fits, F.lit("token id beyond two bytes")).isNull())
-    checked.select("block_id", "input_ids").repartitionByRange("block_id").sortWithinPartitions("block_id").write.mode(
-        "overwrite"
-    ).parquet(path)
+    rows = checked.select("block_id", "input_ids")
+    rows = rows if ranged else rows.repartitionByRange("block_id")
+    rows.sortWithinPartitions("block_id").write.mode("overwrite").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwright.operators import corpus
+from loomwright.session import cut_lineage
+from loomwright.sources import files
 
 KEY = ["corpus_ord", "corpus", "idx"]
 
@@ -66,3 +68,29 @@ def test_ascii_texts_are_taken_apart_as_others(spark, monkeypatch):
     for r in corpus.tokenize(df, vocab, ["k"]).collect():
         spelled = [(i, known.get(w, [b + corpus.FIRST_BYTE_ID for b in w.encode()])) for t in listed[r.k] for i, w in enumerate(t)]
         assert r.input_ids == [x for _, ids in sorted(spelled) for x in ids] + [corpus.EOS]
+
+
+def test_blocks_are_cut_where_the_stream_stands_in_order(spark):
+    rows = [("pure_sql" if i < 20 else "text2code", i // 20, i % 20, [i * 100 + j for j in range((i * 7) % 11)]) for i in range(35)]
+    df = spark.createDataFrame([(*r, len(r[3])) for r in rows], "corpus string, corpus_ord int, idx long, input_ids array<int>, length long")
+    whole = sum((r[3] for r in rows), [])
+    for partitions, size in ((1, 8), (6, 8), (40, 50), (3, 1), (4, len(whole)), (2, 1000)):
+        tokens = cut_lineage(df.repartitionByRange(partitions, *KEY).sortWithinPartitions(*KEY))
+        blocks = corpus.pack_blocks(tokens, size, ordered=True)
+        assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+        got = blocks.collect()  # in order
+        assert [(r.block_id, r.input_ids) for r in got] == [(i, whole[i * size : (i + 1) * size]) for i in range(len(whole) // size)]
+        assert sorted(got) == sorted(corpus.pack_blocks(tokens, size).collect())
+
+
+def test_tokens_in_ranges_of_keys(spark, tmp_path):
+    df = spark.createDataFrame([(i % 50, f"w{i} é") for i in range(60)], "k int, sequence string")
+    vocab = corpus.vocabulary(df)
+    tokens = corpus.tokenize(df, vocab, ["k"], ranges=4)
+    keys = [r.k for r in tokens.collect()]
+    assert keys == sorted(keys) == list(range(50)) and tokens.rdd.getNumPartitions() == 4
+    assert sorted(tokens.collect()) == sorted(corpus.tokenize(df, vocab, ["k"]).collect())
+    stream = cut_lineage(tokens.selectExpr("0 as corpus_ord", "'pure_sql' as corpus", "k as idx", "input_ids", "length"))
+    files.write_blocks(corpus.pack_blocks(stream, 5, ordered=True), str(tmp_path), ranged=True)
+    parts = [[r.block_id for r in spark.read.parquet(str(p)).collect()] for p in sorted(tmp_path.glob("part-*"))]
+    assert sum(parts, []) == list(range(sum(r.length for r in tokens.collect()) // 5))
